@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +47,23 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROA
     return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20):
+    """Bound the Arrow batches of jobs run inside, so long texts don't gather in a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, also where body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

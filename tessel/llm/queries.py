@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tessel.llm.neardup import op6_minhash_odd_sketch
 from tessel.llm.packing import op10_best_two_fit
+from tessel.llm.quality_rules import op1_mcd_outliers
 from tessel.llm.sharding import op5_virtual_slots
 
 QUERIES = {
+    "op1_mcd_outliers": op1_mcd_outliers,
     "op10_best_two_fit": op10_best_two_fit,
     "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
     "op5_virtual_slots": op5_virtual_slots,
