@@ -22,11 +22,12 @@ from tessel.llm.components import components
 
 #: Rows a band and bands: a pair of similarity 0.75 is missed with probability (1 - 0.75**5)**44 < 7e-6.
 BAND_ROWS, BANDS = 5, 44
-SAMPLES = BAND_ROWS * BANDS
+#: MinHash samples the odd sketch folds; the first BAND_ROWS * BANDS of them are banded.
+SAMPLES = 480
 #: Bits of the odd sketch.
-SKETCH_BITS = 1024
-#: What an estimate may fall short of the threshold: six standard deviations of it at 220 samples.
-SLACK = 0.175
+SKETCH_BITS = 2048
+#: What an estimate may fall short of the threshold: four standard deviations of it at 480 samples.
+SLACK = 0.08
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -49,7 +50,7 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """One key for each band; bands never share keys but by chance."""
-    rows = samples.reshape(BANDS, BAND_ROWS).astype(np.uint64)
+    rows = samples[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
     return mix64(mix64(rows * _FOLD).sum(axis=1) + _SALT[:BANDS])
 
 
