@@ -10,6 +10,7 @@ pieces of their length, so no task holds more than its own rows.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections import Counter
 
@@ -23,8 +24,8 @@ from pyspark.sql.window import Window
 from tessel.llm.common import broadcast_if_small, materialize
 
 LIMIT = 4096
-#: Words whose ids a worker remembers in each of two generations.
-CACHE = 300_000
+#: Words whose ids a worker remembers (about 200 MB); past it the cache starts anew.
+CACHE = 1_000_000
 
 _END = np.array([1], "<u4").tobytes()
 
@@ -42,35 +43,48 @@ class WordIds:
     are those of its white-space separated words in turn.
     """
 
-    _held: dict[str, WordIds] = {}
+    #: A letter that stands between words encoded together, and in none of them.
+    MARK = "\u0e01"
+    _workers: dict[str, WordIds] = {}
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self._encode(self.MARK)
+        self.held: dict[bytes, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> WordIds:
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+        if path not in cls._workers:
+            cls._workers[path] = cls(path)
+        return cls._workers[path]
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        mark = self.MARK.encode()
+        for w in [w for w in words if mark in w]:
+            self.held[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
+        words = [w for w in words if mark not in w]
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(self._encode(f" {self.MARK} ".join(w.decode() for w in some)), "<u4")
+            cuts, flat, at = (np.flatnonzero(ids == self.mark) * 4).tolist(), ids.tobytes(), 0
+            for w, cut in zip(some, [*cuts, len(flat)], strict=True):
+                self.held[w] = flat[at:cut]
+                at = cut + 4
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         # strings of special tokens are matched before lower-casing
         words = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        need = set().union(*words).difference(self.new)
-        for w in [w for w in need if w in self.old]:
-            self.new[w] = self.old[w]
-            need.discard(w)
-        missing = list(need)
-        for w, got in zip(missing, self.encode([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            self.new[w] = np.array(got.ids, "<u4").tobytes()
-        ids = self.new.__getitem__
+        if len(self.held) > CACHE:
+            self.held.clear()
+        self._learn(list(set().union(*words).difference(self.held)))
+        ids = self.held.__getitem__
         return [b"".join(map(ids, w)) for w in words]
 
 
