@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tessel.llm.neardup import op6_minhash_odd_sketch
 from tessel.llm.packing import op10_best_two_fit
+from tessel.llm.pii import op3_weak_supervision
 from tessel.llm.quality_rules import op1_mcd_outliers
 from tessel.llm.sharding import op5_virtual_slots
 
 QUERIES = {
+    "op3_weak_supervision": op3_weak_supervision,
     "op1_mcd_outliers": op1_mcd_outliers,
     "op10_best_two_fit": op10_best_two_fit,
     "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
