@@ -7,8 +7,10 @@ from tessel.llm.packing import op10_best_two_fit
 from tessel.llm.pii import op3_weak_supervision
 from tessel.llm.quality_rules import op1_mcd_outliers
 from tessel.llm.sharding import op5_virtual_slots
+from tessel.llm.toxicity import op9_boosted_trees
 
 QUERIES = {
+    "op9_boosted_trees": op9_boosted_trees,
     "op3_weak_supervision": op3_weak_supervision,
     "op1_mcd_outliers": op1_mcd_outliers,
     "op10_best_two_fit": op10_best_two_fit,
