@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessel.llm.decontamination import op7_simhash_windows
 from tessel.llm.neardup import op6_minhash_odd_sketch
 from tessel.llm.packing import op10_best_two_fit
 from tessel.llm.pii import op3_weak_supervision
@@ -10,6 +11,7 @@ from tessel.llm.sharding import op5_virtual_slots
 from tessel.llm.toxicity import op9_boosted_trees
 
 QUERIES = {
+    "op7_simhash_windows": op7_simhash_windows,
     "op9_boosted_trees": op9_boosted_trees,
     "op3_weak_supervision": op3_weak_supervision,
     "op1_mcd_outliers": op1_mcd_outliers,
