@@ -133,6 +133,12 @@ def _close(a: str, b: str, threshold: float):
     return sizes & (bits <= most_odd_bits(threshold - SLACK)), bits
 
 
+def _with_component(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the component of their `node` column; a node without links is its own."""
+    own = labels.select(F.col("node").alias(node), F.col("comp").alias(name))
+    return rows.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -150,11 +156,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ids = signed.select("row", "doc_id", "n_shingles", "k1", "k2")
     classes = materialize(ids.where("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low")), "classes")
     reps = materialize(signed.select("row", "n_shingles", "bands", "sketch").join(broadcast_if_small(classes.select(F.col("cls").alias("row")), 16), "row", "left_semi"), "reps")
-    one = reps.select("row", F.explode("bands").alias("key"))
+    one = reps.select("row", F.posexplode("bands").alias("band", "key"))
     shared = materialize(one.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     met = materialize(one.join(broadcast_if_small(shared, 24), "key"), "met")
     degree = met.groupBy("row").agg(F.sum("size").alias("degree"))
-    met = materialize(met.join(degree, "row").join(reps.select("row", "n_shingles", "sketch"), "row"), "members")
+    met = materialize(met.join(degree, "row"), "members")
     # each bucket's most collided class, ties to the smallest row
     heads = met.groupBy("key").agg(F.max(F.struct("degree", (-F.col("row")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("head"))
     spokes = met.join(heads, "key").where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct()
@@ -163,26 +169,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = materialize(spokes.join(sides.alias("y"), F.col("b") == F.col("y.row")).join(sides.alias("x"), F.col("a") == F.col("x.row")).where(ok).select("a", "b"), "spokes")
     links = _linked(pairs, signed, percent)
     labels = components(links)
-    tried = pairs
-
-    for best_only in (True, False):
-        left = met.join(labels.select(F.col("node").alias("row"), "comp"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-        apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "comp")).alias("top")).where("lo <> hi").select("key", F.col("top.comp").alias("main"))
-        rest = materialize(left.join(broadcast_if_small(apart, 24), "key").select("key", "row", "comp", "main", "n_shingles", "sketch"), "apart")
-        # a pair of different components has a side outside the bucket's main component
-        ok, bits = _close("x", "y", percent / 100)
-        outer = (F.col("x.comp") != F.col("x.main")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.row") < F.col("y.row")))
-        found = rest.where("comp <> main").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & outer & ok)
-        found = found.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb"), bits.alias("bits"))
-        if best_only:
-            found = found.groupBy("ca", "cb").agg(F.min(F.struct("bits", "a", "b")).alias("m")).select("m.a", "m.b")
+
+    # buckets whose classes are still apart: a pair of two components has a side outside the bucket's main one
+    left = _with_component(met, labels, "row", "comp")
+    apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "comp")).alias("top")).where("lo <> hi").select("key", F.col("top.comp").alias("main"))
+    rest = left.select("key", "band", "row", "comp").join(broadcast_if_small(apart, 24), "key")
+    rest = materialize(rest.join(reps, "row"), "apart")
+    ok, bits = _close("x", "y", percent / 100)
+    outer = (F.col("x.comp") != F.col("x.main")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.row") < F.col("y.row")))
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda u, v: u == v), F.lit(True)) == F.col("x.band") + 1
+    found = rest.where("comp <> main").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & outer & ok & first)
+    found = found.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb"), bits.alias("bits"))
+    found = materialize(found.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    best = materialize(found.groupBy("ca", "cb").agg(F.min(F.struct("bits", "a", "b")).alias("m")).select("m.a", "m.b"), "best")
+    for step in ("best", "all"):
+        if step == "best":
+            pairs = best
         else:
-            found = found.select("a", "b").distinct()
-        seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialize(found.join(seen, ["a", "b"], "left_anti"), "pairs")
+            pairs = _with_component(_with_component(found.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+            pairs = materialize(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
-        tried = tried.union(pairs)
         more = _linked(pairs, signed, percent)
         if not more.isEmpty():
             links = links.union(more)
