@@ -7,10 +7,12 @@ from tessel.llm.neardup import op6_minhash_odd_sketch
 from tessel.llm.packing import op10_best_two_fit
 from tessel.llm.pii import op3_weak_supervision
 from tessel.llm.quality_rules import op1_mcd_outliers
+from tessel.llm.secrets import op8_random_forest
 from tessel.llm.sharding import op5_virtual_slots
 from tessel.llm.toxicity import op9_boosted_trees
 
 QUERIES = {
+    "op8_random_forest": op8_random_forest,
     "op7_simhash_windows": op7_simhash_windows,
     "op9_boosted_trees": op9_boosted_trees,
     "op3_weak_supervision": op3_weak_supervision,
