@@ -9,9 +9,11 @@ from tessel.llm.pii import op3_weak_supervision
 from tessel.llm.quality_rules import op1_mcd_outliers
 from tessel.llm.secrets import op8_random_forest
 from tessel.llm.sharding import op5_virtual_slots
+from tessel.llm.templates import op2_template_classes
 from tessel.llm.toxicity import op9_boosted_trees
 
 QUERIES = {
+    "op2_template_classes": op2_template_classes,
     "op8_random_forest": op8_random_forest,
     "op7_simhash_windows": op7_simhash_windows,
     "op9_boosted_trees": op9_boosted_trees,
