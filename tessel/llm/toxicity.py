@@ -31,7 +31,8 @@ SECOND = frozenset(("you", "your", "yours", "yourself", "u", "ur", "du", "dich",
 NEAR = 6
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]*(?:[^\W\d_][@$0134578!*+]+(?=[^\W\d_])|[@$0134578](?=[^\W\d_]{2}))[\w@$!*+]*")
+_MIXED = re.compile(r"[@$0134578!*+]+[^\W\d_]")
+_SPACE = re.compile(r"\s")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
 _LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "!": "i", "+": "t", "*": None})
 _REPEAT = re.compile(r"([^\W\d_])\1{3,}")
@@ -41,6 +42,20 @@ _PUNCT = re.compile(r"[!?]+")
 FEATURES = ("log_words", "seed_density", "learned_density", "log_hits", "distinct_hits", "near_second", "second_density", "capitals", "shouted", "bangs", "punctuation", "symbols", "obfuscated", "obfuscated_hits", "repeats", "mean_word")
 
 
+def mixed_words(low: str) -> list[str]:
+    """White-space separated words in which a digit or symbol stands before a letter."""
+    found, end = [], 0
+    for m in _MIXED.finditer(low):
+        if m.start() >= end:
+            start = m.start()
+            while start > end and not low[start - 1].isspace():
+                start -= 1
+            stop = _SPACE.search(low, m.end())
+            end = stop.start() if stop else len(low)
+            found.append(low[start:end].rstrip(".,;:?"))
+    return found
+
+
 def dense_features(text: str | None, learned: frozenset[str], seed: frozenset[str] = frozenset(SEED)) -> list[float]:
     """FEATURES of a whole text; null and empty texts give zeros."""
     text = text or ""
@@ -63,7 +78,7 @@ def dense_features(text: str | None, learned: frozenset[str], seed: frozenset[st
         in_learned = hits - sum(words[i] in seed and words[i] not in learned for i in places)
         if you:
             near = sum(any(w in SECOND for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in places)
-    odd = _MIXED.findall(low)
+    odd = mixed_words(low)
     odd_hits = {w.translate(_LEET) for w in odd} & every
     spaced = [re.sub(r"[ .\-_*]", "", m) for m in _SPACED.findall(low)]
     odd_hits |= every.intersection(spaced)
