@@ -6,6 +6,7 @@ from tessel.llm.decontamination import op7_simhash_windows
 from tessel.llm.neardup import op6_minhash_odd_sketch
 from tessel.llm.packing import op10_best_two_fit
 from tessel.llm.pii import op3_weak_supervision
+from tessel.llm.quality_classifier import op4_weak_labels
 from tessel.llm.quality_rules import op1_mcd_outliers
 from tessel.llm.secrets import op8_random_forest
 from tessel.llm.sharding import op5_virtual_slots
@@ -13,6 +14,7 @@ from tessel.llm.templates import op2_template_classes
 from tessel.llm.toxicity import op9_boosted_trees
 
 QUERIES = {
+    "op4_weak_labels": op4_weak_labels,
     "op2_template_classes": op2_template_classes,
     "op8_random_forest": op8_random_forest,
     "op7_simhash_windows": op7_simhash_windows,
