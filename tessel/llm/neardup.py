@@ -23,11 +23,11 @@ from tessel.llm.components import components
 #: Rows a band and bands: a pair of similarity 0.75 is missed with probability (1 - 0.75**5)**44 < 7e-6.
 BAND_ROWS, BANDS = 5, 44
 #: MinHash samples the odd sketch folds; the first BAND_ROWS * BANDS of them are banded.
-SAMPLES = 480
+SAMPLES = 960
 #: Bits of the odd sketch.
 SKETCH_BITS = 2048
-#: What an estimate may fall short of the threshold: four standard deviations of it at 480 samples.
-SLACK = 0.08
+#: What an estimate may fall short of the threshold: four standard deviations of it at 960 samples.
+SLACK = 0.056
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
