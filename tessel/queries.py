@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+_MODULES = ("search_queries", "state_queries", "catalog_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _name in _MODULES:
+    _module = importlib.import_module(f"tessel.plans.{_name}")
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Two-stage retrieval: the nearest sections, then the chunks nearest to each."""
+    return QUERIES["hierarchical_search"](spark, sf_dir)
