@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, also where body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -39,14 +46,12 @@ def added(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """a over its length; the zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def clamped(a: Column, most: float) -> Column:
     """a shortened to length `most` where it is longer."""
-    n = norm(a)
-    return F.when(n > most, F.transform(a, lambda x: x * (F.lit(most) / n))).otherwise(a)
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n > most, F.transform(v, lambda x: x * (F.lit(most) / n))).otherwise(v)))
 
 
 def rounded(a: Column, places: int = 6) -> Column:

@@ -7,13 +7,14 @@ limits before its shuffle.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.functions.vector import cosine, dot, l2, norm
+from tessel.functions.vector import cosine, dot, l2, norm, normalised
 
 #: Rows a query side may hold to be broadcast.
 MOST_QUERIES = 100_000
@@ -40,7 +41,10 @@ def stored_vector(df: DataFrame, key: str, value) -> list[float]:
 def knn(df: DataFrame, query, k: int, where: Column | None = None, key: str = "id") -> DataFrame:
     """The k rows most similar to query, filtered first; ties by key. Adds `similarity`."""
     rows = df if where is None else df.where(where)
-    return rows.withColumn("similarity", cosine(F.col("vector"), vector_literal(query))).orderBy(F.desc("similarity"), key).limit(k)
+    size = math.sqrt(sum(float(x) * float(x) for x in query))
+    own = norm(F.col("vector"))
+    similarity = F.when((own == 0) | F.lit(size == 0), F.lit(0.0)).otherwise(dot(F.col("vector"), vector_literal(query)) / (own * F.lit(size or 1.0)))
+    return rows.withColumn("similarity", similarity).orderBy(F.desc("similarity"), key).limit(k)
 
 
 def at_least(hits: DataFrame, similarity: float) -> DataFrame:
@@ -55,7 +59,10 @@ def small_side(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
 
 def batch_knn(df: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
     """The k nearest rows of every query (query_id, query_vector): one pass over df per block of queries."""
-    scored = df.crossJoin(small_side(queries)).select("query_id", key, cosine(F.col("vector"), F.col("query_vector")).alias("similarity"))
+    # unit vectors on both sides, so a pair costs one product
+    units = df.select(key, normalised(F.col("vector")).alias("_v"))
+    probes = small_side(queries.select("query_id", normalised(F.col("query_vector")).alias("_q")))
+    scored = units.crossJoin(probes).select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("similarity"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
