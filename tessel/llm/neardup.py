@@ -119,7 +119,8 @@ def _confirm(percent: int):
 
 def _linked(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough, as a table."""
-    need = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), 16)
+    ends = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "ends")
+    need = broadcast_if_small(ends, 16)
     texts = materialize(signed.select("row", "text").join(need, "row", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"), "linked")
