@@ -74,17 +74,18 @@ def _least_hits(m: Column) -> Column:
 
 
 def prepared_items(items: DataFrame) -> DataFrame:
-    """Items with words: item_id, words, m, size, shingle array, weights by shingle, fingerprint. A shingle's weight is 1 over the items that hold it."""
+    """Items with words, repeated rows once: item_id, item (its key), words, m, shingle array, weights by shingle, fingerprint. A shingle's weight is 1 over the items that hold it."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), lower_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    rows = rows.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
     rows = rows.withColumn("m", F.size("words")).withColumn("k", F.least(F.col("m"), F.lit(SHINGLE)))
     runs = F.when(F.col("k") == SHINGLE, shingles(F.col("words"), SHINGLE))
     for k in range(1, SHINGLE):
         runs = runs.when(F.col("k") == k, shingles(F.col("words"), k))
     rows = rows.withColumn("runs", runs)
-    by_shingle = rows.select("item_id", F.explode(F.array_distinct("runs")).alias("h"))
+    by_shingle = rows.select("item", F.explode(F.array_distinct("runs")).alias("h"))
     weights = by_shingle.groupBy("h").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
-    weighted = by_shingle.join(weights, "h").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("weighted"))
-    return materialize(rows.join(weighted, "item_id").withColumn("print", simhash(F.col("words"))), "items")
+    weighted = by_shingle.join(weights, "h").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("weighted"))
+    return materialize(rows.join(weighted, "item").withColumn("print", simhash(F.col("words"))), "items")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -120,15 +121,15 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     windows = windows.select("th", "tl", "start", "m", F.slice("words", F.col("start") + 1, F.col("m")).alias("window")).withColumn("print", simhash(F.col("window")))
     windows = materialize(windows, "windows")
 
-    index = items.select("item_id", F.explode(near_blocks(F.col("print"))).alias("block"), F.col("print").alias("item_print"))
+    index = items.select("item", F.explode(near_blocks(F.col("print"))).alias("block"), F.col("print").alias("item_print"))
     index = broadcast_if_small(index, 32)
     probes = windows.select("th", "tl", "start", "m", "print", F.explode(F.array(*[block(F.col("print"), i) for i in range(BLOCKS)])).alias("block"))
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    close = probes.join(index, "block").where(hamming <= RADIUS).select("th", "tl", "start", "m", "item_id", hamming.alias("hamming")).distinct()
+    close = probes.join(index, "block").where(hamming <= RADIUS).select("th", "tl", "start", "m", "item", hamming.alias("hamming")).distinct()
 
     weight = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"])
-    sides = broadcast_if_small(items.select("item_id", "weighted", "k"), F.lit(32) + 24 * F.size("weighted"))
-    both = windows.drop("print").join(close, ["th", "tl", "start", "m"]).join(sides, "item_id")
+    sides = broadcast_if_small(items.select("item", "item_id", "weighted", "k"), F.lit(32) + 24 * F.size("weighted"))
+    both = windows.drop("print").join(close, ["th", "tl", "start", "m"]).join(sides, "item")
     own = F.when(F.col("k") == SHINGLE, F.array_distinct(shingles(F.col("window"), SHINGLE)))
     for k in range(1, SHINGLE):
         own = own.when(F.col("k") == k, F.array_distinct(shingles(F.col("window"), k)))
