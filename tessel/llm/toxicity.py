@@ -129,11 +129,17 @@ def learn_words(train: DataFrame, words: int = LEARNED) -> frozenset[str]:
 
     def split(batches):
         for batch in batches:
-            pairs = []
+            pairs: list[tuple[str, int]] = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 said = {w for w in _WORD.findall((text or "").lower()) if len(w) < 40}
                 pairs += [(w, y) for w in said | {w[:k] + "*" for w in said for k in STEMS if len(w) >= k}]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int32())], names=["word", "toxic"])
+                if len(pairs) > 50_000:
+                    yield emit(pairs)
+                    pairs = []
+            yield emit(pairs)
+
+    def emit(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int32())], names=["word", "toxic"])
 
     said = train.select("text", "toxic").mapInArrow(split, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     total = train.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).head()
