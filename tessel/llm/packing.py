@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from tessel.llm.common import broadcast_if_small, materialize
 
 LIMIT = 4096
-#: Words whose ids a worker remembers (about 200 MB); past it the cache starts anew.
-CACHE = 1_000_000
+#: Words whose ids a worker remembers (about 120 MB); past it the cache starts anew.
+CACHE = 600_000
 
 _END = np.array([1], "<u4").tobytes()
 
