@@ -67,8 +67,8 @@ def rebalanced(slot_map: DataFrame, load: DataFrame, shards: int, slots: int = S
     """The next version of the map for `shards` shards, moving as little as it can.
 
     Each old shard keeps a prefix of its slots (largest first) whose bytes fit the new
-    mean; only what exceeds it moves, largest first, to the lightest shard. With one more
-    shard the moved slots fill the new one. Rows are all slots, `moved` marks edits.
+    mean; only what exceeds it moves, largest first, to the lightest shard. Where shards are
+    added, slots move only into them. Rows are all slots, `moved` marks edits.
     """
     mean = F.greatest(F.ceil(F.sum("bytes").over(Window.partitionBy()) / shards), F.lit(1))
     run = Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot").rowsBetween(Window.unboundedPreceding, 0)
@@ -80,11 +80,13 @@ def rebalanced(slot_map: DataFrame, load: DataFrame, shards: int, slots: int = S
     )
     rows = held.groupBy().agg(
         F.max("version").alias("version"),
+        F.max("shard").alias("last"),
         F.reverse(F.array_sort(F.collect_list(F.when(~F.col("stays"), F.struct("bytes", (-F.col("vslot")).alias("neg")))))).alias("out"),
         F.collect_list(F.when(F.col("stays"), F.struct("bytes", "shard"))).alias("kept"),
         F.collect_list(F.struct("vslot", "shard")).alias("old"),
     )
-    loads = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.aggregate("kept", F.lit(0).cast("long"), lambda a, k: F.when(k["shard"] == s, a + k["bytes"]).otherwise(a)))
+    closed = lambda s: (F.col("last") < shards - 1) & (s <= F.col("last"))
+    loads = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.when(closed(s), F.lit(1 << 60).cast("long")).otherwise(F.aggregate("kept", F.lit(0).cast("long"), lambda a, k: F.when(k["shard"] == s, a + k["bytes"]).otherwise(a))))
     out = F.transform("out", lambda x: F.struct(x["bytes"].alias("bytes"), (-x["neg"]).cast("int").alias("vslot")))
     edits = rows.select("version", F.explode(_place(out, loads, shards)).alias("p")).select((F.col("version") + 1).alias("nv"), "p.vslot", F.col("p.shard").alias("to"))
     return (
