@@ -26,3 +26,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "comp")
         if after.where("comp <> was").isEmpty():
             return labels
+
+
+def with_component(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the component of their `node` column; a node without links is its own."""
+    own = labels.select(F.col("node").alias(node), F.col("comp").alias(name))
+    return rows.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels after more edges (a, b): only the components that the edges touch are linked anew."""
+    between = with_component(with_component(edges.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    lower = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    nodes = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("comp", F.col("node")))
+    return materialize(nodes.join(lower, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "labels")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import broadcast_if_small, jaccard_at_least, materialize, mix64, shingle_set
-from tessel.llm.components import components
+from tessel.llm.components import components, merged, with_component
 
 #: Rows a band and bands: a pair of similarity 0.75 is missed with probability (1 - 0.75**5)**44 < 7e-6.
 BAND_ROWS, BANDS = 5, 44
@@ -134,12 +134,6 @@ def _close(a: str, b: str, threshold: float):
     return sizes & (bits <= most_odd_bits(threshold - SLACK)), bits
 
 
-def _with_component(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
-    """rows with the component of their `node` column; a node without links is its own."""
-    own = labels.select(F.col("node").alias(node), F.col("comp").alias(name))
-    return rows.join(own, node, "left").withColumn(name, F.coalesce(name, node))
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -168,11 +162,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sides = reps.select("row", "n_shingles", "sketch")
     ok, _ = _close("x", "y", percent / 100)
     pairs = materialize(spokes.join(sides.alias("y"), F.col("b") == F.col("y.row")).join(sides.alias("x"), F.col("a") == F.col("x.row")).where(ok).select("a", "b"), "spokes")
-    links = _linked(pairs, signed, percent)
-    labels = components(links)
+    labels = components(_linked(pairs, signed, percent))
 
     # buckets whose classes are still apart: a pair of two components has a side outside the bucket's main one
-    left = _with_component(met, labels, "row", "comp")
+    left = with_component(met, labels, "row", "comp")
     apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "comp")).alias("top")).where("lo <> hi").select("key", F.col("top.comp").alias("main"))
     rest = left.select("key", "band", "row", "comp").join(broadcast_if_small(apart, 24), "key")
     rest = materialize(rest.join(reps, "row"), "apart")
@@ -187,14 +180,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         if step == "best":
             pairs = best
         else:
-            pairs = _with_component(_with_component(found.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+            pairs = with_component(with_component(found.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
             pairs = materialize(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
         more = _linked(pairs, signed, percent)
         if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+            labels = merged(labels, more)
 
     grouped = classes.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = grouped.groupBy("comp").agg(F.min("low").alias("component_id"))
