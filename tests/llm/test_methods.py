@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm import common, neardup
 from tessel.llm.boosting import BoostedTrees, Isotonic
-from tessel.llm.components import components
+from tessel.llm.components import components, merged
 from tessel.llm.decontamination import block, near_blocks, op7_simhash_windows
 from tessel.llm.neardup import near_duplicates
 from tessel.llm.packing import WordIds, op10_best_two_fit, pack_lengths, tokenizer_path
@@ -238,6 +238,13 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 105: 100}
 
 
+def test_components_after_more_edges(spark):
+    labels = components(spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a long, b long"))
+    more = spark.createDataFrame([(6, 2), (20, 9), (30, 31)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in merged(labels, more).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+
+
 # --- 7 ---
 
 
