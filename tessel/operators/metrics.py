@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.operators.search import small_side
+
 
 def daily_report(events: DataFrame) -> DataFrame:
     """Per day: events, counts by class, purchases' mean value, errors, the last error's time, and value extremes."""
@@ -54,7 +56,7 @@ def oldest_open(impacts: DataFrame, as_of: Column) -> DataFrame:
 
 def cost(usage: DataFrame, prices: DataFrame, default: float) -> DataFrame:
     """Cost of usage (model, tokens) by prices (model, per_million); unknown models cost default a million."""
-    joined = usage.join(F.broadcast(prices), "model", "left")
+    joined = usage.join(small_side(prices), "model", "left")
     return joined.groupBy("model").agg((F.sum(F.col("tokens") * F.coalesce("per_million", F.lit(default))) / 1e6).alias("cost"))
 
 

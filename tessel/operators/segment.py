@@ -170,21 +170,32 @@ def toc_lines(df: DataFrame, key: str, text: str, most: int = 100) -> DataFrame:
     return rows.where((F.length("title") > 2) & ~F.col("title").rlike(r"^\d+$"))
 
 
-def match_toc(chunks: DataFrame, toc: DataFrame) -> DataFrame:
-    """Each chunk's TOC entry: by equal title, else by paragraph number at level 2, else the nearest by place.
+def match_toc(chunks: DataFrame, toc: DataFrame, key: str | None = None) -> DataFrame:
+    """Each chunk's TOC entry: by equal title (rule 1), else by paragraph number at level 2 (2), else the nearest by place (3).
 
-    chunks: chunk_id, title, number, place; toc: idx, title, number, level, place (one
-    document's table, small enough to broadcast). Ties go to the first entry.
+    chunks: chunk_id, title, number, place; toc: idx, title, number, level, place; key names
+    the document column of both. Ties go to the first entry. Titles and numbers are
+    equi-joins; the nearest entry is the last before or the first after in one ordering of
+    chunks and entries per document.
     """
-    t = F.broadcast(toc.select("idx", F.lower(F.trim("title")).alias("t_title"), F.col("number").alias("t_number"), "level", F.col("place").alias("t_place")))
-    rule = (
-        F.when(F.lower(F.trim("title")) == F.col("t_title"), 1)
-        .when((F.col("number") == F.col("t_number")) & (F.col("level") == 2), 2)
-        .otherwise(3)
-    )
-    pairs = chunks.crossJoin(t).withColumn("rule", rule)
-    best = F.min(F.struct("rule", F.when(F.col("rule") == 3, F.abs(F.col("place") - F.col("t_place"))).otherwise(0).alias("gap"), "idx"))
-    return pairs.groupBy("chunk_id").agg(best.alias("m")).select("chunk_id", F.col("m.idx").alias("idx"), F.col("m.rule").alias("rule"))
+    keys = [key] if key else []
+    bare = lambda c: F.lower(F.trim(c))
+    by_title = toc.groupBy(*keys, bare("title").alias("_title")).agg(F.min("idx").alias("_i1"))
+    by_number = toc.where("level = 2").groupBy(*keys, F.col("number").alias("_number")).agg(F.min("idx").alias("_i2"))
+    places = toc.groupBy(*keys, "place").agg(F.min("idx").alias("i"))
+    spot = F.struct(F.col("place").alias("p"), F.col("i"))
+    line = chunks.select(*keys, "chunk_id", "place", F.lit(1).alias("kind"), F.lit(None).cast("struct<p:bigint,i:bigint>").alias("spot"))
+    line = line.unionByName(places.select(*keys, F.lit(None).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"), "place", F.lit(0).alias("kind"), spot.cast("struct<p:bigint,i:bigint>").alias("spot")))
+    order = Window.partitionBy(*keys).orderBy("place", "kind")
+    before = F.last("spot", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("spot", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("place") - F.col(f"{c}.p")).alias("gap"), F.col(f"{c}.i").alias("i")))
+    near = line.withColumn("before", before).withColumn("after", after).where("kind = 1")
+    near = near.select(*keys, "chunk_id", F.array_min(F.filter(F.array(gap("before"), gap("after")), lambda x: x.isNotNull()))["i"].alias("_i3"))
+    out = chunks.withColumn("_title", bare("title")).withColumn("_number", F.col("number"))
+    out = out.join(by_title, [*keys, "_title"], "left").join(by_number, [*keys, "_number"], "left").join(near, [*keys, "chunk_id"], "left")
+    rule = F.when(F.col("_i1").isNotNull(), 1).when(F.col("_i2").isNotNull(), 2).otherwise(3)
+    return out.select(*keys, "chunk_id", F.coalesce("_i1", "_i2", "_i3").alias("idx"), rule.alias("rule"))
 
 
 def carried(reference: Column, key: str, order: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessel.functions import vector as V
+from tessel.operators.search import small_side
 
 
 def contrast(positive: DataFrame, negative: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def drift(tensor: DataFrame) -> DataFrame:
 
 def distances(tensor: DataFrame, reference: DataFrame) -> DataFrame:
     """Per state and dimension, 1 - cosine to the reference's dimension (1.0 where a vector is zero)."""
-    ref = F.broadcast(reference.select("dim", F.col("v").alias("ref")))
+    ref = small_side(reference.select("dim", F.col("v").alias("ref")))
     return tensor.join(ref, "dim").select("state_id", "dim", (1 - V.cosine(F.col("v"), F.col("ref"))).alias("distance"))
 
 
@@ -69,7 +70,7 @@ def alerts(drifts: DataFrame, by_dim: DataFrame, threshold: float, step: float =
 def projection(tensor: DataFrame, directions: DataFrame, dim_of: Column) -> DataFrame:
     """Profiles: each direction (name, category, vector) against the dimension its category maps to, as a dot product."""
     d = directions.withColumn("dim", dim_of)
-    return tensor.join(F.broadcast(d), "dim").select("state_id", "category", "name", V.dot(F.col("v"), F.col("vector")).alias("value"))
+    return tensor.join(small_side(d), "dim").select("state_id", "category", "name", V.dot(F.col("v"), F.col("vector")).alias("value"))
 
 
 def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
