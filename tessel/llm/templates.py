@@ -161,9 +161,11 @@ def _named(path: str) -> tuple[str, str]:
 def _by_name(path: str) -> str | None:
     """'drop' or 'main' where an element's own name says so."""
     name, names = _named(path)
-    if name in _DROP_TAGS or (names and _DROP_NAMES.search(names)):
-        return "drop"
-    if name == "header" and not any(f"/{m}" in path.rpartition("/")[0] for m in _MAIN):
+    inside = any(f"/{m}" in path.rpartition("/")[0] for m in _MAIN)
+    found = _DROP_NAMES.search(names) if names else None
+    # an article's own header holds its title
+    own = found and "header" in found[0].lower() and (inside or _MAIN_NAMES.search(names))
+    if name in _DROP_TAGS or (found and not own) or (name == "header" and not inside):
         return "drop"
     return "main" if name in _MAIN or (names and _MAIN_NAMES.search(names)) else None
 
