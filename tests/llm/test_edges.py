@@ -123,6 +123,12 @@ def test_pages_of_edges(spark):
     assert extract(pages.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
 
 
+def test_articles_own_header(spark):
+    page = "<header>Site</header><article><header><h1>Title</h1></header><div class='entry-header'>By line</div><p>Text</p><div class='share-box'>Share</div></article><div class='cookie-notice'>Cookies</div>"
+    pages = spark.createDataFrame([(1, "http://q.org/", page)], "page_id long, url string, html string")
+    assert extract(pages).head()["text"] == "Title\n\nBy line\n\nText"
+
+
 def test_lost_columns(spark):
     docs = spark.createDataFrame([(1, "some words here and there")], "doc_id long, text string")
     assert quality_rules(docs).select("kept", F.lit(1)).count() == 1
