@@ -5,26 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values ---
+# --- fixed values: what decides results, as the engine's users know it ---
 
-#: Patterns of secrets that redaction replaces.
+#: (pattern, what stays) of secrets in messages; the value becomes a mark.
 SECRET_PATTERNS = (
-    r"sk-[A-Za-z0-9_-]{16,}",
-    r"AKIA[0-9A-Z]{16}",
-    r"ghp_[A-Za-z0-9]{36}",
-    r"(?i)bearer\s+[A-Za-z0-9._-]{16,}",
-    r"(?i)(?:api[_-]?key|token|secret|password)\s*[=:]\s*[\"']?[^\s\"']{6,}[\"']?",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    r"(?i)(api[_-]?key\s*[=:]\s*)[\"']?[\w-]{20,}[\"']?",
+    r"(?i)(bearer\s+)[\w-]{20,}",
+    r"(?i)(authorization\s*[=:]\s*)[\"']?[\w-]{20,}[\"']?",
+    r"(?i)(MISTRAL_API_KEY\s*[=:]\s*)[\"']?[\w-]+[\"']?",
+    r"(?i)(password\s*[=:]\s*)[\"']?[^\s\"']+[\"']?",
+    r"(?i)(secret\s*[=:]\s*)[\"']?[\w-]+[\"']?",
+    r"(?i)(token\s*[=:]\s*)[\"']?[\w-]{20,}[\"']?",
 )
+#: Keys of maps whose values are secret.
+SECRET_KEYS = r"key|secret|token|password|passwd|pwd|auth|bearer"
 #: Words that mark test content.
-TEST_WORDS = ("test", "debug", "example", "lorem ipsum", "foo", "dummy", "sample", "todo")
-#: French connectors that make a question discursive.
-CONNECTORS = (" et ", " ou ", " mais ", " donc ", " car ", " comment ", " pourquoi ", " entre ", " selon ")
+TEST_WORDS = ("test", "debug", "todo", "fixme", "xxx", "lorem ipsum", "example", "placeholder")
+#: Connectors that make a question discursive.
+CONNECTORS = ("et", "ou", "mais", "donc", "car", "parce que", "puisque", "si")
 #: Words that carry no weight in routing.
-STOP_WORDS = ("le", "la", "les", "de", "des", "du", "un", "une", "et", "ou", "en", "the", "of", "and", "to", "in", "is", "a", "an", "for", "on")
-#: Section titles that are not indexed.
-EXCLUDED_TITLES = ("table of contents", "contents", "index", "bibliography", "references", "acknowledgments", "table des matières", "sommaire", "bibliographie", "remerciements", "index des noms", "du même auteur", "copyright", "glossary", "glossaire", "list of figures", "liste des figures", "appendix", "annexes")
+STOP_WORDS = ("le", "la", "les", "un", "une", "des", "du", "de", "d", "ce", "cette", "ces", "mon", "ma", "mes", "ton", "ta", "tes", "à", "au", "aux", "dans", "sur", "pour", "par", "avec", "que", "qui", "quoi", "dont", "où", "est", "sont", "a", "qu", "c", "l", "s", "n", "m", "t", "j", "y")
+#: Phrases in titles of sections that are not indexed.
+EXCLUDED_TITLES = ("table des matières", "table des matieres", "sommaire", "table of contents", "contents", "toc", "index", "liste des figures", "liste des tableaux", "list of figures", "list of tables", "note de l'éditeur", "note de l'editeur", "note de la rédaction", "copyright", "mentions légales", "crédits", "colophon", "achevé d'imprimer")
+#: Lines that look like section titles.
+TITLE_LINE = r"(?i)^(?:comment\s+.+\?|où\s+.+|les?\s+[\p{L}\p{N}_]+\s+à\s+|que\s+.+\?|l[ae]\s+[\p{L}\p{N}_]+\s+(?:de|du)\s+|entre\s+.+\s+et\s+)"
+#: Verbs of running prose, as whole words.
+NARRATIVE = r"(?i)(?:^|[^\p{L}\p{N}_])(?:est|sont|était|sera|a|ont|avait|avaient|fait|dit|pense|explique)(?:[^\p{L}\p{N}_]|$)"
+#: Phrases that show reasoning.
+REASONING_MARKERS = ("je pense que", "il me semble", "apres reflexion", "en analysant", "d'un point de vue", "cela suggere", "on pourrait dire", "il est probable que", "selon mon analyse", "en considerant", "je deduis que", "logiquement", "mon raisonnement", "je conclus", "en reflechissant")
+#: Paragraph numbers at the start of a text, in order.
+PARAGRAPH_PATTERNS = (r"^(\d+)\s+[A-ZÀ-Ü]", r"^(\d+)[A-ZÀ-Ü]", r"^§\s*(\d+)", r"^\[(\d+)\]", r"^(\d+)\.", r"^(\d+)\)")
+#: Paragraph numbers of headings, with their letter.
+HEADING_PATTERNS = (r"^(\d+[a-z]?)\.\s", r"^§\s*(\d+[a-z]?)\s", r"^CP\s+\d+\.(\d+)\.\s")
+#: The reference at the start of a section path.
+REFERENCE = r"^(?:§\s*)?(CP\s+[\d.]+|\d+[a-z]?)\.\s"
 
 
 def trimmed(t: Column) -> Column:
@@ -83,15 +97,28 @@ def markers(t: Column, wanted: tuple[str, ...]) -> Column:
 
 
 def canonical_reference(path: Column) -> Column:
-    """A leading paragraph reference of a section path (with or without its sign), else the path's first part."""
-    ref = F.regexp_extract(path, r"^(?:§\s*)?(CP\s+[\d.]+|[A-Z]?\d+(?:\.\d+)*[a-e]?)(?=\s|$)", 1)
-    return F.when(ref != "", ref).otherwise(trimmed(F.get(F.split(path, ">"), F.lit(0))))
+    """The reference at the start of a section path, as "§128. " gives 128 and "CP 5.628. " CP 5.628; null without one."""
+    return F.nullif(F.regexp_extract(path, REFERENCE, 1), F.lit(""))
+
+
+def _first_of(t: Column, patterns: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in patterns])
 
 
 def paragraph_number(t: Column) -> Column:
-    """The number of a paragraph heading such as "§ 12", "12.", "Art. 12", "[12]", "(12)" or "12 -"."""
-    patterns = (r"^\s*§\s*(\d+)", r"^\s*(\d+)\.\s", r"^\s*(?:Art|Par)\.\s*(\d+)", r"^\s*\[(\d+)\]", r"^\s*\((\d+)\)", r"^\s*(\d+)\s*[-–—]")
-    return F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in patterns]).try_cast("int")
+    """The number of a paragraph such as "9 On", "10Dans", "§ 15", "[9]", "9." or "9)"."""
+    return _first_of(t, PARAGRAPH_PATTERNS).try_cast("int")
+
+
+def heading_number(t: Column) -> Column:
+    """The number of a heading with its letter, as 628, 42 or 80a; null without one."""
+    return _first_of(t, HEADING_PATTERNS)
+
+
+def without_annotations(t: Column) -> Column:
+    """t without a validator's remarks in brackets: any at the end, bare ones inside."""
+    t = F.regexp_replace(t, r"(?i)\s*\([^)]*(?:correct|à confirmer|possiblement|probablement)[^)]*\)\s*$", "")
+    return trimmed(F.regexp_replace(t, r"(?i)\s*\((?:correct|à confirmer)\)\s*", " "))
 
 
 def roman(t: Column) -> Column:
@@ -137,15 +164,15 @@ def relative_time(t: Column, now: Column) -> Column:
     return F.when(n.isNotNull(), now - back).otherwise(F.try_to_timestamp(t))
 
 
-def redacted(t: Column, mark: str = "[REDACTED]") -> Column:
+def redacted(t: Column, mark: str = "***REDACTED***") -> Column:
     for p in SECRET_PATTERNS:
-        t = F.regexp_replace(t, p, mark)
+        t = F.regexp_replace(t, p, "$1" + mark)
     return t
 
 
-def redacted_map(m: Column, mark: str = "[REDACTED]") -> Column:
+def redacted_map(m: Column, mark: str = "***REDACTED***") -> Column:
     """A string map with the values of secret-sounding keys replaced and the others redacted."""
-    return F.transform_values(m, lambda k, v: F.when(F.lower(k).rlike("key|token|secret|password|auth"), F.lit(mark)).otherwise(redacted(v, mark)))
+    return F.transform_values(m, lambda k, v: F.when(F.lower(k).rlike(SECRET_KEYS), F.lit(mark)).otherwise(redacted(v, mark)))
 
 
 def document_name(t: Column) -> Column:
@@ -154,19 +181,22 @@ def document_name(t: Column) -> Column:
 
 
 def valid_chunk(t: Column, min_chars: int = 30, min_words: int = 5) -> Column:
-    """Whether a chunk is worth indexing: long enough and not a bare URL, date, ISBN, DOI or copyright line."""
-    s = trimmed(t)
-    return (F.length(s) >= min_chars) & (word_count(s) >= min_words) & ~s.rlike(r"(?i)^(https?://\S*$|\d{4}-\d{2}-\d{2}$|isbn[\s:]|doi[\s:]|©)")
+    """Whether a chunk is worth indexing: long enough, and no address, date, ISBN, DOI or copyright line."""
+    s = without_page_marks(t)
+    return (F.length(s) >= min_chars) & (word_count(s) >= min_words) & ~s.rlike(r"(?i)^(?:https?://|\d{4}-\d{2}-\d{2}$|ISBN|DOI|©)")
 
 
-def excluded_section(title: Column, content: Column) -> Column:
-    """Whether a section is front or back matter by its title, or a list of titles by the shape of its lines."""
-    by_title = F.exists(F.array(*[F.lit(x) for x in EXCLUDED_TITLES]), lambda x: F.contains(F.lower(title), x))
-    lines = F.filter(F.split(content, "\n"), lambda x: trimmed(x) != "")
+def excluded_section(title: Column, content: Column, chapter: Column | None = None) -> Column:
+    """Whether a section is front or back matter by its or its chapter's title, or a list of titles by the shape of its lines."""
+    phrases = F.array(*[F.lit(x) for x in EXCLUDED_TITLES])
+    named = lambda c: F.coalesce(F.exists(phrases, lambda x: F.contains(F.lower(trimmed(c)), x)), F.lit(False))
+    lines = F.filter(F.transform(F.split(content, "\n"), trimmed), lambda x: x != "")
     n = F.size(lines)
     mean = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(n, F.lit(1))
-    titled = F.size(F.filter(lines, lambda x: x.rlike(r"^[A-ZÀ-Þ0-9]"))) / F.greatest(n, F.lit(1))
-    return F.coalesce(by_title, F.lit(False)) | F.coalesce((n >= 5) & (mean < 50) & F.forall(F.slice(lines, 1, 10), lambda x: F.length(x) < 100) & (titled >= 0.4), F.lit(False))
+    titles = F.size(F.filter(F.slice(lines, 1, 10), lambda x: x.rlike(TITLE_LINE)))
+    narrative = F.exists(F.slice(lines, 1, 5), lambda x: x.rlike(NARRATIVE))
+    listed = (n >= 5) & (mean < 50) & F.forall(F.slice(lines, 1, 10), lambda x: F.length(x) < 100) & ((titles >= n * 0.4) | ~narrative)
+    return named(title) | (named(chapter) if chapter is not None else F.lit(False)) | F.coalesce(listed, F.lit(False))
 
 
 def test_content(kind: Column, t: Column) -> Column:
@@ -178,10 +208,12 @@ def usable_answer(role: Column, t: Column) -> Column:
 
 
 def needs_hierarchy(question: Column) -> Column:
-    """Whether a question calls for two-stage search: long, with a connector, or two weighty words."""
-    weighty = F.filter(F.split(F.lower(trimmed(question)), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    connected = F.exists(F.array(*[F.lit(c) for c in CONNECTORS]), lambda c: F.contains(F.lower(question), c))
-    return (F.length(question) >= 15) | connected | (F.size(weighty) >= 2)
+    """Whether a question calls for two-stage search: long, with a connector, or two weighty words; blank ones don't."""
+    q = F.lower(trimmed(F.coalesce(question, F.lit(""))))
+    weighty = F.filter(F.split(q, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    padded = F.concat(F.lit(" "), q, F.lit(" "))
+    connected = F.exists(F.array(*[F.lit(f" {c} ") for c in CONNECTORS]), lambda c: F.contains(padded, c))
+    return (F.length(q) >= 15) | connected | (F.size(weighty) >= 2)
 
 
 def errors(**checks: Column) -> Column:

@@ -51,26 +51,36 @@ def markdown_to_text(spark, d):
     return docs(spark, d).select("doc_id", F.concat(T.without_markdown(t), F.lit(" ")).alias("raw"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(['the', 'des', 'und', 'que'], lambda m: contains(lower(text), m)), ',') AS found FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_filter(['je pense que', 'il me semble', 'logiquement'], lambda m: contains(lower(t), m)), ',') AS found FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Logiquement, il me semble. ' || text WHEN 1 THEN text || ' Je pense que oui' ELSE text END AS t FROM documents)""")
 def text_markers(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(T.markers(F.col("text"), ("the", "des", "und", "que")), ",").alias("found"))
+    m = F.col("doc_id") % 3
+    t = F.when(m == 0, F.concat(F.lit("Logiquement, il me semble. "), "text")).when(m == 1, F.concat("text", F.lit(" Je pense que oui"))).otherwise(F.col("text"))
+    return docs(spark, d).select("doc_id", F.array_join(T.markers(t, T.REASONING_MARKERS), ",").alias("found"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '§ CP ' || doc_id || '.3 > ' || source WHEN 1 THEN doc_id || '.2 > ' || source WHEN 2 THEN source || ' > ' || lang ELSE 'B' || doc_id || 'a text' END AS path FROM documents),
- r AS (SELECT doc_id, path, regexp_extract(path, '^(?:§\s*)?(CP\s+[\d.]+|[A-Z]?\d+(?:\.\d+)*[a-e]?)(?:\s|$)', 1) AS ref FROM p)
- SELECT doc_id, CASE WHEN ref <> '' THEN ref ELSE trim(split_part(path, '>', 1)) END AS reference FROM r""")
+@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '§ CP 5.' || doc_id || '. ' || source WHEN 1 THEN doc_id || 'a. ' || source WHEN 2 THEN source || ' > ' || lang ELSE '§' || doc_id || '. text' END AS path FROM documents)
+ SELECT doc_id, nullif(regexp_extract(path, '^(?:§\s*)?(CP\s+[\d.]+|\d+[a-z]?)\.\s', 1), '') AS reference FROM p""")
 def canonical_references(spark, d):
     m = F.col("doc_id") % 4
-    path = F.when(m == 0, F.concat(F.lit("§ CP "), "doc_id", F.lit(".3 > "), "source")).when(m == 1, F.concat("doc_id", F.lit(".2 > "), "source")).when(m == 2, F.concat("source", F.lit(" > "), "lang")).otherwise(F.concat(F.lit("B"), "doc_id", F.lit("a text")))
+    path = F.when(m == 0, F.concat(F.lit("§ CP 5."), "doc_id", F.lit(". "), "source")).when(m == 1, F.concat("doc_id", F.lit("a. "), "source")).when(m == 2, F.concat("source", F.lit(" > "), "lang")).otherwise(F.concat(F.lit("§"), "doc_id", F.lit(". text")))
     return docs(spark, d).select("doc_id", T.canonical_reference(path).alias("reference"))
 
 
-@query(r"""WITH h AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '§ ' || doc_id || ' On' WHEN 1 THEN doc_id || '. On' WHEN 2 THEN 'Art. ' || doc_id WHEN 3 THEN '[' || doc_id || '] x' WHEN 4 THEN '(' || doc_id || ')' WHEN 5 THEN doc_id || ' - x' ELSE 'none ' || doc_id END AS h FROM documents)
- SELECT doc_id, coalesce(nullif(regexp_extract(h, '^\s*§\s*(\d+)', 1), ''), nullif(regexp_extract(h, '^\s*(\d+)\.\s', 1), ''), nullif(regexp_extract(h, '^\s*(?:Art|Par)\.\s*(\d+)', 1), ''), nullif(regexp_extract(h, '^\s*\[(\d+)\]', 1), ''), nullif(regexp_extract(h, '^\s*\((\d+)\)', 1), ''), nullif(regexp_extract(h, '^\s*(\d+)\s*-', 1), ''))::INT AS number FROM h""")
+@query(r"""WITH h AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '§ ' || doc_id || ' On' WHEN 1 THEN doc_id || ' On' WHEN 2 THEN doc_id || 'Dans' WHEN 3 THEN '[' || doc_id || '] x' WHEN 4 THEN doc_id || ') x' WHEN 5 THEN doc_id || 'a. x' WHEN 6 THEN 'CP 5.' || doc_id || '. x' ELSE 'none ' || doc_id END AS h FROM documents)
+ SELECT doc_id, coalesce(nullif(regexp_extract(h, '^(\d+)\s+[A-ZÀ-Ü]', 1), ''), nullif(regexp_extract(h, '^(\d+)[A-ZÀ-Ü]', 1), ''), nullif(regexp_extract(h, '^§\s*(\d+)', 1), ''), nullif(regexp_extract(h, '^\[(\d+)\]', 1), ''), nullif(regexp_extract(h, '^(\d+)\.', 1), ''), nullif(regexp_extract(h, '^(\d+)\)', 1), ''))::INT AS number,
+ coalesce(nullif(regexp_extract(h, '^(\d+[a-z]?)\.\s', 1), ''), nullif(regexp_extract(h, '^§\s*(\d+[a-z]?)\s', 1), ''), nullif(regexp_extract(h, '^CP\s+\d+\.(\d+)\.\s', 1), '')) AS heading FROM h""")
 def paragraph_numbers(spark, d):
-    m, i = F.col("doc_id") % 7, F.col("doc_id").cast("string")
-    h = F.when(m == 0, F.concat(F.lit("§ "), i, F.lit(" On"))).when(m == 1, F.concat(i, F.lit(". On"))).when(m == 2, F.concat(F.lit("Art. "), i)).when(m == 3, F.concat(F.lit("["), i, F.lit("] x"))).when(m == 4, F.concat(F.lit("("), i, F.lit(")"))).when(m == 5, F.concat(i, F.lit(" - x"))).otherwise(F.concat(F.lit("none "), i))
-    return docs(spark, d).select("doc_id", T.paragraph_number(h).alias("number"))
+    m, i = F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    h = F.when(m == 0, F.concat(F.lit("§ "), i, F.lit(" On"))).when(m == 1, F.concat(i, F.lit(" On"))).when(m == 2, F.concat(i, F.lit("Dans"))).when(m == 3, F.concat(F.lit("["), i, F.lit("] x"))).when(m == 4, F.concat(i, F.lit(") x"))).when(m == 5, F.concat(i, F.lit("a. x"))).when(m == 6, F.concat(F.lit("CP 5."), i, F.lit(". x"))).otherwise(F.concat(F.lit("none "), i))
+    return docs(spark, d).select("doc_id", T.paragraph_number(h).alias("number"), T.heading_number(h).alias("heading"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)\s*\([^)]*(?:correct|à confirmer|possiblement|probablement)[^)]*\)\s*$', ''), '(?i)\s*\((?:correct|à confirmer)\)\s*', ' ', 'g'), '^\s+|\s+$', '', 'g') AS name FROM (
+ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || ' (à confirmer)' WHEN 1 THEN source || ' (Correct) ' || lang WHEN 2 THEN source || ' (très probablement) ' ELSE source || ' (1807)' END AS t FROM documents)""")
+def annotations(spark, d):
+    m = F.col("doc_id") % 4
+    t = F.when(m == 0, F.concat("source", F.lit(" (à confirmer)"))).when(m == 1, F.concat("source", F.lit(" (Correct) "), "lang")).when(m == 2, F.concat("source", F.lit(" (très probablement) "))).otherwise(F.concat("source", F.lit(" (1807)")))
+    return docs(spark, d).select("doc_id", T.without_annotations(t).alias("name"))
 
 
 @query("SELECT i AS n, i::INT AS value FROM range(1, 400) t(i)")
@@ -112,34 +122,43 @@ def relative_times(spark, d):
     return read(spark, d, "events").select("event_id", T.relative_time(t, F.lit("2024-02-01").cast("timestamp")).alias("since"))
 
 
-@query(r"""SELECT doc_id, (len(regexp_extract_all(t, '\[REDACTED\]'))) AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{16,}', '[REDACTED]', 'g'), 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g'), 'ghp_[A-Za-z0-9]{36}', '[REDACTED]', 'g'), '(?i)bearer\s+[A-Za-z0-9._-]{16,}', '[REDACTED]', 'g'), '(?i)(?:api[_-]?key|token|secret|password)\s*[=:]\s*["'']?[^\s"'']{6,}["'']?', '[REDACTED]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[REDACTED]', 'g') AS t FROM documents)""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(right(t, 120), '(?i)(bearer\s+)[\w-]{20,}', '\1***REDACTED***', 'g'), '(?i)(password\s*[=:]\s*)["'']?[^\s"'']+["'']?', '\1***REDACTED***', 'g'), '(?i)(secret\s*[=:]\s*)["'']?[\w-]+["'']?', '\1***REDACTED***', 'g'), '(?i)(token\s*[=:]\s*)["'']?[\w-]{20,}["'']?', '\1***REDACTED***', 'g') AS t
+ FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || ' password: "p' || doc_id || '"' WHEN 1 THEN text || ' Bearer abcdefghij' || (doc_id + 1000000000) WHEN 2 THEN text || ' secret=s' || doc_id ELSE text END AS t FROM documents)""")
 def redaction(spark, d):
-    return docs(spark, d).select("doc_id", F.regexp_count(T.redacted(F.col("text")), F.lit(r"\[REDACTED\]")).cast("long").alias("n"))
+    m = F.col("doc_id") % 4
+    t = F.when(m == 0, F.concat("text", F.lit(' password: "p'), "doc_id", F.lit('"'))).when(m == 1, F.concat("text", F.lit(" Bearer abcdefghij"), F.col("doc_id") + 1000000000)).when(m == 2, F.concat("text", F.lit(" secret=s"), "doc_id")).otherwise(F.col("text"))
+    return docs(spark, d).select("doc_id", T.redacted(F.right(t, F.lit(120))).alias("t"))
 
 
-@query(r"SELECT doc_id, length(trim(text)) >= 60 AND len(list_filter(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: w <> '')) >= 12 AND NOT regexp_matches(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(?i)^(https?://\S*$|\d{4}-\d{2}-\d{2}$|isbn[\s:]|doi[\s:]|©)') AS valid FROM documents")
+@query(r"""SELECT doc_id, length(t) >= 60 AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) >= 12 AND NOT regexp_matches(t, '(?i)^(?:https?://|\d{4}-\d{2}-\d{2}$|ISBN|DOI|©)') AS valid FROM (
+ SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN doc_id % 9 = 0 THEN 'isbn ' || text ELSE text END, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)""")
 def chunk_validity(spark, d):
-    return docs(spark, d).select("doc_id", T.valid_chunk(F.col("text"), 60, 12).alias("valid"))
+    t = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("isbn "), "text")).otherwise(F.col("text"))
+    return docs(spark, d).select("doc_id", T.valid_chunk(t, 60, 12).alias("valid"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS l FROM documents)
- SELECT doc_id, doc_id % 11 = 0 OR (len(l) >= 5 AND list_sum(list_transform(l, lambda x: length(x))) / greatest(len(l), 1) < 50 AND list_bool_and(list_transform(l[1:10], lambda x: length(x) < 100)) AND len(list_filter(l, lambda x: regexp_matches(x, '^[A-ZÀ-Þ0-9]'))) / greatest(len(l), 1) >= 0.4) AS excluded FROM l""")
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
+ SELECT doc_id, doc_id % 11 = 0 OR doc_id % 13 = 0 OR (len(l) >= 5 AND list_sum(list_transform(l, lambda x: length(x))) / greatest(len(l), 1) < 50 AND list_bool_and(list_transform(l[1:10], lambda x: length(x) < 100))
+ AND (len(list_filter(l[1:10], lambda x: regexp_matches(x, '(?i)^(?:comment\s+.+\?|où\s+.+|les?\s+[\p{L}\p{N}_]+\s+à\s+|que\s+.+\?|l[ae]\s+[\p{L}\p{N}_]+\s+(?:de|du)\s+|entre\s+.+\s+et\s+)'))) >= len(l) * 0.4
+ OR NOT list_bool_or(list_transform(l[1:5], lambda x: regexp_matches(x, '(?i)(?:^|[^\p{L}\p{N}_])(?:est|sont|était|sera|a|ont|avait|avaient|fait|dit|pense|explique)(?:[^\p{L}\p{N}_]|$)'))))) AS excluded FROM l""")
 def excluded_sections(spark, d):
-    title = F.when(F.col("doc_id") % 11 == 0, "Table of Contents").otherwise("Chapter one")
-    return docs(spark, d).select("doc_id", T.excluded_section(title, F.col("text")).alias("excluded"))
+    title = F.when(F.col("doc_id") % 11 == 0, " Table of Contents ").otherwise("Chapter one")
+    chapter = F.when(F.col("doc_id") % 13 == 0, "Mentions légales")
+    return docs(spark, d).select("doc_id", T.excluded_section(title, F.col("text"), chapter).alias("excluded"))
 
 
-@query("""SELECT conv_id, turn, role IN ('test', 'debug', 'example') OR length(text) < 20 OR list_bool_or(list_transform(['test', 'debug', 'example', 'lorem ipsum', 'foo', 'dummy', 'sample', 'todo'], lambda x: contains(lower(text), x))) AS is_test,
+@query("""SELECT conv_id, turn, role IN ('test', 'debug', 'example') OR length(text) < 20 OR list_bool_or(list_transform(['test', 'debug', 'todo', 'fixme', 'xxx', 'lorem ipsum', 'example', 'placeholder'], lambda x: contains(lower(text), x))) AS is_test,
  role = 'assistant' AND length(text) >= 50 AND NOT starts_with(text, '[Error') AND NOT starts_with(text, '[System') AS usable FROM conversations""")
 def message_filters(spark, d):
     c = read(spark, d, "conversations")
     return c.select("conv_id", "turn", T.test_content(F.col("role"), F.col("text")).alias("is_test"), T.usable_answer(F.col("role"), F.col("text")).alias("usable"))
 
 
-@query(r"""WITH q AS (SELECT conv_id, turn, left(text, (conv_id % 30)::INT + 3) AS q FROM conversations) SELECT conv_id, turn, length(q) >= 15 OR list_bool_or(list_transform([' et ', ' ou ', ' mais ', ' donc ', ' car ', ' comment ', ' pourquoi ', ' entre ', ' selon '], lambda c: contains(lower(q), c)))
- OR len(list_filter(regexp_split_to_array(lower(regexp_replace(q, '^\s+|\s+$', '', 'g')), '\s+'), lambda w: length(w) > 2 AND w NOT IN ('le', 'la', 'les', 'de', 'des', 'du', 'un', 'une', 'et', 'ou', 'en', 'the', 'of', 'and', 'to', 'in', 'is', 'a', 'an', 'for', 'on'))) >= 2 AS hierarchical FROM q""")
+@query(r"""WITH q AS (SELECT conv_id, turn, lower(regexp_replace(left(text, (conv_id % 15)::INT), '^\s+|\s+$', '', 'g')) AS q FROM conversations)
+ SELECT conv_id, turn, length(q) >= 15 OR list_bool_or(list_transform(['et', 'ou', 'mais', 'donc', 'car', 'parce que', 'puisque', 'si'], lambda c: contains(' ' || q || ' ', ' ' || c || ' ')))
+ OR len(list_filter(regexp_split_to_array(q, '\s+'), lambda w: length(w) > 2 AND w NOT IN ('le', 'la', 'les', 'un', 'une', 'des', 'du', 'de', 'd', 'ce', 'cette', 'ces', 'mon', 'ma', 'mes', 'ton', 'ta', 'tes', 'à', 'au', 'aux', 'dans', 'sur', 'pour', 'par', 'avec', 'que', 'qui', 'quoi', 'dont', 'où', 'est', 'sont', 'a', 'qu', 'c', 'l', 's', 'n', 'm', 't', 'j', 'y'))) >= 2 AS hierarchical FROM q""")
 def query_router(spark, d):
-    q = F.substring(F.col("text"), F.lit(1), (F.col("conv_id") % 30 + 3).cast("int"))
+    q = F.substring(F.col("text"), F.lit(1), (F.col("conv_id") % 15).cast("int"))
     return read(spark, d, "conversations").select("conv_id", "turn", T.needs_hierarchy(q).alias("hierarchical"))
 
 

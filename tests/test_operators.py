@@ -143,7 +143,7 @@ def test_ocr_cleaning(spark):
 
 
 def test_router(spark):
-    asked = ["ok", "vertu et vice", "free will", "what is the nature of signs"]
+    asked = ["justice", "vertu et bien", "free will", "what is the nature of signs"]
     assert [one(spark, T.needs_hierarchy(F.col("t")), t=a) for a in asked] == [False, True, True, True]
 
 
