@@ -90,9 +90,9 @@ def pages_markdown(pages: DataFrame, key: str, page: str, text: str) -> DataFram
 
 
 def batch_size(df: DataFrame, text: str, first: int = 10) -> DataFrame:
-    """The insert batch size for a table by the mean length of its first texts by order of id."""
-    mean = F.coalesce(F.avg(F.length(text)), F.lit(0.0))
-    return df.orderBy("id").limit(first).agg(F.when(mean > 20_000, 10).when(mean > 8_000, 25).when(mean > 3_000, 50).otherwise(100).alias("batch"))
+    """The insert batch size for a table by the mean length of its first texts by order of id; 50 where those are empty."""
+    mean = F.floor(F.avg(F.when(F.length(text) > 0, F.length(text))))
+    return df.orderBy("id").limit(first).agg(F.when(mean > 50_000, 10).when(mean > 10_000, 25).when(mean > 3_000, 50).when(mean.isNull(), 50).otherwise(100).alias("batch"))
 
 
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

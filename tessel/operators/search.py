@@ -158,8 +158,9 @@ def consistency(sources: dict[str, DataFrame], query, k: int = 10, most_distance
     """One row: the mean similarity of near rows (1.0 without any), its label, and the count of evidence."""
     parts = [knn(df, query, k).select("id", "similarity") for df in sources.values()]
     near = reduce(lambda a, b: a.union(b), parts).where(1 - F.col("similarity") < most_distance)
-    out = near.agg(F.count(F.lit(1)).alias("evidence"), F.round(F.coalesce(F.avg("similarity"), F.lit(1.0)), 2).alias("score"))
-    return out.withColumn("label", F.when(F.col("score") >= 0.8, "consistent").when(F.col("score") >= 0.6, "partial").otherwise("inconsistent"))
+    mean = F.coalesce(F.avg("similarity"), F.lit(1.0))
+    label = F.when(mean > 0.8, "consistent").when(mean > 0.6, "partial").otherwise("to verify")
+    return near.agg(F.count(F.lit(1)).alias("evidence"), F.round(mean, 2).alias("score"), label.alias("label"))
 
 
 def pairwise_l2(df: DataFrame, most: int = 5000) -> DataFrame:

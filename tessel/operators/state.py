@@ -81,7 +81,7 @@ def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def intensity(value: Column) -> Column:
     """The band of a projection value."""
-    return F.when(value >= 0.5, "very high").when(value >= 0.2, "high").when(value > -0.2, "balanced").when(value > -0.5, "low").otherwise("very low")
+    return F.when(value > 0.5, "tres").when(value > 0.2, "moderement").when(value > -0.2, "neutre").when(value > -0.5, "peu").otherwise("pas du tout")
 
 
 def bar(value: Column, width: int = 10) -> Column:
@@ -98,10 +98,11 @@ def evolve(steps: DataFrame, start: Column, entity: str = "entity") -> DataFrame
 
 
 def adaptive_rates(thoughts: Column, trigger: Column, length: Column, alpha: float = 0.85, beta: float = 0.15) -> tuple[Column, Column]:
-    """Memory and input weights of a step: more thoughts weigh the input more, timers half as much, long user texts a little more."""
-    b = F.lit(beta) + F.least(thoughts * 0.01, F.lit(0.1))
-    b = F.when(trigger == "timer", b / 2).when((trigger == "user") & (length > 500), b + 0.02).otherwise(b)
-    return 1 - b, b
+    """Memory and input weights of a step, of sum 1: each thought weighs the input 0.03 more, up to 0.1; half of that for timers, 0.02 more for user texts over 200 characters."""
+    more = F.least(thoughts * 0.03, F.lit(0.10))
+    more = F.when(trigger == "timer", more * 0.5).when((trigger == "user") & (length > 200), more + 0.02).otherwise(more)
+    a, b = F.lit(alpha) - more, F.lit(beta) + more
+    return a / (a + b), b / (a + b)
 
 
 def evolve_dims(steps: DataFrame, tensor0: Column, rates: Column, entity: str = "entity") -> DataFrame:

@@ -97,7 +97,7 @@ def pages_to_markdown(spark, d):
     return R.pages_markdown(read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("text")), "conv_id", "turn", "text")
 
 
-@query("SELECT (CASE WHEN m > 20000 THEN 10 WHEN m > 8000 THEN 25 WHEN m > 3000 THEN 50 ELSE 100 END)::INT AS batch FROM (SELECT avg(length(text)) AS m FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 10))")
+@query("SELECT (CASE WHEN m > 50000 THEN 10 WHEN m > 10000 THEN 25 WHEN m > 3000 THEN 50 WHEN m IS NULL THEN 50 ELSE 100 END)::INT AS batch FROM (SELECT floor(avg(length(text)) FILTER (length(text) > 0)) AS m FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 10))")
 def insert_batch_size(spark, d):
     return R.batch_size(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
 

@@ -115,8 +115,8 @@ def concept_timeline(spark, d):
 
 
 @query(f"""WITH {_SOURCES}, s AS (SELECT type, id, {_COS} AS r FROM src, {_Q0}), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY r DESC, id) AS rn FROM s),
- a AS (SELECT count(*) AS evidence, round(coalesce(avg(r), 1.0), 2) AS score FROM k WHERE rn <= 10 AND 1 - r < 0.7)
- SELECT evidence, score, CASE WHEN score >= 0.8 THEN 'consistent' WHEN score >= 0.6 THEN 'partial' ELSE 'inconsistent' END AS label FROM a""")
+ a AS (SELECT count(*) AS evidence, coalesce(avg(r), 1.0) AS score FROM k WHERE rn <= 10 AND 1 - r < 0.7)
+ SELECT evidence, round(score, 2) AS score, CASE WHEN score > 0.8 THEN 'consistent' WHEN score > 0.6 THEN 'partial' ELSE 'to verify' END AS label FROM a""")
 def consistency_score(spark, d):
     return S.consistency(_memory(spark, d), _first(spark, d))
 

@@ -124,7 +124,7 @@ def _profile(spark, d):
 _PROFILE = f"(SELECT state_id, category, name, list_inner_product(v, vector) AS value FROM {TENSOR_SQL} t JOIN {_DIRECTIONS} x ON t.dim = x.dim)"
 
 
-@query(f"SELECT category, name, round(value, 4) AS value, CASE WHEN value >= 0.5 THEN 'very high' WHEN value >= 0.2 THEN 'high' WHEN value > -0.2 THEN 'balanced' WHEN value > -0.5 THEN 'low' ELSE 'very low' END AS band FROM {_PROFILE} WHERE state_id = 5")
+@query(f"SELECT category, name, round(value, 4) AS value, CASE WHEN value > 0.5 THEN 'tres' WHEN value > 0.2 THEN 'moderement' WHEN value > -0.2 THEN 'neutre' WHEN value > -0.5 THEN 'peu' ELSE 'pas du tout' END AS band FROM {_PROFILE} WHERE state_id = 5")
 def profile_projection(spark, d):
     return _profile(spark, d).where("state_id = 5").select("category", "name", F.round("value", 4).alias("value"), T.intensity(F.col("value")).alias("band"))
 
@@ -197,3 +197,12 @@ def contradiction_decision(spark, d):
     rows = vectors(spark, d).withColumn("s", V.dot(F.col("vector"), _first(spark, d)))
     nli = F.when(F.col("id") % 3 != 0, (F.col("id") % 10) / 10.0)
     return rows.select("id", T.contradiction(F.col("s"), nli).alias("hard_negative"))
+
+
+@query("""WITH m AS (SELECT event_id, CASE WHEN event_type = 'view' THEN least(event_id % 6 * 0.03, 0.1) * 0.5 WHEN event_type = 'click' AND event_id % 400 > 200 THEN least(event_id % 6 * 0.03, 0.1) + 0.02 ELSE least(event_id % 6 * 0.03, 0.1) END AS m FROM events)
+ SELECT event_id, round((0.85 - m) / (0.85 - m + 0.15 + m), 9)::DOUBLE AS alpha, round((0.15 + m) / (0.85 - m + 0.15 + m), 9)::DOUBLE AS beta FROM m""")
+def adaptive_weights(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    trigger = F.when(F.col("event_type") == "view", "timer").when(F.col("event_type") == "click", "user").otherwise("auto")
+    a, b = T.adaptive_rates(F.col("event_id") % 6, trigger, F.col("event_id") % 400)
+    return e.select("event_id", F.round(a, 9).alias("alpha"), F.round(b, 9).alias("beta"))
