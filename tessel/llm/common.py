@@ -27,12 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that materialize() wrote in this process.
+_WRITTEN: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process, once no result that reads them is needed."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with arrow_batches(spark):
         df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
