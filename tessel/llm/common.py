@@ -8,6 +8,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,23 @@ def arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20):
         spark.conf.set(key, before)
 
 
+#: Caches that operators keep in a Python worker from task to task.
+_CACHES: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """Register a cache, so tasks of other operators can free it."""
+    _CACHES.append(cache)
+    return cache
+
+
+def free_caches() -> None:
+    """Empty the caches of earlier tasks in this worker and give unused Arrow memory back."""
+    for cache in _CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import broadcast_if_small, jaccard_at_least, materialize, mix64, shingle_set
+from tessel.llm.common import broadcast_if_small, free_caches, jaccard_at_least, materialize, mix64, shingle_set
 from tessel.llm.components import components, merged, with_component
 
 #: Rows a band and bands: a pair of similarity 0.75 is missed with probability (1 - 0.75**5)**44 < 7e-6.
@@ -77,6 +77,7 @@ _SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.la
 
 def _sign(batches):
     """Arrow batches (doc_id, text) -> _SIGNED. row numbers are stable: partition and place in it."""
+    free_caches()
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         out = {name: [] for name in ("n", "k1", "k2", "bands", "sketch")}
@@ -102,6 +103,7 @@ _SIGNED_SQL = "row long, doc_id long, text string, n_shingles long, k1 long, k2
 
 def _confirm(percent: int):
     def run(batches):
+        free_caches()
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             keep = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm.common import broadcast_if_small, materialize
+from tessel.llm.common import broadcast_if_small, materialize, worker_cache
 
 LIMIT = 4096
 #: Words whose ids a worker remembers (about 120 MB); past it the cache starts anew.
@@ -53,7 +53,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self._encode(self.MARK)
-        self.held: dict[bytes, bytes] = {}
+        self.held: dict[bytes, bytes] = worker_cache({})
 
     @classmethod
     def at(cls, path: str) -> WordIds:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.boosting import BoostedTrees, Isotonic
-from tessel.llm.common import broadcast_if_small, materialize, table
+from tessel.llm.common import broadcast_if_small, free_caches, materialize, table
 
 #: Labelled rows the model is fitted on at most, chosen by a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -128,6 +128,7 @@ def learn_words(train: DataFrame, words: int = LEARNED) -> frozenset[str]:
     """
 
     def split(batches):
+        free_caches()
         for batch in batches:
             pairs: list[tuple[str, int]] = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -187,6 +188,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     state = docs.sparkSession.sparkContext.broadcast((learned, trees, calibrated))
 
     def run(batches):
+        free_caches()
         learned, trees, calibrated = state.value
         for batch in batches:
             x = np.array([dense_features(t, learned) for t in batch.column(2).to_pylist()], float).reshape(-1, len(FEATURES))
