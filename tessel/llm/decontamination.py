@@ -3,7 +3,9 @@
 Windows as long as a benchmark item, wherever a document could hold one, get a 64-bit
 SimHash of their words. Eight 8-bit blocks index the items' fingerprints with every value
 one bit away, so that any fingerprint within RADIUS bits shares an indexed block with its
-item. What is found is confirmed by the exact weighted similarity of the shingle sets.
+item. A window at the threshold may lie farther away than that, so every window that shares
+enough shingles with an item is a candidate too, whatever its distance. Candidates are
+confirmed by the exact weighted similarity of the shingle sets.
 
 A window that reaches the threshold must share shingles with its item at one alignment, and
 by the pigeonhole at least `_least_hits` of them; other windows are skipped without loss.
@@ -62,6 +64,29 @@ def near_blocks(fingerprint: Column) -> Column:
     return F.array(*[block(fingerprint, i).bitwiseXOR(F.lit(flip)) for i in range(BLOCKS) for flip in [0, *[1 << b for b in range(_BITS)]]])
 
 
+def _own(words: Column, size: Column) -> Column:
+    """The distinct shingles of `size` words, 1 to SHINGLE."""
+    runs = F.when(size == SHINGLE, F.array_distinct(shingles(words, SHINGLE)))
+    for k in range(1, SHINGLE):
+        runs = runs.when(size == k, F.array_distinct(shingles(words, k)))
+    return runs
+
+
+def _sharing(windows: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(th, tl, start, m, item, hamming): windows and items of m words with enough shingles in common.
+
+    A similarity of `percent` leaves a window at most (100 / percent - 1) times its item's
+    weight of other shingles, each of which weighs 1; so no similar pair is left out.
+    """
+    weight = F.aggregate("weighted", F.lit(0.0), lambda a, p: a + p["w"])
+    sides = items.select("item", "m", F.col("print").alias("item_print"), (weight * (100 / percent - 1) + 1e-6).alias("spare"), F.explode("weighted.h").alias("h"))
+    sides = broadcast_if_small(sides, 48)
+    own = windows.withColumn("own", _own(F.col("window"), F.least(F.col("m"), F.lit(SHINGLE))))
+    own = own.select("th", "tl", "start", "m", "print", F.size("own").alias("n_own"), F.explode("own").alias("h"))
+    met = own.join(sides, ["m", "h"]).groupBy("th", "tl", "start", "m", "item").agg(F.count(F.lit(1)).alias("n"), F.first("n_own").alias("n_own"), F.first("spare").alias("spare"), F.first("print").alias("print"), F.first("item_print").alias("item_print"))
+    return met.where(F.col("n_own") - F.col("n") <= F.col("spare")).select("th", "tl", "start", "m", "item", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("hamming"))
+
+
 def _least_hits(m: Column) -> Column:
     """Shingles that one alignment must share with an item of m words at the threshold.
 
@@ -125,15 +150,13 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     index = broadcast_if_small(index, 32)
     probes = windows.select("th", "tl", "start", "m", "print", F.explode(F.array(*[block(F.col("print"), i) for i in range(BLOCKS)])).alias("block"))
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    close = probes.join(index, "block").where(hamming <= RADIUS).select("th", "tl", "start", "m", "item", hamming.alias("hamming")).distinct()
+    close = probes.join(index, "block").where(hamming <= RADIUS).select("th", "tl", "start", "m", "item", hamming.alias("hamming"))
+    close = close.unionByName(_sharing(windows, items, percent)).distinct()
 
     weight = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"])
     sides = broadcast_if_small(items.select("item", "item_id", "weighted", "k"), F.lit(32) + 24 * F.size("weighted"))
     both = windows.drop("print").join(close, ["th", "tl", "start", "m"]).join(sides, "item")
-    own = F.when(F.col("k") == SHINGLE, F.array_distinct(shingles(F.col("window"), SHINGLE)))
-    for k in range(1, SHINGLE):
-        own = own.when(F.col("k") == k, F.array_distinct(shingles(F.col("window"), k)))
-    both = both.withColumn("own", own)
+    both = both.withColumn("own", _own(F.col("window"), F.col("k")))
     common = F.filter("weighted", lambda p: F.array_contains(F.col("own"), p["h"]))
     both = both.withColumn("shared", common)
     similarity = weight(F.col("shared")) / (weight(F.col("weighted")) + F.size("own") - F.size("shared"))

@@ -278,6 +278,33 @@ def test_edited_passages(spark):
     assert not {r["doc_id"] for r in contaminated(docs, items).collect()} & {5, 6}
 
 
+def test_cut_passages_against_brute_force(spark):
+    import random
+
+    from tessel.llm.decontamination import RADIUS, contaminated
+
+    rnd = random.Random(5)
+    pool = [f"word{i}" for i in range(4000)]
+    items, docs = {}, {}
+    for i in range(240):
+        n = 7 * rnd.randint(2, 6)
+        w = rnd.sample(pool, n + 4)
+        items[i] = w
+        docs[i] = [*rnd.sample(pool, 15), *w[: n + 4 - n // 7], *rnd.sample(pool, 40)]
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in t.items()], schema) for t, schema in ((docs, "doc_id long, text string"), (items, "item_id long, text string"))]
+    got = contaminated(*tables).collect()
+
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = set()
+    for i, item in items.items():
+        have = grams(item)
+        for d, doc in docs.items():
+            if have & grams(doc) and any(4 * len(have & own) >= 3 * len(have | own) for own in (grams(doc[p : p + len(item)]) for p in range(len(doc)))):
+                want.add((d, i))
+    assert len(want) >= 240 and {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert any(r["hamming"] > RADIUS for r in got)
+
+
 def test_blocks_guarantee_the_radius(spark):
     import random
 
