@@ -13,13 +13,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import materialize, table
+from tessel.llm.common import let, materialize, table
 
 #: A run of 16 or more token characters with a digit, read once from its start.
 CORE = r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*[0-9])[A-Za-z0-9+/_=~-]{16,}"
 #: A value of six or more characters assigned to a password.
 ASSIGNED = r"(?i)(?:passw(?:or)?d|secret|pwd)[\"']?\s*[=:]\s*[\"']?\S{6,}"
 PASSWORD_CUE = r"(?i)(?:passw(?:or)?d|secret|pwd)"
+#: The name and sign before a password assigned within one word, and the whole assignment; a quoted value ends at its quote.
+_NAMED = r"(?i)(?:passw(?:or)?d|secret|pwd)[\"']?[=:][\"'`]?"
+WITHIN = r"(?i)(?:passw(?:or)?d|secret|pwd)[\"']?[=:](?:\"[^\"]{6,}|'[^']{6,}|`[^`]{6,}|[^\"'`].{5,})"
+#: A name before the value of a run that is an assignment itself.
+KEYED = r"^[A-Za-z][A-Za-z0-9_~-]*=(?=[^=])"
 
 #: Words that secrets seldom hold, for dictionary coverage.
 DICTIONARY = ("account", "address", "and", "auth", "base", "branch", "build", "change", "class", "client", "code", "com", "config", "content", "data", "date", "default", "demo", "document", "dummy", "error", "example", "fake", "false", "file", "foo", "format", "from", "header", "here", "html", "http", "image", "index", "info", "insert", "item", "json", "key", "label", "list", "local", "main", "message", "method", "model", "name", "none", "null", "number", "object", "page", "password", "path", "placeholder", "public", "redacted", "release", "replace", "report", "request", "response", "sample", "secret", "section", "server", "service", "source", "string", "system", "table", "test", "that", "the", "this", "time", "title", "token", "true", "type", "update", "user", "value", "version", "with", "your")
@@ -36,25 +41,53 @@ TRAIN_ROWS, TREES, DEPTH, SEED = 6000, 40, 8, 17
 ACCEPT = 0.5
 
 
+def _placed(w: Column, pattern: str) -> Column:
+    """All matches of pattern in w as structs (at, core), at counted from 1."""
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,core:string>>").alias("found"))
+
+    def add(a: Column, core: Column) -> Column:
+        # matches come in order and do not overlap, so each is the first of its text from there on
+        return let(F.call_function("locate", core, w, a["next"]), lambda at: F.struct((at + F.length(core)).alias("next"), F.concat(a["found"], F.array(F.struct(at.alias("at"), core.alias("core")))).alias("found")))
+
+    return F.aggregate(F.regexp_extract_all(w, F.lit(pattern), F.lit(0)), start, add, lambda a: a["found"])
+
+
+def _values(found: Column, name: str, trim: str = "") -> Column:
+    """Structs (at, core) with what `name` matches taken off the front of each, and `trim` off its end."""
+
+    def value(c: Column) -> Column:
+        rest = F.regexp_replace(c["core"], name, "")
+        return F.struct((c["at"] + F.length(c["core"]) - F.length(rest)).alias("at"), (F.regexp_replace(rest, trim, "") if trim else rest).alias("core"))
+
+    return F.transform(found, value)
+
+
 def with_candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """(doc_id, word_no, core, before, after, path) of every candidate of every whole text.
 
-    word_no counts white-space separated words from 0. Null and empty texts have none. path
-    names the column that says where a document comes from; missing or null is empty.
+    word_no counts white-space separated words from 0. A word gives every run that CORE
+    finds in it, the value of a run that is an assignment, and each password that is assigned
+    in it or before it. Null and empty texts have none. path names the column that says where
+    a document comes from; missing or null is empty.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.alias("path"))
     rows = rows.where(F.col("text").rlike(CORE) | F.col("text").rlike(ASSIGNED))
     rows = rows.select("doc_id", "path", F.split("text", r"\s+").alias("words"))
     near = lambda i: F.concat_ws(" ", *[F.get("words", i - k) for k in (3, 2, 1)])
+    none = F.array().cast("array<struct<at:int,core:string>>")
 
     def look(w: Column, i: Column) -> Column:
-        password = F.length(w).between(6, 200) & F.get("words", i - 1).rlike(r"[=:][\"']?$") & near(i).rlike(PASSWORD_CUE)
-        core = F.when(w.rlike(CORE), F.regexp_extract(w, CORE, 0)).when(password, F.regexp_replace(w, r"^[\"'`(]+|[\"'`,;.)]+$", ""))
-        return F.when(core.isNotNull(), F.struct(i.cast("long").alias("word_no"), core.alias("core"), F.concat_ws(" ", near(i), F.call_function("substring_index", w, core, F.lit(1))).alias("before"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))
-
-    found = F.filter(F.transform("words", look), lambda c: c.isNotNull())
-    return rows.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "c.word_no", "c.core", "c.before", "c.after", "path").where(F.length("core") >= 6)
+        runs = let(_placed(w, CORE), lambda f: F.concat(f, F.filter(_values(F.filter(f, lambda c: c["core"].rlike(KEYED)), KEYED), lambda c: c["core"].rlike(CORE))))
+        inside = _values(_placed(w, WITHIN), "^" + _NAMED, r"[\"'`,;.)\]}]+$")
+        password = (F.length(w) >= 6) & F.get("words", i - 1).rlike(r"[=:][\"']?$") & near(i).rlike(PASSWORD_CUE)
+        whole = let(F.regexp_replace(w, r"^[\"'`(]+|[\"'`,;.)]+$", ""), lambda core: F.array(F.struct(F.call_function("locate", core, w).alias("at"), core.alias("core"))))
+        found = F.concat(F.when(w.rlike(CORE), runs).otherwise(none), F.when(w.rlike(WITHIN), inside).otherwise(none), F.when(password, whole).otherwise(none))
+        found = F.filter(F.array_distinct(found), lambda c: F.length(c["core"]) >= 6)
+        return F.transform(found, lambda c: F.struct(i.cast("long").alias("word_no"), c["core"].alias("core"), F.concat_ws(" ", near(i), F.substring(w, F.lit(1), c["at"] - 1)).alias("before"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))
+
+    found = F.flatten(F.transform("words", look))
+    return rows.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "c.word_no", "c.core", "c.before", "c.after", "path")
 
 
 def with_features(rows: DataFrame) -> DataFrame:

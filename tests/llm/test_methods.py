@@ -343,6 +343,34 @@ def test_scan_and_redact(spark):
     assert out == 'a token = "[SECRET]" b'
 
 
+def test_every_candidate_of_a_word(spark):
+    from tessel.llm.secrets import with_candidates
+
+    key, password = "ghp_" + hashlib.sha1(b"t").hexdigest()[:36], "Tr0ub4d&3x"
+    long = "x7&" * 80
+    texts = [
+        '{"id":"3f2a9c1e77b04d5599aa","token":"' + key + '"}',
+        "see https://h.io/release-2024-build-17?token=" + hashlib.sha1(b"u").hexdigest() + " now",
+        f'set pwd:"{password}" and',
+        '{"user":"bob","password":"' + password + '","port":1}',
+        f"password: {long} end",
+        "jwt eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N2",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in with_candidates(docs).collect():
+        assert r["core"] in texts[r["doc_id"]]
+        got[r["doc_id"]].add(r["core"])
+    assert got[0] == {"3f2a9c1e77b04d5599aa", key}
+    assert {"io/release-2024-build-17", hashlib.sha1(b"u").hexdigest()} <= got[1]
+    assert password in got[2] and password in got[3] and long in got[4]
+    assert got[5] == set(texts[5].split()[1].split("."))
+    before = {r["core"]: r["before"] for r in with_candidates(docs).collect()}
+    assert before[key].endswith('"token":"') and before[hashlib.sha1(b"u").hexdigest()].endswith("?token=")
+    found = {(r["doc_id"], r["core"]) for r in scan(docs).where("is_secret").collect()}
+    assert {(0, key), (1, hashlib.sha1(b"u").hexdigest()), (2, password), (3, password)} <= found
+
+
 # --- 9 ---
 
 
