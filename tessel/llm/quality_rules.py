@@ -28,12 +28,13 @@ GRID = 1024
 CORE = 0.75
 #: Concentration steps.
 STEPS = 3
-#: Least standard deviation of a coordinate in units: keeps degenerate groups (mostly copies) invertible.
-FLOOR = 0.35
+#: Deviation added to each coordinate in units: keeps degenerate groups (mostly copies) invertible. Ordinary
+#: texts have no symbols and no repeats, so there the floor is what an outlier is measured by.
+FLOORS = {"z_len": 0.35, "z_word": 0.35, "z_symbols": 0.2, "z_lines": 0.3, "z_repeats": 0.3}
 #: Groups below this size take part in, and use, their language's estimate.
 LEAST_ROWS = 200
-#: Squared distance that rejects: far beyond the 0.9999 quantile of chi-squared with 5 degrees (25.7).
-REJECT = 60.0
+#: Squared distance that rejects: the 0.9999 quantile of chi-squared with 5 degrees.
+REJECT = 25.745
 #: Bins of log2(1 + squared distance) that give the quantiles.
 BINS = 64
 
@@ -103,7 +104,7 @@ def _model(moments: DataFrame, keys: list[str], scale: Column | float = 1.0) ->
     out = moments.select(*keys, *[(F.col(f"s_{d}") / n / GRID).alias(f"m_{d}") for d in DIMS], *[(F.col(f"p_{a}_{b}") / n / GRID / GRID).alias(f"p_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
     for i, a in enumerate(DIMS):  # Cholesky, row by row
         for j, b in enumerate(DIMS[: i + 1]):
-            cov = (F.col(f"p_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) * scale + (FLOOR**2 if i == j else 0)
+            cov = (F.col(f"p_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) * scale + (FLOORS[a]**2 if i == j else 0)
             rest = reduce(lambda x, c: x - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}"), DIMS[:j], cov)
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{b}_{b}"))
     return out.select(*keys, *[f"m_{d}" for d in DIMS], *[f"l_{a}_{b}" for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
@@ -157,8 +158,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     other rows are kept unless their squared distance to their (lang, source) estimate
     exceeds REJECT; groups below LEAST_ROWS use the estimate of their language (null is a
     language and a source like any other). Base failures take no part in the estimates.
-    Copies count as often as they occur: a group of mere copies keeps a FLOOR-wide
-    estimate. Empty tables give no rows; columns beyond doc_id, text, lang and source are
+    Copies count as often as they occur: a group of mere copies keeps an estimate
+    as wide as FLOORS. Empty tables give no rows; columns beyond doc_id, text, lang and source are
     ignored.
     """
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

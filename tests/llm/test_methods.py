@@ -81,6 +81,24 @@ def test_outliers_are_rejected_and_the_rest_stays(spark, small):
     assert sum(kept[i] for i in range(400)) >= 396
 
 
+def test_junk_of_some_symbols_and_repeated_lines(spark):
+    from tessel.llm.quality_rules import quality_rules
+
+    words = lambda i, n: [f"t{i}x{j}" for j in range(n)]
+    plain = [(i, "\n".join(" ".join(words(i, 40 + i % 50)[k : k + 4]) for k in range(0, 40 + i % 50, 4))) for i in range(400)]
+    symbols = []
+    for share in range(20, 42, 2):
+        chars = [len(w) for w in words(share, 60)]
+        n = round(sum(chars) * share / (100 - share))
+        symbols.append((1000 + share, " ".join(w + "#" * ((j + 1) * n // 60 - j * n // 60) for j, w in enumerate(words(share, 60)))))
+    lines = [(2000 + share, "\n".join([f"l{share}y{j} word{j} other{j}" for j in range(100 - share)] + ["top of page"] * share)) for share in (20, 30, 40)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in plain + symbols + lines], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    assert not any(r["kept"] for i, r in got.items() if i >= 1000)
+    assert not any(got[i]["base_failed"] for i, _ in symbols)
+    assert sum(got[i]["kept"] for i in range(400)) >= 396
+
+
 def test_long_repetition_is_counted_once(spark):
     docs = spark.createDataFrame([(1, "a b c d e " * 2000)], "doc_id long, text string")
     assert text_statistics(docs).head()["n_repeat_words"] == 10_000
