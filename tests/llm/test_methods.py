@@ -244,6 +244,19 @@ def test_sketch_estimates():
         assert abs(neardup.similarity_estimate(odd) - common_ / (common_ + 2 * rest)) < 0.06
 
 
+def test_estimates_at_the_threshold_pass():
+    rng = np.random.default_rng(3)
+    most = neardup.most_odd_bits(0.75 - neardup.SLACK)
+    missed, bits, n = 0, [], 10_000
+    for _ in range(n):
+        a = rng.integers(0, 1 << 32, neardup.SAMPLES, dtype=np.uint32)
+        b = np.where(rng.random(neardup.SAMPLES) < 0.75, a, rng.integers(0, 1 << 32, neardup.SAMPLES, dtype=np.uint32))
+        odd = int(np.bitwise_count(neardup.odd_sketch(a) ^ neardup.odd_sketch(b)).sum())
+        bits.append(neardup.similarity_estimate(odd))
+        missed += odd > most
+    assert not missed and 4.5 * np.std(bits) <= neardup.SLACK
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="aAbB é\n\t", max_size=80))
 def test_shingle_hashes(t):
