@@ -39,9 +39,10 @@ def speech_chunker(spark, d):
     return G.chunked(_paragraphs(spark, d), "doc_id", "text", G.spoken_chunks, most=80, least=10)
 
 
-def _marked(spark, d):
-    """Each line of a document becomes a heading or a body line by its number."""
-    lines = F.transform(F.split(F.substring("text", 1, 3000), "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.repeat(F.lit("#"), (i / 3).cast("int") % 3 + 1), F.lit(" h"), i.cast("string"))).otherwise(F.trim(x)))
+def _marked(spark, d, most=3000):
+    """Each line of a document becomes a heading or a body line by its number; of `most` characters, or of whole texts if None."""
+    text = F.col("text") if most is None else F.substring("text", 1, most)
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.repeat(F.lit("#"), (i / 3).cast("int") % 3 + 1), F.lit(" h"), i.cast("string"))).otherwise(F.trim(x)))
     return read(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
@@ -67,7 +68,7 @@ def heading_paths(spark, d):
 
 @query()
 def section_numbers(spark, d):
-    rows = G.heading_sections(_marked(spark, d), "doc_id", "text").where("level > 0")
+    rows = G.heading_sections(_marked(spark, d, None), "doc_id", "text").where("level > 0")
     return G.with_paths(rows, "doc_id", "section").select("doc_id", "section", "number")
 
 

@@ -177,6 +177,16 @@ def test_heading_paths(spark):
     assert [r["number"] for r in got] == ["1", "1.1", "1.1.1", "1.2", "2", "2.1"]
 
 
+def test_section_numbers_of_whole_texts(spark, small):
+    from tessel.queries import QUERIES
+
+    texts = spark.read.parquet(f"{small}/documents.parquet").where("text is not null").select("doc_id", "text").collect()
+    assert any(r["text"][3000:].count("\n") > 3 for r in texts)
+    want = {r["doc_id"]: (r["text"].count("\n") + 2) // 3 for r in texts if "\n" in r["text"]}
+    got = QUERIES["section_numbers"](spark, small).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == want
+
+
 def test_providers(spark):
     df = spark.createDataFrame([(1, "not here"), (2, "here"), (3, None), (4, "here")], "id long, text string")
     v = {r["id"]: r["vector"] for r in P.embedded(df).collect()}
