@@ -171,6 +171,16 @@ def pairwise_l2(df: DataFrame, most: int = 5000) -> DataFrame:
     return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), l2(F.col("a.vector"), F.col("b.vector")).alias("distance"))
 
 
+def pairwise_l2_blocked(df: DataFrame, blocks: int = 16) -> DataFrame:
+    """Distances of all pairs of a table (id, vector) of any size, by an equi-join of hashed blocks of rows."""
+    rows = df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = rows.withColumn("other", other).alias("a")
+    b = rows.withColumn("other", other).alias("b")
+    met = (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.id") < F.col("b.id"))
+    return a.join(b, met).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), l2(F.col("a.vector"), F.col("b.vector")).alias("distance"))
+
+
 def similar_pairs(df: DataFrame, distance: float, bucket: float = 2.0, tables: int = 8, seed: int = 7) -> DataFrame:
     """Pairs (a_id, b_id) closer than distance, through random projections; exact distances confirm them."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

@@ -170,7 +170,7 @@ def state_recursion(spark, d):
 def tensor_recursion(spark, d):
     v = vectors(spark, d)
     start = F.array(*[S.vector_literal(S.stored_vector(v, "id", i)) for i in range(8)])
-    steps = v.where("id BETWEEN 8 AND 107").select(F.lit("main").alias("entity"), F.col("id").alias("ord"), F.col("vector").alias("e"), F.lit(0.001).alias("size"))
+    steps = v.where("id >= 8").select(F.lit("main").alias("entity"), F.col("id").alias("ord"), F.col("vector").alias("e"), F.lit(0.001).alias("size"))
     out = T.evolve_dims(steps, start, F.array(*[F.lit(r) for r in (0.1, 0.2, 0.3, 0.2, 0.1, 0.1, 0.05, 0.05)]))
     return out.select("entity", F.posexplode("state").alias("dim", "v")).select("entity", "dim", F.round(F.col("v")[0], 9).alias("first"), F.round(V.norm(F.col("v")), 9).alias("norm"))
 

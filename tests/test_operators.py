@@ -81,6 +81,28 @@ def test_pairwise_refuses_large_tables(spark):
         S.pairwise_l2(spark.range(20).select("id", F.array(F.lit(1.0)).alias("vector")), most=10)
 
 
+def test_pairwise_blocks_take_any_table(spark, tmp_path):
+    from tessel.queries import QUERIES
+
+    n = 5100
+    rows = spark.range(n).select(F.col("id").alias("vec_id"), F.lit(3).alias("label"), F.array(F.col("id").cast("float")).alias("embedding"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["pairwise_distances"](spark, str(tmp_path)).where("distance = b_id - a_id").count() == n * (n - 1) // 2
+
+
+def test_tensor_recursion_takes_every_vector(spark, small):
+    from tessel.queries import QUERIES
+
+    v = [np.array(r["embedding"], float) for r in spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()]
+    assert len(v) > 108
+    state, rates = v[:8], (0.1, 0.2, 0.3, 0.2, 0.1, 0.1, 0.05, 0.05)
+    for e in v[8:]:
+        state = [s + r * 0.001 * (e - s) for s, r in zip(state, rates, strict=True)]
+        state = [s / np.linalg.norm(s) for s in state]
+    got = {r["dim"]: r["first"] for r in QUERIES["tensor_recursion"](spark, small).collect()}
+    assert all(abs(got[i] - s[0]) < 1e-8 for i, s in enumerate(state))
+
+
 def test_consistency_without_evidence(rows):
     assert S.consistency({"x": rows.limit(0)}, [1.0, 0.0]).head().asDict() == {"evidence": 0, "score": 1.0, "label": "consistent"}
 
