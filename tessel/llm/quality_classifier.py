@@ -20,6 +20,7 @@ KEEP = 0.5
 #: Common function words of the corpus languages.
 FUNCTION_WORDS = frozenset(w.encode() for w in "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat le la les de des et un une du que qui dans est pour pas au sur par plus avec el los y en del se las por con no su para al lo".split())
 _SYMBOLS = b"#*$%&|<>^~{}[]\\@=+_"
+_ASCII = bytes(range(128))
 
 
 def votes(text: str | None) -> str:
@@ -37,7 +38,7 @@ def votes(text: str | None) -> str:
     copied = 1 - len(set(lines)) / len(lines)
     runs = shingle_hashes(text)
     repeated = 1 - len(np.unique(runs)) / len(runs)
-    upper = sum(map(str.isupper, (c for c in text or ""))) if n < 50 else len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) + sum(map(str.isupper, raw.translate(None, _ASCII).decode("utf-8")))
     upper /= chars
     size = chars / n
     common = sum(map(FUNCTION_WORDS.__contains__, bare)) / n

@@ -174,6 +174,14 @@ def test_reliabilities_follow_the_truth():
 # --- 4 ---
 
 
+def test_capitals_count_at_every_length():
+    from tessel.llm.quality_classifier import votes
+
+    for word in ("ΚΑΛΗΜΕΡΑ", "ПРИВЕТ", "ÉCOLÉÀÈ", "SHOUTED"):
+        for n in (20, 49, 50, 200):
+            assert votes(" ".join([word] * n))[4] == "-" and votes(" ".join([word.lower()] * n))[4] == "+"
+
+
 def test_weak_labels_agree_with_held_out_quality(spark):
     d = "/root/testdata/sf0.01"
     rows = op4_weak_labels(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
