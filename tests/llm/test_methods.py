@@ -242,6 +242,31 @@ def test_groups_without_a_common_centre(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == want
 
 
+def test_a_bucket_of_classes_that_are_apart(spark, monkeypatch):
+    """Many texts that share bands with a common middle, but not enough of it to be linked, over several parts of a bucket."""
+    import random
+
+    monkeypatch.setattr(neardup, "BUCKET_PART", 64)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(400):
+        n = rnd.choice((88, 92, 94, 96))
+        rows.append((i, " ".join([*base[100 - n :], *[f"y{i}x{j}" for j in range(rnd.randrange(10, 40))]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = true_components({i: shingles(t) for i, t in rows})
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == want
+
+
+def test_odd_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (3, 50, 800, 20_000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[n // 4 :], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64)))
+        odd = int(np.bitwise_count(neardup.whole_sketch(a) ^ neardup.whole_sketch(b)).sum())
+        assert odd <= len(np.setxor1d(a, b))
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(2)
     for j in (0.6, 0.75, 0.9):
