@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,9 +21,11 @@ WS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share. Where the session names none, a local master gets a temporary one; a cluster fails."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessel-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -32,19 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this process, once no result that reads them is needed."""
+def tables_written() -> int:
+    """How many intermediate tables of this process stand."""
+    return len(_WRITTEN)
+
+
+def drop_tables(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the intermediate tables number first to last - 1 (all without numbers), once no result that reads them is needed."""
     jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    gone = _WRITTEN[first:last]
+    del _WRITTEN[first:last]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and reread it: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and reread it: cuts lineage, survives lost executors.
+
+    light: what is left to do is cheap, so shuffled partitions are merged to the advisory
+    size, not to one a core at least; small tables then have few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    with arrow_batches(spark):
+    with arrow_batches(spark), setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", str(not light).lower()):
         df.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,17 +76,21 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROA
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20):
-    """Bound the Arrow batches of jobs run inside, so long texts don't gather in a Python worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the jobs run inside."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(max_bytes))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20):
+    """Bound the Arrow batches of jobs run inside, so long texts don't gather in a Python worker."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
+
+
 #: Caches that operators keep in a Python worker from task to task.
 _CACHES: list[dict] = []
 
@@ -125,16 +143,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Words hashed at a time, and bytes from which a word stands in by its digest.
+_PART, _LONG_WORD = 1 << 15, 1 << 12
+
+
 def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
     """Hashes of the text's word shingles in text order (repeats included).
 
     Words are split at ASCII white space and lower-cased over A-Z. A text with fewer
-    than `size` words gives one shingle of all its words; none gives an empty array.
+    than `size` words gives one shingle of all its words; none gives an empty array. Long
+    texts are hashed in parts that overlap by size - 1 words.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
+    if len(text) > _LONG_WORD:
+        words = [w if len(w) < _LONG_WORD else b"\0" + hashlib.blake2b(w).digest() for w in words]
     size = min(size, len(words))
+    return np.concatenate([_hash_runs(words[i : i + _PART + size - 1], size) for i in range(0, len(words) - size + 1, _PART)])
+
+
+def _hash_runs(words: list[bytes], size: int) -> np.ndarray:
     flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))

@@ -16,13 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     Labels are a table in the shared folder after each round; nothing reaches the driver
     but the count of changes. No edges give no rows.
     """
-    both = materialize(edges.select("a", "b").where("a <> b").union(edges.selectExpr("b", "a").where("a <> b")).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
+    both = materialize(edges.select("a", "b").where("a <> b").union(edges.selectExpr("b", "a").where("a <> b")).distinct(), "links", light=True)
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels", light=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         low = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        after = materialize(low.join(jump, "comp").select("node", F.least("comp", "next").alias("comp"), "was"), "labels")
+        after = materialize(low.join(jump, "comp").select("node", F.least("comp", "next").alias("comp"), "was"), "labels", light=True)
         labels = after.select("node", "comp")
         if after.where("comp <> was").isEmpty():
             return labels
@@ -40,4 +40,4 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     lower = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     nodes = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("comp", F.col("node")))
-    return materialize(nodes.join(lower, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "labels")
+    return materialize(nodes.join(lower, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "labels", light=True)

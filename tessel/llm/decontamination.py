@@ -1,20 +1,20 @@
 """Benchmark decontamination by SimHash windows and a multi-index Hamming search.
 
-Windows as long as a benchmark item, wherever a document could hold one, get a 64-bit
-SimHash of their words. Eight 8-bit blocks index the items' fingerprints with every value
-one bit away, so that any fingerprint within RADIUS bits shares an indexed block with its
-item. A window at the threshold may lie farther away than that, so every window that shares
-enough shingles with an item is a candidate too, whatever its distance. Candidates are
-confirmed by the exact weighted similarity of the shingle sets.
-
-A window that reaches the threshold must share shingles with its item at one alignment, and
-by the pigeonhole at least `_least_hits` of them; other windows are skipped without loss.
-DataFrame operations only.
+Windows as long as a benchmark item get a 128-bit SimHash of their words. Sixteen 8-bit
+blocks index the fingerprints of the items of that length with every value up to two bits
+away, so that any window within RADIUS bits of an item shares an indexed block with it. What
+the index finds is confirmed by the exact weighted similarity of the shingle sets.
+
+A window at the threshold holds three quarters of an item's shingle weight, in whatever
+order. So windows are taken where a document holds enough of an item's shingles within the
+item's length; every other window lies below the threshold for certain (`_reach`, `_starts`)
+and gets no fingerprint. DataFrame operations only.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +23,11 @@ from tessel.llm.common import broadcast_if_small, let, materialize, table
 
 SHINGLE = 5
 PERCENT = 75
-#: Blocks of 64 / BLOCKS bits; with one flipped bit a block, distances up to 2 * BLOCKS - 1 are guaranteed.
-BLOCKS = 8
-RADIUS = 2 * BLOCKS - 1
-_BITS = 64 // BLOCKS
+#: Blocks of 8 bits, and bits that may differ within one: distances up to BLOCKS * (FLIPS + 1) - 1 are guaranteed.
+BLOCKS, FLIPS = 16, 2
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Words by whose starts windows are gathered into one row.
+STRIDE = 512
 
 
 def lower_words(text: Column) -> Column:
@@ -41,27 +42,45 @@ def shingles(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(words: Column) -> Column:
-    """The 64-bit SimHash of an array of words, each counted as often as it occurs."""
-    bits = F.sequence(F.lit(0), F.lit(63))
+def fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hi, lo): the 128-bit SimHash of each row's array `window`; each word counts as often as it occurs.
 
-    def add(acc: Column, word: Column) -> Column:
-        sign = lambda h: lambda x, b: x + 1 - 2 * F.call_function("shiftright", h, b).bitwiseAND(F.lit(1)).cast("int")
-        return let(F.xxhash64(word), lambda h: F.zip_with(acc, bits, sign(h)))
+    A bit is set where over half the words' hashes set it. Words become rows, and one sum
+    counts two bits 32 places apart, so the counting is a plain aggregate.
+    """
+    words = windows.select(*keys, F.size("window").alias("n"), F.explode("window").alias("word"))
+    words = words.select(*keys, "n", F.xxhash64("word").alias("hi"), F.xxhash64("word", F.lit(1)).alias("lo"))
+    two = F.lit((1 << 32) + 1)
+    sums = words.groupBy(*keys).agg(F.first("n").alias("n"), *[F.sum(F.call_function("shiftright", side, F.lit(b)).bitwiseAND(two)).alias(f"{side}{b}") for side in ("hi", "lo") for b in range(32)])
+
+    def packed(side: str) -> Column:
+        bits = []
+        for b in range(32):
+            low, high = F.col(f"{side}{b}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"{side}{b}", 32)
+            bits += [F.when(2 * low > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0).cast("long")), F.when(2 * high > F.col("n"), F.lit((1 << (b + 32)) - (1 << 64 if b == 31 else 0))).otherwise(F.lit(0).cast("long"))]
+        return reduce(lambda x, y: x.bitwiseOR(y), [b.cast("long") for b in bits]).alias(side)
 
-    sums = F.aggregate(words, F.array_repeat(F.lit(0), 64), add)
-    set_bits = F.zip_with(sums, bits, lambda x, b: F.when(x < 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(set_bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return sums.select(*keys, packed("hi"), packed("lo"))
 
 
-def block(fingerprint: Column, i: int) -> Column:
+def block(hi: Column, lo: Column, i: int) -> Column:
     """The i-th block's value, with the block's number above it."""
-    return F.shiftrightunsigned(fingerprint, i * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int") + F.lit(i << _BITS)
+    side, at = (hi, i) if i < BLOCKS // 2 else (lo, i - BLOCKS // 2)
+    return F.shiftrightunsigned(side, 8 * at).bitwiseAND(F.lit(255)).cast("int") + F.lit(i << 8)
+
+
+def blocks(hi: Column, lo: Column) -> Column:
+    return F.array(*[block(hi, lo, i) for i in range(BLOCKS)])
+
 
+def near_blocks(hi: Column, lo: Column) -> Column:
+    """Every block value and those up to FLIPS bits away."""
+    flips = F.array(*[F.lit(x) for x in range(256) if x.bit_count() <= FLIPS])
+    return F.flatten(F.transform(blocks(hi, lo), lambda b: F.transform(flips, lambda f: b.bitwiseXOR(f))))
 
-def near_blocks(fingerprint: Column) -> Column:
-    """Every block value and those one bit away: BLOCKS * (1 + 64 / BLOCKS) of them."""
-    return F.array(*[block(fingerprint, i).bitwiseXOR(F.lit(flip)) for i in range(BLOCKS) for flip in [0, *[1 << b for b in range(_BITS)]]])
+
+def hamming(hi: Column, lo: Column, other_hi: Column, other_lo: Column) -> Column:
+    return F.bit_count(hi.bitwiseXOR(other_hi)) + F.bit_count(lo.bitwiseXOR(other_lo))
 
 
 def _own(words: Column, size: Column) -> Column:
@@ -72,99 +91,111 @@ def _own(words: Column, size: Column) -> Column:
     return runs
 
 
-def _sharing(windows: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """(th, tl, start, m, item, hamming): windows and items of m words with enough shingles in common.
+def _reach(weighted: Column, percent: int) -> Column:
+    """(lead, least) of an item's (w, h) by falling weight, rarest shingles first.
 
-    A similarity of `percent` leaves a window at most (100 / percent - 1) times its item's
-    weight of other shingles, each of which weighs 1; so no similar pair is left out.
+    A set with `percent` of the item's weight holds one of the first `lead` shingles, for the
+    others together weigh less than that; and it holds `least` shingles at least.
     """
-    weight = F.aggregate("weighted", F.lit(0.0), lambda a, p: a + p["w"])
-    sides = items.select("item", "m", F.col("print").alias("item_print"), (weight * (100 / percent - 1) + 1e-6).alias("spare"), F.explode("weighted.h").alias("h"))
-    sides = broadcast_if_small(sides, 48)
-    own = windows.withColumn("own", _own(F.col("window"), F.least(F.col("m"), F.lit(SHINGLE))))
-    own = own.select("th", "tl", "start", "m", "print", F.size("own").alias("n_own"), F.explode("own").alias("h"))
-    met = own.join(sides, ["m", "h"]).groupBy("th", "tl", "start", "m", "item").agg(F.count(F.lit(1)).alias("n"), F.first("n_own").alias("n_own"), F.first("spare").alias("spare"), F.first("print").alias("print"), F.first("item_print").alias("item_print"))
-    return met.where(F.col("n_own") - F.col("n") <= F.col("spare")).select("th", "tl", "start", "m", "item", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("hamming"))
-
+    total = F.aggregate(weighted, F.lit(0.0), lambda a, p: a + p["w"])
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("lead"), F.lit(0).alias("least"))
 
-def _least_hits(m: Column) -> Column:
-    """Shingles that one alignment must share with an item of m words at the threshold.
+    def step(need: Column, spare: Column):
+        return lambda a, p: F.struct((a["sum"] + p["w"]).alias("sum"), (a["lead"] + F.when(a["sum"] <= spare, 1).otherwise(0)).alias("lead"), (a["least"] + F.when(a["sum"] < need, 1).otherwise(0)).alias("least"))
 
-    With n = m - 4 shingles, j insertions leave n - 4j common of n + 5j, which stays at
-    three quarters for j <= n / 31 only; one of the j + 1 alignments holds its share.
-    """
-    n = F.greatest(m - (SHINGLE - 1), F.lit(1))
-    j = F.floor(n / 31)
-    return F.greatest(F.floor((F.ceil(n * PERCENT / 100) - 4 * j) / (j + 1)), F.lit(1))
+    return let(total, lambda t: F.aggregate(weighted, start, step(t * percent / 100 - 1e-6, t * (100 - percent) / 100 + 1e-6), lambda a: F.struct(a["lead"].alias("lead"), a["least"].alias("least"))))
 
 
-def prepared_items(items: DataFrame) -> DataFrame:
-    """Items with words, repeated rows once: item_id, item (its key), words, m, shingle array, weights by shingle, fingerprint. A shingle's weight is 1 over the items that hold it."""
+def prepared_items(items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Items with words, repeated rows once: item_id, item (its key), m words, k words a shingle, its weighted shingles, lead and least of them, fingerprint (hi, lo). A shingle's weight is 1 over the items that hold it."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), lower_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     rows = rows.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
     rows = rows.withColumn("m", F.size("words")).withColumn("k", F.least(F.col("m"), F.lit(SHINGLE)))
-    runs = F.when(F.col("k") == SHINGLE, shingles(F.col("words"), SHINGLE))
-    for k in range(1, SHINGLE):
-        runs = runs.when(F.col("k") == k, shingles(F.col("words"), k))
-    rows = rows.withColumn("runs", runs)
-    by_shingle = rows.select("item", F.explode(F.array_distinct("runs")).alias("h"))
+    by_shingle = rows.select("item", F.explode(_own(F.col("words"), F.col("k"))).alias("h"))
     weights = by_shingle.groupBy("h").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
-    weighted = by_shingle.join(weights, "h").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("weighted"))
-    return materialize(rows.join(weighted, "item").withColumn("print", simhash(F.col("words"))), "items")
+    weighted = by_shingle.join(weights, "h").groupBy("item").agg(F.reverse(F.array_sort(F.collect_list(F.struct("w", "h")))).alias("weighted"))
+    prints = fingerprints(rows.select("item", F.col("words").alias("window")), ["item"])
+    rows = rows.drop("words").join(weighted, "item").join(prints, "item").withColumn("reach", _reach(F.col("weighted"), percent))
+    return materialize(rows.select("item_id", "item", "m", "k", "weighted", "reach.lead", "reach.least", "hi", "lo"), "items")
+
+
+def _runs(words: Column, sizes: list[int]) -> Column:
+    """(pos, h) of a text's shingles of all the sizes."""
+    each = [F.transform(shingles(words, k), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for k in sizes]
+    return F.concat(*each) if each else F.array().cast("array<struct<pos:int,h:bigint>>")
+
+
+def _starts(at: Column, m: Column, k: Column, least: Column) -> Column:
+    """Starts of all windows of m words that hold `least` of the sorted shingle positions `at`.
+
+    The first position a window holds is some at[i], and the window reaches at[i + least - 1].
+    """
+    first = F.sequence(F.lit(0), F.size(at) - least)
+
+    def of(i: Column) -> Column:
+        low = F.greatest(F.get(at, i + least - 1) - (m - k), F.coalesce(F.get(at, i - 1) + 1, F.lit(0)), F.lit(0))
+        return F.when(low <= F.get(at, i), F.sequence(low, F.get(at, i))).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(at) >= least, F.flatten(F.transform(first, of))).otherwise(F.array().cast("array<int>"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, carry: Column | None = None) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): items that documents hold.
 
-    One row for each doc_id and item, at its best window (start counts words from 0).
+    One row for each doc_id and item, at its best window (start counts words from 0; windows
+    at a text's end may be shorter than the item); where `carry` is given, for each doc_id,
+    item and carried string.
     Similarity is the weight of common shingles over the weight of all: a shingle weighs 1
     over the number of items that hold it, outside the item 1. Texts and items compare by
     words, lower-cased over A-Z; null and empty ones match nothing, items of fewer than five
     words match as a whole. Repeated rows give one row; documents without doc_id are
     reported under null. Further columns are ignored.
     """
-    items = prepared_items(items)
+    items = prepared_items(items, percent)
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())
-    postings = items.select("m", F.posexplode("runs").alias("q", "h")).groupBy("h").agg(F.collect_set(F.struct("q", "m")).alias("places"))
-    postings = broadcast_if_small(materialize(postings, "postings"), F.lit(32) + 8 * F.size("places"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text")).withColumn("tl", F.length("text"))
-
-    words = keyed.where("tl > 0").select("th", "tl", lower_words(F.col("text")).alias("words"))
-    runs = None
-    for k in sizes:
-        some = words.select("th", "tl", F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
-        runs = some if runs is None else runs.unionByName(some)
-    if runs is None:
-        runs = words.select("th", "tl", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0)
-    hits = runs.join(postings, "h").select("th", "tl", "pos", F.explode("places").alias("p"))
-    spots = hits.groupBy("th", "tl", (F.col("pos") - F.col("p.q")).alias("start"), F.col("p.m").alias("m")).agg(F.count(F.lit(1)).alias("hits"))
-    spots = materialize(spots.where(F.col("hits") >= _least_hits(F.col("m"))).select("th", "tl", F.greatest("start", F.lit(0)).alias("start"), "m").distinct(), "spots")
-
-    holders = broadcast_if_small(spots.select("th", "tl").distinct(), 16)
-    texts = keyed.join(holders, ["th", "tl"], "left_semi").groupBy("th", "tl").agg(F.first("text").alias("text"))
-    windows = texts.select("th", "tl", lower_words(F.col("text")).alias("words")).join(spots, ["th", "tl"])
-    windows = windows.select("th", "tl", "start", "m", F.slice("words", F.col("start") + 1, F.col("m")).alias("window")).withColumn("print", simhash(F.col("window")))
-    windows = materialize(windows, "windows")
-
-    index = items.select("item", F.explode(near_blocks(F.col("print"))).alias("block"), F.col("print").alias("item_print"))
-    index = broadcast_if_small(index, 32)
-    probes = windows.select("th", "tl", "start", "m", "print", F.explode(F.array(*[block(F.col("print"), i) for i in range(BLOCKS)])).alias("block"))
-    hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    close = probes.join(index, "block").where(hamming <= RADIUS).select("th", "tl", "start", "m", "item", hamming.alias("hamming"))
-    close = close.unionByName(_sharing(windows, items, percent)).distinct()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(None).cast("string") if carry is None else carry).alias("carried")).withColumn("th", F.xxhash64("text")).withColumn("tl", F.length("text"))
+    text = ["th", "tl"]
+
+    # texts that hold one of an item's leading shingles
+    lead = items.select("item", F.explode(F.slice("weighted", F.lit(1), F.col("lead"))["h"]).alias("h")).groupBy("h").agg(F.collect_list("item").alias("items"))
+    lead = broadcast_if_small(materialize(lead, "leading", light=True), F.lit(48) + 8 * F.size("items"))
+    words = keyed.where("tl > 0").select(*text, lower_words(F.col("text")).alias("words"))
+    runs = words.select(*text, F.explode(_runs(F.col("words"), sizes)).alias("r")).select(*text, "r.h")
+    pairs = materialize(runs.join(lead, "h").select(*text, F.explode("items").alias("item")).distinct(), "pairs", light=True)
+    holders = broadcast_if_small(pairs.select(*text).distinct(), 32)
+    texts = keyed.where("tl > 0").join(holders, text, "left_semi").groupBy(*text).agg(F.first("text").alias("text"))
+    texts = materialize(texts.select(*text, lower_words(F.col("text")).alias("words")), "texts")
+
+    # where those texts hold the items' shingles, and the windows with enough of them
+    parts = pairs.join(broadcast_if_small(items.select("item", F.explode("weighted.h").alias("h")), 32), "item")
+    runs = texts.select(*text, F.explode(_runs(F.col("words"), sizes)).alias("r")).select(*text, "r.pos", "r.h")
+    found = parts.join(runs, [*text, "h"]).groupBy(*text, "item").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    found = found.join(broadcast_if_small(items.select("item", "m", "k", "least"), 48), "item")
+    starts = found.select(*text, "m", F.explode(_starts(F.col("at"), F.col("m"), F.col("k"), F.col("least"))).alias("start"))
+    rows = starts.groupBy(*text, "m", F.floor(F.col("start") / STRIDE).cast("int").alias("stretch")).agg(F.collect_set("start").alias("starts"))
+    rows = rows.join(texts, text).select(*text, "m", "starts", (F.col("stretch") * STRIDE).alias("base"), F.slice("words", F.col("stretch") * STRIDE + 1, F.col("m") + STRIDE).alias("words"))
+    rows = rows.select(*text, "m", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s - F.col("base") + 1, F.col("m")).alias("window")))).alias("x"))
+    windows = materialize(rows.select(*text, "m", "x.start", "x.window"), "windows")
+
+    place = [*text, "start", "m"]
+    prints = fingerprints(windows, place)
+    index = items.select("item", "m", F.explode(near_blocks(F.col("hi"), F.col("lo"))).alias("block"), F.col("hi").alias("ihi"), F.col("lo").alias("ilo"))
+    probes = prints.select("*", F.explode(blocks(F.col("hi"), F.col("lo"))).alias("block"))
+    apart = hamming(F.col("hi"), F.col("lo"), F.col("ihi"), F.col("ilo"))
+    close = probes.join(broadcast_if_small(index, 48), ["m", "block"]).where(apart <= RADIUS).select(*place, "item", apart.alias("hamming")).distinct()
 
     weight = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"])
-    sides = broadcast_if_small(items.select("item", "item_id", "weighted", "k"), F.lit(32) + 24 * F.size("weighted"))
-    both = windows.drop("print").join(close, ["th", "tl", "start", "m"]).join(sides, "item")
-    both = both.withColumn("own", _own(F.col("window"), F.col("k")))
-    common = F.filter("weighted", lambda p: F.array_contains(F.col("own"), p["h"]))
-    both = both.withColumn("shared", common)
+    sides = broadcast_if_small(items.select("item", "item_id", "weighted", "k"), F.lit(48) + 24 * F.size("weighted"))
+    both = windows.join(materialize(close, "close"), place).join(sides, "item")
+    both = both.withColumn("own", _own(F.col("window"), F.least("k", F.size("window"))))
+    both = both.withColumn("shared", F.filter("weighted", lambda p: F.array_contains(F.col("own"), p["h"])))
     similarity = weight(F.col("shared")) / (weight(F.col("weighted")) + F.size("own") - F.size("shared"))
-    sure = both.select("th", "tl", "item_id", "start", F.col("m").alias("n_words"), "hamming", F.round(similarity, 9).alias("similarity")).where(F.col("similarity") >= percent / 100)
-    best = sure.groupBy("th", "tl", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "hamming")).alias("b"))
-    best = broadcast_if_small(materialize(best, "matches"), 48)
-    rows = keyed.select("doc_id", "th", "tl").join(best, ["th", "tl"]).groupBy("doc_id", "item_id").agg(F.min("b").alias("b"))
-    return rows.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.hamming").alias("hamming"), (-F.col("b.s")).alias("similarity"))
+    sure = both.select(*text, "item_id", "start", F.size("window").alias("n_words"), "hamming", F.round(similarity, 9).alias("similarity")).where(F.col("similarity") >= percent / 100)
+    best = sure.groupBy(*text, "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "hamming")).alias("b"))
+    best = broadcast_if_small(materialize(best, "matches", light=True), 64)
+    once = ["doc_id", "item_id", *([] if carry is None else ["carried"])]
+    rows = keyed.drop("text").join(best, text).groupBy(*once).agg(F.min("b").alias("b"))
+    return rows.select(*once, F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.hamming").alias("hamming"), (-F.col("b.s")).alias("similarity"))
 
 
 def op7_simhash_windows(spark, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ _SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.la
 
 
 def _sign(batches):
-    """Arrow batches (doc_id, text) -> _SIGNED. row numbers are stable: partition and place in it."""
+    """Arrow batches (doc_id, text) or (doc_id, text, key) -> _SIGNED. A row's number is its key, or else its partition and place in it; only without keys the text is kept."""
     free_caches()
     row = TaskContext.get().partitionId() << 40
     names = ("k1", "k2", "bands", "sketch", "whole")
@@ -112,10 +112,13 @@ def _sign(batches):
             out["sketch"].append(odd_sketch(samples).astype(np.int64))
             out["whole"].append(whole_sketch(have).astype(np.int64))
         n = batch.num_rows
-        rows = pa.array(np.arange(row, row + n, dtype=np.int64))
-        row += n
+        if batch.num_columns > 2:
+            rows, kept = batch.column(2), pa.nulls(n, pa.large_string())
+        else:
+            rows, kept = pa.array(np.arange(row, row + n, dtype=np.int64)), batch.column(1).cast(pa.large_string())
+            row += n
         made = [pa.array(out[name], _SIGNED.field("n_shingles" if name == "n" else name).type) for name in ("n", *names)]
-        yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(1).cast(pa.large_string()), *made], schema=_SIGNED)
+        yield pa.RecordBatch.from_arrays([rows, batch.column(0), kept, *made], schema=_SIGNED)
 
 
 _SIGNED_SQL = "row long, doc_id long, text string, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>, whole array<long>"
@@ -139,11 +142,11 @@ def _confirm(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough, as a table."""
-    ends = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "ends")
+    ends = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "ends", light=True)
     need = broadcast_if_small(ends, 16)
-    texts = materialize(signed.select("row", "text").join(need, "row", "left_semi"), "texts")
+    texts = materialize(rows.select("row", "text").join(need, "row", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"), "linked")
 
@@ -165,14 +168,15 @@ def _close(a: str, b: str, percent: int):
     return sizes & whole & (bits <= most_odd_bits(percent / 100 - SLACK)), bits
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, key: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id connected by links of `percent` similarity or more.
     Null, empty and word-less texts have an empty set and are linked with nothing; texts of
     fewer than five words have one shingle of all their words. Repeated rows fall into one
     class. A component of rows without doc_ids has a null component_id and is kept.
-    Columns other than doc_id and text are ignored.
+    Columns other than doc_id and text are ignored, but for key: it may name a column of
+    numbers, each once, of a table that is read alike every time, and saves a copy of the texts.
 
     First each class is compared with the most collided class of every band bucket it
     shares; then the closest pair of each two components that share a bucket; then all
@@ -181,22 +185,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     side whole. Shingles are compared by 64-bit hashes; two different ones of n in a corpus
     collide with probability below n**2 / 2**64 and only then count as one.
     """
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, _SIGNED_SQL), "signed")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(key).cast("long").alias("row")] if key else []))
+    signed = materialize(read.mapInArrow(_sign, _SIGNED_SQL), "signed")
+    rows = read if key else signed
     ids = signed.select("row", "doc_id", "n_shingles", "k1", "k2")
-    classes = materialize(ids.where("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low")), "classes")
+    classes = materialize(ids.where("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low")), "classes", light=True)
     reps = materialize(signed.select("row", "n_shingles", "bands", "sketch", "whole").join(broadcast_if_small(classes.select(F.col("cls").alias("row")), 16), "row", "left_semi"), "reps")
     one = reps.select("row", F.posexplode("bands").alias("band", "key"))
-    shared = materialize(one.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    shared = materialize(one.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets", light=True)
     met = materialize(one.join(broadcast_if_small(shared, 24), "key"), "met")
     degree = met.groupBy("row").agg(F.sum("size").alias("degree"))
-    met = materialize(met.join(degree, "row"), "members")
+    met = materialize(met.join(degree, "row"), "members", light=True)
     # each bucket's most collided class, ties to the smallest row
     heads = met.groupBy("key").agg(F.max(F.struct("degree", (-F.col("row")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("head"))
     spokes = met.join(heads, "key").where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct()
     sides = reps.select("row", "n_shingles", "sketch", "whole")
     ok, _ = _close("x", "y", percent)
-    pairs = materialize(spokes.join(sides.alias("y"), F.col("b") == F.col("y.row")).join(sides.alias("x"), F.col("a") == F.col("x.row")).where(ok).select("a", "b"), "spokes")
-    labels = components(_linked(pairs, signed, percent))
+    pairs = materialize(spokes.join(sides.alias("y"), F.col("b") == F.col("y.row")).join(sides.alias("x"), F.col("a") == F.col("x.row")).where(ok).select("a", "b"), "spokes", light=True)
+    labels = components(_linked(pairs, rows, percent))
 
     # buckets whose classes are still apart: a pair of two components has a side outside the bucket's main one
     left = with_component(met, labels, "row", "comp")
@@ -210,23 +216,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     every = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     found = some.alias("x").join(every.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp")) & outer & ok & first)
     found = found.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb"), bits.alias("bits"))
-    found = materialize(found.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    best = materialize(found.groupBy("ca", "cb").agg(F.min(F.struct("bits", "a", "b")).alias("m")).select("m.a", "m.b"), "best")
+    found = materialize(found.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs", light=True)
+    best = materialize(found.groupBy("ca", "cb").agg(F.min(F.struct("bits", "a", "b")).alias("m")).select("m.a", "m.b"), "best", light=True)
     for step in ("best", "all"):
         if step == "best":
             pairs = best
         else:
             pairs = with_component(with_component(found.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-            pairs = materialize(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
+            pairs = materialize(pairs.join(best, ["a", "b"], "left_anti"), "pairs", light=True)
         if pairs.isEmpty():
             break
-        more = _linked(pairs, signed, percent)
+        more = _linked(pairs, rows, percent)
         if not more.isEmpty():
             labels = merged(labels, more)
 
     grouped = classes.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = grouped.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = materialize(grouped.join(lowest, "comp").select("k1", "k2", "component_id"), "named")
+    named = materialize(grouped.join(lowest, "comp").select("k1", "k2", "component_id"), "named", light=True)
     out = ids.join(broadcast_if_small(named, 32), ["k1", "k2"], "left")
     component = F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

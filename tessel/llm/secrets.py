@@ -62,8 +62,8 @@ def _values(found: Column, name: str, trim: str = "") -> Column:
     return F.transform(found, value)
 
 
-def with_candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """(doc_id, word_no, core, before, after, path) of every candidate of every whole text.
+def with_candidates(docs: DataFrame, path: str | None = "source", carry: Column | None = None) -> DataFrame:
+    """(doc_id, word_no, core, before, after, path, carried) of every candidate of every whole text.
 
     word_no counts white-space separated words from 0. A word gives every run that CORE
     finds in it, the value of a run that is an assignment, and each password that is assigned
@@ -71,9 +71,9 @@ def with_candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     a document comes from; missing or null is empty.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.alias("path"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.alias("path"), (F.lit(None).cast("string") if carry is None else carry).alias("carried"))
     rows = rows.where(F.col("text").rlike(CORE) | F.col("text").rlike(ASSIGNED))
-    rows = rows.select("doc_id", "path", F.split("text", r"\s+").alias("words"))
+    rows = rows.select("doc_id", "path", "carried", F.split("text", r"\s+").alias("words"))
     near = lambda i: F.concat_ws(" ", *[F.get("words", i - k) for k in (3, 2, 1)])
     none = F.array().cast("array<struct<at:int,core:string>>")
 
@@ -87,7 +87,7 @@ def with_candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
         return F.transform(found, lambda c: F.struct(i.cast("long").alias("word_no"), c["core"].alias("core"), F.concat_ws(" ", near(i), F.substring(w, F.lit(1), c["at"] - 1)).alias("before"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))
 
     found = F.flatten(F.transform("words", look))
-    return rows.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "c.word_no", "c.core", "c.before", "c.after", "path")
+    return rows.select("doc_id", "path", "carried", F.explode(found).alias("c")).select("doc_id", "c.word_no", "c.core", "c.before", "c.after", "path", "carried")
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def fit_forest(findings: DataFrame) -> RandomForestClassificationModel:
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", cacheNodeIds=False).fit(packed.select("label", "features"))
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, path: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, path: str | None = "source", carry: Column | None = None) -> DataFrame:
     """One row per candidate of docs: doc_id, word_no, core, probability, is_secret.
 
     Without findings the forest is trained on labelled_findings(). Repeated rows repeat
@@ -179,9 +179,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str | None =
     doc_id, text and the path column are ignored.
     """
     forest = fit_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    rows = with_features(with_candidates(docs, path))
+    rows = with_features(with_candidates(docs, path, carry))
     packed = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features", handleInvalid="keep").transform(rows)
-    scored = forest.transform(packed).select("doc_id", "word_no", "core", F.round(vector_to_array("probability")[1], 9).alias("probability"))
+    scored = forest.transform(packed).select("doc_id", "word_no", "core", F.round(vector_to_array("probability")[1], 9).alias("probability"), *([] if carry is None else ["carried"]))
     return scored.withColumn("is_secret", F.col("probability") >= ACCEPT)
 
 

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.boosting import BoostedTrees, Isotonic
@@ -176,8 +176,8 @@ def fit(train: DataFrame) -> tuple[frozenset[str], BoostedTrees, Isotonic]:
     return learned, trees, Isotonic().fit(trees.score(x[fold == 0]), y[fold == 0])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted.
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: Column | None = None) -> DataFrame:
+    """Per row of docs: doc_id, held_out, score, predicted, and the string `carry` where one is given.
 
     The model is fitted on at most TRAIN_ROWS labelled rows outside the held-out part and
     scores every whole text. Null and empty texts score like a text without words. Without
@@ -193,10 +193,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         for batch in batches:
             x = np.array([dense_features(t, learned) for t in batch.column(2).to_pylist()], float).reshape(-1, len(FEATURES))
             score = np.clip(calibrated(trees.score(x)), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", "carried"][: 1 + batch.num_columns])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int"), "toxicity")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *([] if carry is None else [carry.alias("carried")]))
+    return materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + ("" if carry is None else ", carried string")), "toxicity")
 
 
 def op9_boosted_trees(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessel.llm import common, neardup
 from tessel.llm.boosting import BoostedTrees, Isotonic
 from tessel.llm.components import components, merged
-from tessel.llm.decontamination import block, near_blocks, op7_simhash_windows
+from tessel.llm.decontamination import op7_simhash_windows
 from tessel.llm.neardup import near_duplicates
 from tessel.llm.packing import WordIds, op10_best_two_fit, pack_lengths, tokenizer_path
 from tessel.llm.pii import BASE, base_spans, fit_reliabilities, op3_weak_supervision
@@ -342,49 +342,102 @@ def test_edited_passages(spark):
     assert not {r["doc_id"] for r in contaminated(docs, items).collect()} & {5, 6}
 
 
-def test_cut_passages_against_brute_force(spark):
-    import random
+def grams(w):
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
-    from tessel.llm.decontamination import RADIUS, contaminated
 
-    rnd = random.Random(5)
-    pool = [f"word{i}" for i in range(4000)]
-    items, docs = {}, {}
-    for i in range(240):
-        n = 7 * rnd.randint(2, 6)
-        w = rnd.sample(pool, n + 4)
-        items[i] = w
-        docs[i] = [*rnd.sample(pool, 15), *w[: n + 4 - n // 7], *rnd.sample(pool, 40)]
+def matched(spark, docs, items):
+    """What contaminated() finds, and what every window of every document holds, equal weights."""
+    from tessel.llm.decontamination import contaminated
+
     tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in t.items()], schema) for t, schema in ((docs, "doc_id long, text string"), (items, "item_id long, text string"))]
     got = contaminated(*tables).collect()
-
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    want = set()
+    want = {}
     for i, item in items.items():
         have = grams(item)
         for d, doc in docs.items():
-            if have & grams(doc) and any(4 * len(have & own) >= 3 * len(have | own) for own in (grams(doc[p : p + len(item)]) for p in range(len(doc)))):
-                want.add((d, i))
-    assert len(want) >= 240 and {(r["doc_id"], r["item_id"]) for r in got} == want
-    assert any(r["hamming"] > RADIUS for r in got)
+            if have & grams(doc):
+                best = max(len(have & own) / len(have | own) for own in (grams(doc[p : p + len(item)]) for p in range(len(doc))))
+                if best >= 0.75:
+                    want[d, i] = round(best, 9)
+    return {(r["doc_id"], r["item_id"]): r["similarity"] for r in got}, want, got
+
+
+def test_cut_passages_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    pool = [f"word{i}" for i in range(40_000)]
+    items, docs = {}, {}
+    for i in range(300):
+        n = 7 * rnd.randint(2, 6)
+        w = items[i] = pool[i * 60 : i * 60 + n + 4]
+        docs[i] = [*rnd.sample(pool[20_000:], 15), *w[: n + 4 - n // 7], *rnd.sample(pool[20_000:], 40)]
+    got, want, rows = matched(spark, docs, items)
+    assert len(want) >= 300 and got == want
+    assert max(r["hamming"] for r in rows) > 16
+
+
+def test_edits_of_every_kind_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(11)
+    items, docs = {}, {}
+    for i in range(200):
+        n = rnd.randint(12, 60)
+        w = items[i] = [f"i{i}w{j}" for j in range(n)]
+        kind, w = i % 5, list(w)
+        if kind == 0:  # halves change places
+            w = w[n // 2 :] + w[: n // 2]
+        elif kind == 1:
+            for _ in range(1 + n // 40):
+                w[rnd.randrange(n)] = "new"
+        elif kind == 2:
+            w.insert(rnd.randrange(n), "put")
+        elif kind == 3:
+            del w[rnd.randrange(n)]
+        else:  # thirds change places
+            w = w[n // 3 : 2 * n // 3] + w[: n // 3] + w[2 * n // 3 :]
+        docs[i] = ["before", "it", *w, *rnd.sample([f"z{j}" for j in range(500)], 5)]
+    got, want, _ = matched(spark, docs, items)
+    assert got == want and len(want) > 60
+    swapped = [f"t{j}" for j in range(34)]
+    got, want, rows = matched(spark, {1: swapped[17:] + swapped[:17]}, {9: swapped})
+    assert got == want == {(1, 9): round(26 / 34, 9)} and rows[0]["hamming"] == 0
 
 
 def test_blocks_guarantee_the_radius(spark):
     import random
 
+    from tessel.llm.decontamination import RADIUS, blocks, near_blocks
+
     rnd = random.Random(7)
     rows = []
     for _ in range(200):
-        a = rnd.getrandbits(63)
-        b = a
-        for bit in rnd.sample(range(63), 15):
-            b ^= 1 << bit
-        rows.append((a, b))
-    df = spark.createDataFrame(rows, "a long, b long")
-    met = F.arrays_overlap(near_blocks(F.col("a")), F.array(*[block(F.col("b"), i) for i in range(8)]))
+        a = [rnd.getrandbits(63), rnd.getrandbits(63)]
+        b = list(a)
+        for bit in rnd.sample([x for x in range(128) if x % 64 != 63], RADIUS):
+            b[bit // 64] ^= 1 << (bit % 64)
+        rows.append((*a, *b))
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    met = F.arrays_overlap(near_blocks(F.col("a"), F.col("b")), blocks(F.col("c"), F.col("d")))
     assert df.where(met).count() == 200
 
 
+def test_fingerprints_count_every_bit(spark):
+    from tessel.llm.decontamination import fingerprints
+
+    words = [["a", "b", "c", "a"], ["x"], ["q", "q", "r"]]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, window array<string>")
+    got = {r["id"]: (r["hi"], r["lo"]) for r in fingerprints(df, ["id"]).collect()}
+    hashes = {r["w"]: (r["hi"], r["lo"]) for r in df.selectExpr("explode(window) w").selectExpr("w", "xxhash64(w) hi", "xxhash64(w, 1) lo").collect()}
+    for i, ws in enumerate(words):
+        for side in (0, 1):
+            for bit in range(64):
+                ones = sum(hashes[w][side] >> bit & 1 for w in ws)
+                assert (got[i][side] >> bit & 1) == (2 * ones > len(ws))
+
+
 # --- 8 ---
 
 
