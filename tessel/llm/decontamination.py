@@ -175,7 +175,9 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, carr
     rows = starts.groupBy(*text, "m", F.floor(F.col("start") / STRIDE).cast("int").alias("stretch")).agg(F.collect_set("start").alias("starts"))
     rows = rows.join(texts, text).select(*text, "m", "starts", (F.col("stretch") * STRIDE).alias("base"), F.slice("words", F.col("stretch") * STRIDE + 1, F.col("m") + STRIDE).alias("words"))
     rows = rows.select(*text, "m", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s - F.col("base") + 1, F.col("m")).alias("window")))).alias("x"))
-    windows = materialize(rows.select(*text, "m", "x.start", "x.window"), "windows")
+    rows = rows.select(*text, "m", "x.start", "x.window")
+    own = _own(F.col("window"), F.least(F.col("m"), F.lit(SHINGLE), F.size("window")))
+    windows = materialize(rows.withColumn("own", own), "windows")
 
     place = [*text, "start", "m"]
     prints = fingerprints(windows, place)
@@ -185,14 +187,13 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, carr
     close = probes.join(broadcast_if_small(index, 48), ["m", "block"]).where(apart <= RADIUS).select(*place, "item", apart.alias("hamming")).distinct()
 
     weight = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"])
-    sides = broadcast_if_small(items.select("item", "item_id", "weighted", "k"), F.lit(48) + 24 * F.size("weighted"))
+    sides = broadcast_if_small(items.select("item", "item_id", "weighted"), F.lit(48) + 24 * F.size("weighted"))
     both = windows.join(materialize(close, "close"), place).join(sides, "item")
-    both = both.withColumn("own", _own(F.col("window"), F.least("k", F.size("window"))))
-    both = both.withColumn("shared", F.filter("weighted", lambda p: F.array_contains(F.col("own"), p["h"])))
-    similarity = weight(F.col("shared")) / (weight(F.col("weighted")) + F.size("own") - F.size("shared"))
+    total = weight(F.col("weighted")) + F.size("own")
+    similarity = let(F.filter("weighted", lambda p: F.array_contains(F.col("own"), p["h"])), lambda shared: weight(shared) / (total - F.size(shared)))
     sure = both.select(*text, "item_id", "start", F.size("window").alias("n_words"), "hamming", F.round(similarity, 9).alias("similarity")).where(F.col("similarity") >= percent / 100)
     best = sure.groupBy(*text, "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "hamming")).alias("b"))
-    best = broadcast_if_small(materialize(best, "matches", light=True), 64)
+    best = broadcast_if_small(materialize(best, "matches"), 64)
     once = ["doc_id", "item_id", *([] if carry is None else ["carried"])]
     rows = keyed.drop("text").join(best, text).groupBy(*once).agg(F.min("b").alias("b"))
     return rows.select(*once, F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.hamming").alias("hamming"), (-F.col("b.s")).alias("similarity"))
