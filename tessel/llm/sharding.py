@@ -2,31 +2,46 @@
 
 A record's slot never changes. What changes is a small versioned table
 (version, vslot, shard) with one row per slot, so moving load or adding a shard
-edits a few rows instead of rehashing the corpus.
+edits a few rows instead of rehashing the corpus. Every version of the map is stored, and
+records are placed by the version that is read back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessel.llm.common import materialize, shared_dir
+
 SLOTS = 4096
+#: Copies of a row dealt out of one row at a time.
+COPIES = 4096
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Rows of docs as (doc_id, size, text_crc32, vslot).
 
-    size is the UTF-8 bytes of the text plus 1 (a null text counts as empty). The slot
-    comes from doc_id alone; rows without a doc_id are spread by their text's checksum.
-    Other columns of docs, whatever their names, are not carried.
+    size is the UTF-8 bytes of the text plus 1 (a null text counts as empty). The slot comes
+    from doc_id, the text's checksum and the copy's number among equal rows, so neither a
+    repeated doc_id nor a repeated row fills a slot. Equal rows are counted before they are
+    shuffled, and dealt out again afterwards, COPIES at a time. Other columns of docs,
+    whatever their names, are not carried.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
-    ).withColumn("vslot", F.pmod(F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("text_crc32")).otherwise(0), "doc_id"), F.lit(slots)).cast("int"))
+    )
+    equal = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    some = equal.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    last = F.least(F.col("n"), (F.col("lot") + 1) * COPIES) - 1
+    each = some.withColumn("copy", F.explode(F.sequence(F.col("lot") * COPIES, last)))
+    slot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long")), "text_crc32", "copy"), F.lit(slots)).cast("int")
+    return each.select("doc_id", "size", "text_crc32", slot.alias("vslot"))
 
 
 def slot_bytes(slotted: DataFrame) -> DataFrame:
@@ -114,15 +129,34 @@ def assign(slotted: DataFrame, slot_map: DataFrame, load: DataFrame) -> DataFram
     return placed.join(F.broadcast(offsets), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("n")).cast("long").alias("slot"))
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
-    """docs dealt into `shards` shards of near-equal bytes through a slot map of version 1.
+def store_map(slot_map: DataFrame, path: str) -> int:
+    """Append a version of the map to the table at path and return its number; versions that stand are never rewritten."""
+    version = slot_map.agg(F.max("version")).head()[0]
+    slot_map.select("vslot", "shard").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+    return version
+
+
+def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(version, vslot, shard) of a stored version, by default of the last one."""
+    every = spark.read.parquet(path).select(F.col("version").cast("int").alias("version"), "vslot", "shard")
+    last = every.agg(F.max("version")).head()[0] if version is None else version
+    return every.where(F.col("version") == last)
+
+
+def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """docs dealt into `shards` shards of near-equal bytes through a slot map of version 1, stored at path.
 
+    Records are read once; their sizes and slots are written, and the load and the places
+    come from that table. Without a path the map goes to a new table in the shared folder.
     Empty tables give no rows; repeated rows are dealt like any others. The broadcast map
     has `slots` rows whatever the corpus size.
     """
-    slotted = with_slots(docs, slots)
-    load = slot_bytes(slotted)
-    return assign(slotted, first_map(load, shards, slots), load)
+    spark = docs.sparkSession
+    slotted = materialize(with_slots(docs, slots), "slotted")
+    load = materialize(slot_bytes(slotted), "load", light=True)
+    path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    version = store_map(first_map(load, shards, slots), path)
+    return assign(slotted, stored_map(spark, path, version), load)
 
 
 def op5_virtual_slots(spark, sf_dir: str) -> DataFrame:
