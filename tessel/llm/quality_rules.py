@@ -1,9 +1,13 @@
 """Robust multivariate outliers over text statistics, in DataFrame operations only.
 
-Per (lang, source) a regularised minimum-covariance-determinant estimate: start from
-coordinate-wise medians, then concentrate: fit mean and covariance to the rows nearest so
-far, measure Mahalanobis distances, keep the nearest again. Groups share nothing but the
-passes, and a pass sends one row of sums, or one count per distance bin, a group and task.
+Per (lang, source) a regularised minimum-covariance-determinant estimate: from three starts
+(medians, medians scaled by quartiles, all rows) concentrate: fit mean and covariance to the
+rows nearest so far, measure Mahalanobis distances, keep the nearest again. Each group keeps
+the start of least determinant and concentrates it until no determinant falls any more. A
+pass sends one row of sums, or one count per distance bin, a group and task.
+
+Every group has its own estimate, whatever its size: PRIOR rows' worth of its language's
+estimate are added to its sums, so small groups lean on their language and large ones do not.
 
 Statistics are transformed, clipped and kept as integers, so sums are exact and results do
 not depend on the order in which tasks finish.
@@ -26,13 +30,15 @@ DIMS = ("z_len", "z_word", "z_symbols", "z_lines", "z_repeats")
 GRID = 1024
 #: Share of a group's rows the estimate concentrates on.
 CORE = 0.75
-#: Concentration steps.
-STEPS = 3
+#: Concentration steps of each start, and of the best one at most.
+STEPS, MOST_STEPS = 2, 8
+#: Rows' worth of the language's estimate in each group's.
+PRIOR = 50
+#: What the core's covariance is multiplied by: CORE over the chi-squared distribution (7 degrees) at the CORE quantile of 5 degrees.
+CONSISTENCY = 1.41
 #: Deviation added to each coordinate in units: keeps degenerate groups (mostly copies) invertible. Ordinary
 #: texts have no symbols and no repeats, so there the floor is what an outlier is measured by.
 FLOORS = {"z_len": 0.35, "z_word": 0.35, "z_symbols": 0.2, "z_lines": 0.3, "z_repeats": 0.3}
-#: Groups below this size take part in, and use, their language's estimate.
-LEAST_ROWS = 200
 #: Squared distance that rejects: the 0.9999 quantile of chi-squared with 5 degrees.
 REJECT = 25.745
 #: Bins of log2(1 + squared distance) that give the quantiles.
@@ -98,16 +104,29 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def _model(moments: DataFrame, keys: list[str], scale: Column | float = 1.0) -> DataFrame:
-    """Means and the inverse Cholesky factor (as forward-substitution coefficients) by group."""
+_SUMS = [*[f"s_{d}" for d in DIMS], *[f"p_{a}_{b}" for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]]
+
+
+def _with_prior(moments: DataFrame, prior: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Sums by group with PRIOR rows of the prior's means (n and sums by a part of the keys) added."""
+    if prior is None:
+        return moments
+    on = [k for k in keys if k in prior.columns]
+    means = broadcast_if_small(prior.select(*on, *[(F.col(c) / F.col("n")).alias(f"prior_{c}") for c in _SUMS]), 8 * len(_SUMS) + 64)
+    return moments.join(means, on).select(*keys, (F.col("n") + PRIOR).alias("n"), *[(F.col(c) + PRIOR * F.col(f"prior_{c}")).alias(c) for c in _SUMS])
+
+
+def _model(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """Means, the Cholesky factor (as forward-substitution coefficients) and the log determinant by group."""
     n = F.col("n").cast("double")
     out = moments.select(*keys, *[(F.col(f"s_{d}") / n / GRID).alias(f"m_{d}") for d in DIMS], *[(F.col(f"p_{a}_{b}") / n / GRID / GRID).alias(f"p_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
     for i, a in enumerate(DIMS):  # Cholesky, row by row
         for j, b in enumerate(DIMS[: i + 1]):
-            cov = (F.col(f"p_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) * scale + (FLOORS[a]**2 if i == j else 0)
+            cov = (F.col(f"p_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) * scale + (FLOORS[a] ** 2 if i == j else 0)
             rest = reduce(lambda x, c: x - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}"), DIMS[:j], cov)
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{b}_{b}"))
-    return out.select(*keys, *[f"m_{d}" for d in DIMS], *[f"l_{a}_{b}" for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
+    logdet = reduce(lambda x, y: x + y, [2 * F.log(f"l_{d}_{d}") for d in DIMS])
+    return out.select(*keys, *[f"m_{d}" for d in DIMS], *[f"l_{a}_{b}" for i, a in enumerate(DIMS) for b in DIMS[: i + 1]], F.round(logdet, 9).alias("logdet"))
 
 
 def _distance(rows: DataFrame, model: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -121,34 +140,68 @@ def _distance(rows: DataFrame, model: DataFrame, keys: list[str], name: str) ->
     return out.select(*keep, reduce(lambda x, y: x + y, [F.col(f"y_{d}") * F.col(f"y_{d}") for d in DIMS]).alias(name))
 
 
-def _quantile_bins(rows: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
-    """(keys, cut): the first bin of value up to which at least `share` of a group's rows lie."""
+def _quantile_bins(rows: DataFrame, keys: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """(keys, names of shares): the first bin of value up to which at least each share of a group's rows lie."""
     bins = rows.groupBy(*keys, F.floor(value).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy(*keys).orderBy("bin")
     ranked = bins.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-    return ranked.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("cut"))
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * share), F.col("bin"))).alias(name) for name, share in shares.items()])
 
 
 def _bin(distance: str) -> Column:
     return F.log2(1 + F.col(distance)) * BINS
 
 
-def mcd(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """The groups' models; rows hold keys and DIMS. One small table is written a step."""
-    start = None
+def _concentrated(near: DataFrame, keys: list[str], prior: DataFrame | None, tag: str) -> tuple[DataFrame, DataFrame]:
+    """The sums over, and the model of, the CORE nearest rows of each group; near holds d2."""
+    cut = broadcast_if_small(materialize(_quantile_bins(near, keys, _bin("d2"), {"cut": CORE}), f"{tag}-cut", light=True), 64)
+    core = near.join(cut, keys).where(F.floor(_bin("d2")) <= F.col("cut"))
+    sums = materialize(_moments(core, keys), f"{tag}-sums", light=True)
+    return sums, materialize(_model(_with_prior(sums, prior, keys), keys, CONSISTENCY), f"{tag}-model", light=True)
+
+
+def mcd(rows: DataFrame, keys: list[str], tag: str, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The groups' sums over their cores, and their models; rows hold keys and DIMS.
+
+    Of the starts each group keeps the model of least determinant, ties to the first; then
+    it concentrates until no group's determinant falls by over a millionth of its log.
+    """
+    mids = None
     for d in DIMS:
-        mid = _quantile_bins(rows, keys, F.col(d) * 16 / GRID, 0.5).withColumnRenamed("cut", f"c_{d}")
-        start = mid if start is None else start.join(mid, keys)
-    start = broadcast_if_small(materialize(start, f"{tag}-medians"), 64)
-    far = reduce(lambda x, y: x + y, [F.pow(F.col(d) / GRID - F.col(f"c_{d}") / 16, 2) for d in DIMS])
-    near = rows.join(start, keys).withColumn("d2", far).select(*rows.columns, "d2")
-    for step in range(STEPS):
-        cut = broadcast_if_small(materialize(_quantile_bins(near, keys, _bin("d2"), CORE), f"{tag}-cut{step}"), 32)
-        core = near.join(cut, keys).where(F.floor(_bin("d2")) <= F.col("cut"))
-        # a chi-squared variable's variance inside its 0.75 quantile is about 1/1.6 of the whole
-        model = materialize(_model(_moments(core, keys), keys, 1.6), f"{tag}-model{step}")
-        near = _distance(rows, model, keys, "d2")
-    return model
+        mid = _quantile_bins(rows, keys, F.col(d) * 16 / GRID, {f"a_{d}": 0.25, f"c_{d}": 0.5, f"b_{d}": 0.75})
+        mids = mid if mids is None else mids.join(mid, keys)
+    mids = broadcast_if_small(materialize(mids, f"{tag}-medians", light=True), 160)
+    whole = _model(_with_prior(_moments(rows, keys), prior, keys), keys, 1.0)
+    off = {d: F.col(d) / GRID - F.col(f"c_{d}") / 16 for d in DIMS}
+    spread = {d: (F.col(f"b_{d}") - F.col(f"a_{d}")) / 16 / 1.349 + FLOORS[d] for d in DIMS}
+    square = lambda parts: reduce(lambda x, y: x + y, [p * p for p in parts])
+    centred = rows.join(mids, keys)
+    starts = (
+        centred.select(*rows.columns, square([off[d] for d in DIMS]).alias("d2")),
+        centred.select(*rows.columns, square([off[d] / spread[d] for d in DIMS]).alias("d2")),
+        _distance(rows, materialize(whole, f"{tag}-whole", light=True), keys, "d2"),
+    )
+    tried = []
+    for number, near in enumerate(starts):
+        for _ in range(STEPS):
+            sums, model = _concentrated(near, keys, prior, f"{tag}-{number}")
+            near = _distance(rows, model, keys, "d2")
+        tried.append((sums, model))
+    least = lambda tables: reduce(lambda x, y: x.unionByName(y), [t.withColumn("start", F.lit(i)) for i, t in enumerate(tables)])
+    order = least([m for _, m in tried])
+    chosen = order.groupBy(*keys).agg(F.min(F.struct("logdet", "start")).alias("best")).select(*keys, F.col("best.start").alias("start"))
+    chosen = materialize(chosen, f"{tag}-chosen", light=True)
+    model = materialize(order.join(chosen, [*keys, "start"]).drop("start"), f"{tag}-best", light=True)
+    sums = least([x for x, _ in tried]).join(chosen, [*keys, "start"]).drop("start")
+    for _ in range(MOST_STEPS):
+        more, after = _concentrated(_distance(rows, model, keys, "d2"), keys, prior, f"{tag}-more")
+        fell = after.join(model.select(*keys, F.col("logdet").alias("was")), keys).select(*keys, (F.col("logdet") < F.col("was") - 1e-6).alias("fell"))
+        fell = materialize(fell, f"{tag}-fell", light=True)
+        if fell.where("fell").isEmpty():
+            break
+        pick = lambda old, new: old.join(fell.where("not fell"), keys, "left_semi").unionByName(new.join(fell.where("fell"), keys, "left_semi"))  # noqa: E731, B023
+        model, sums = materialize(pick(model, after), f"{tag}-best", light=True), pick(sums, more)
+    return materialize(sums, f"{tag}-core", light=True), model
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -156,8 +209,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. The
     other rows are kept unless their squared distance to their (lang, source) estimate
-    exceeds REJECT; groups below LEAST_ROWS use the estimate of their language (null is a
-    language and a source like any other). Base failures take no part in the estimates.
+    exceeds REJECT (null is a language and a source like any other). Base failures take no
+    part in the estimates. A group of one row is judged by its language, all but for a fiftieth.
     Copies count as often as they occur: a group of mere copies keeps an estimate
     as wide as FLOORS. Empty tables give no rows; columns beyond doc_id, text, lang and source are
     ignored.
@@ -168,13 +221,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     rows = materialize(stats.select("*", *_transformed(), F.coalesce("lang", null).alias("g_lang"), F.coalesce("source", null).alias("g_source")), "stats")
     good = rows.where(~F.col("base_failed"))
     by_source, by_lang = ["g_lang", "g_source"], ["g_lang"]
-    sizes = good.groupBy(*by_source).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
-    large = broadcast_if_small(materialize(sizes.select(*by_source), "large"), 64)
-    fine = good.join(large, by_source, "left_semi")
-    rest = good.join(large, by_source, "left_anti")
-    core = [*by_source, *DIMS]
-    lang_model, source_model = mcd(good.select(*core), by_lang, "lang"), mcd(fine.select(*core), by_source, "source")
-    judged = _distance(fine, source_model, by_source, "distance2").unionByName(_distance(rest, lang_model, by_lang, "distance2"))
+    core = good.select(*by_source, *DIMS)
+    prior, _ = mcd(core.drop("g_source"), by_lang, "lang")
+    _, model = mcd(core, by_source, "source", prior)
+    judged = _distance(good, model, by_source, "distance2")
     out = judged.unionByName(rows.where("base_failed").withColumn("distance2", F.lit(None).cast("double")))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= REJECT)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance2", 6).alias("distance2"))
