@@ -33,7 +33,10 @@ BENIGN_CUES = r"(?i)(?:commit|sha\d*|md5|digest|checksum|hash|uuid|guid|etag|rev
 PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|glpat-|npm_|SG\.|hf_)"
 TEST_PATH = r"(?i)(?:test|example|sample|mock|fixture|demo|docs?/|readme)"
 
-FEATURES = ("length", "digits", "upper", "distinct", "class_changes", "case_changes", "vowel_runs", "repeats", "hex", "uuid", "prefix", "dictionary", "separators", "cue", "benign", "assigned", "quoted", "test_path", "after_word")
+#: A private key's whole block, which may run over many lines.
+KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+
+FEATURES = ("length", "digits", "upper", "distinct", "class_changes", "case_changes", "vowel_runs", "repeats", "hex", "uuid", "prefix", "key_block", "dictionary", "separators", "cue", "benign", "assigned", "quoted", "test_path", "after_word")
 
 #: Findings the forest is trained on, trees, depth, seed.
 TRAIN_ROWS, TREES, DEPTH, SEED = 6000, 40, 8, 17
@@ -67,13 +70,18 @@ def with_candidates(docs: DataFrame, path: str | None = "source", carry: Column
 
     word_no counts white-space separated words from 0. A word gives every run that CORE
     finds in it, the value of a run that is an assignment, and each password that is assigned
-    in it or before it. Null and empty texts have none. path names the column that says where
+    in it or before it; a private key's block over several lines is a candidate as a whole,
+    at its first word. Null and empty texts have none. path names the column that says where
     a document comes from; missing or null is empty.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.alias("path"), (F.lit(None).cast("string") if carry is None else carry).alias("carried"))
-    rows = rows.where(F.col("text").rlike(CORE) | F.col("text").rlike(ASSIGNED))
-    rows = rows.select("doc_id", "path", "carried", F.split("text", r"\s+").alias("words"))
+    rows = rows.where(F.col("text").rlike(CORE) | F.col("text").rlike(ASSIGNED) | F.col("text").contains("-----BEGIN "))
+    place = lambda at: (F.size(F.split(F.substring("text", F.lit(1), at), r"\s+")) - 1).cast("long")
+    lead = lambda at: F.substring("text", F.greatest(at - 40, F.lit(1)), F.least(at - 1, F.lit(40)))
+    blocks = F.transform(_placed(F.col("text"), KEY_BLOCK), lambda c: F.struct(place(c["at"]).alias("word_no"), c["core"].alias("core"), lead(c["at"]).alias("before"), F.lit("").alias("after")))
+    blocks = F.when(F.col("text").contains("-----BEGIN "), blocks).otherwise(F.array().cast("array<struct<word_no:bigint,core:string,before:string,after:string>>"))
+    rows = rows.select("doc_id", "path", "carried", blocks.alias("blocks"), F.split("text", r"\s+").alias("words"))
     near = lambda i: F.concat_ws(" ", *[F.get("words", i - k) for k in (3, 2, 1)])
     none = F.array().cast("array<struct<at:int,core:string>>")
 
@@ -86,7 +94,7 @@ def with_candidates(docs: DataFrame, path: str | None = "source", carry: Column
         found = F.filter(F.array_distinct(found), lambda c: F.length(c["core"]) >= 6)
         return F.transform(found, lambda c: F.struct(i.cast("long").alias("word_no"), c["core"].alias("core"), F.concat_ws(" ", near(i), F.substring(w, F.lit(1), c["at"] - 1)).alias("before"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))
 
-    found = F.flatten(F.transform("words", look))
+    found = F.concat(F.flatten(F.transform("words", look)), F.col("blocks"))
     return rows.select("doc_id", "path", "carried", F.explode(found).alias("c")).select("doc_id", "c.word_no", "c.core", "c.before", "c.after", "path", "carried")
 
 
@@ -100,7 +108,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         "length": flag(F.least(size, F.lit(200))),
         "digits": count("[0-9]") / size,
         "upper": count("[A-Z]") / size,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(core, 1, 64), ""))) / F.least(size, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(core, ""))) / F.least(size, F.lit(64)),
         "class_changes": count("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])") / size,
         "case_changes": count("[a-z](?=[A-Z])|[A-Z](?=[a-z])") / size,
         "vowel_runs": count("[^aeiouAEIOU0-9][aeiouAEIOU](?=[^aeiouAEIOU0-9])") / size,
@@ -108,6 +116,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         "hex": flag(core.rlike("^[0-9a-fA-F]+$")),
         "uuid": flag(core.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")),
         "prefix": flag(core.rlike(PREFIXES)),
+        "key_block": flag(core.rlike("^" + KEY_BLOCK)),
         "dictionary": covered / size,
         "separators": count("[-_/.=~]") / size,
         "cue": flag(F.col("before").rlike(CUES)),
@@ -124,8 +133,11 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
     """Findings (core, before, after, path, label) with known answers, made from hashes of their numbers.
 
     Half are secrets: provider-shaped keys, random hexadecimal, base64 or alphanumeric
-    values behind a cue, and passwords. The others are what such scans wrongly report:
-    digests and identifiers behind their own cues, placeholders, names, paths, numbers.
+    values behind a cue, key blocks and passwords. The others are what such scans wrongly
+    report: digests and identifiers behind their own cues, placeholders, names, paths,
+    numbers. What a value is decides its label; its surroundings do not: of the shaped keys
+    and blocks every second stands behind plain words, and of the harmless kinds that show
+    what they are (names, placeholders, numbers, identifiers) every third behind a secret's cue.
     """
     draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "id")
     pick = lambda k, options: F.element_at(F.array(*[F.lit(o) for o in options]), F.pmod(draw(k), F.lit(len(options))).cast("int") + 1)
@@ -137,7 +149,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
     name = lambda k: F.concat(pick(f"{k}a", DICTIONARY[:40]), pick(f"{k}s", ["_", "-", "/", ""]), pick(f"{k}b", DICTIONARY[40:]), pick(f"{k}t", ["_", "-", "/", ""]), pick(f"{k}c", DICTIONARY[20:60]))
     cue = F.concat(pick("w", ["the", "set", "export", "of", "and", "with"]), F.lit(" "), pick("c", ["token", "secret", "api_key", "apikey", "password", "auth_token", "access_key", "client_secret"]), pick("o", [" = \"", "=", ": ", "=\"", " = '", ": \"", " = "]))
     plain = F.concat(pick("w", ["the", "see", "from", "in", "at", "on"]), F.lit(" "), pick("p", ["commit ", "sha256: ", "uuid=", "file ", "path=", "version ", "build ", "image ", "order ", "the ", "and ", "id: ", "checksum "]))
-    kind = F.pmod(draw("kind"), F.lit(14))
+    kind = F.pmod(draw("kind"), F.lit(15))
     core = (
         F.when(kind == 0, F.concat(pick("x", ["AKIA", "ASIA"]), F.upper(alnum("a", 16))))
         .when(kind == 1, F.concat(pick("x", ["ghp_", "gho_", "ghs_"]), alnum("a", 36)))
@@ -150,10 +162,14 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
         .when(kind == 10, F.concat(name("n"), pick("s", ["-", "_"]), year("y")))
         .when(kind == 11, F.concat(pick("x", ["your_", "example-", "INSERT_", "xxxx"]), pick("z", ["api_key_here_", "token-placeholder-", "secret_value_"]), F.pmod(draw("d"), F.lit(1000)).cast("string")))
         .when(kind == 12, F.concat(F.pmod(draw("d"), F.lit(10**9)).cast("string"), F.pmod(draw("e"), F.lit(10**9)).cast("string")))
-        .otherwise(F.concat(name("n"), F.lit("/"), name("m"), F.lit("2")))
+        .when(kind == 13, F.concat(name("n"), F.lit("/"), name("m"), F.lit("2")))
+        .otherwise(F.concat(F.lit("-----BEGIN "), pick("x", ["RSA ", "EC ", ""]), F.lit("PRIVATE KEY-----\n"), b64("a", 60), F.lit("\n"), b64("c", 60), F.lit("\n-----END RSA PRIVATE KEY-----")))
     )
-    label = (kind <= 6).cast("double")
-    secret_like = (kind <= 6) | (kind == 11)
+    secret = (kind <= 6) | (kind == 14)
+    label = secret.cast("double")
+    turn = lambda n: F.pmod(draw("turn"), F.lit(n)) == 0
+    shaped, plainly = kind.isin(0, 1, 2, 14), kind.isin(7, 10, 11, 12, 13)
+    secret_like = F.when(shaped, turn(2)).when(plainly, (kind == 11) | turn(3)).otherwise(secret)
     rows_ = spark.range(rows, numPartitions=2).select(
         core.alias("core"),
         F.when(secret_like, cue).otherwise(plain).alias("before"),

@@ -99,6 +99,47 @@ def test_junk_of_some_symbols_and_repeated_lines(spark):
     assert sum(got[i]["kept"] for i in range(400)) >= 396
 
 
+def test_least_determinant_of_small_and_large_groups(spark):
+    """Against NumPy: random starts by the hundred find no core of a lower determinant than mcd() by much."""
+    from tessel.llm import quality_rules as Q
+
+    rng = np.random.default_rng(12)
+    rows, plain = [], {}
+    for g, n in (("small", 40), ("large", 400)):
+        x = np.concatenate((rng.normal(3, 0.6, (n, 5)), rng.normal(9, 0.3, (n // 6, 5))))
+        z = np.round(np.clip(x, 0, 16) * Q.GRID).astype(int)
+        plain[g] = z / Q.GRID
+        rows += [(g, *map(int, r)) for r in z]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{d} long" for d in Q.DIMS))
+    sums, model = Q.mcd(df, ["g"], "try")
+    got = {r["g"]: r["logdet"] for r in model.collect()}
+    floors = np.diag([Q.FLOORS[d] ** 2 for d in Q.DIMS])
+    for g, x in plain.items():
+        h, best = int(np.ceil(Q.CORE * len(x))), np.inf
+        for _ in range(100):
+            core = x[rng.choice(len(x), 8, replace=False)]
+            for _ in range(15):
+                cov = np.cov(core.T, bias=True) * Q.CONSISTENCY + floors
+                off = x - core.mean(axis=0)
+                core = x[np.argsort((off @ np.linalg.inv(cov) * off).sum(axis=1), kind="stable")[:h]]
+            best = min(best, np.linalg.slogdet(np.cov(core.T, bias=True) * Q.CONSISTENCY + floors)[1])
+        assert abs(got[g] - best) < 0.1
+    assert {r["g"]: r["n"] for r in sums.collect()}.keys() == {"small", "large"}
+
+
+def test_small_groups_have_their_own_estimate(spark):
+    from tessel.llm.quality_rules import quality_rules
+
+    text = lambda i, n: " ".join(f"t{i}x{j}" for j in range(n))
+    rows = [(i, text(i, 40 + i % 9), "en", "long") for i in range(300)]
+    rows += [(1000 + i, text(i, 12 + i % 3), "en", "short") for i in range(60)]
+    rows += [(2000, text(1, 2600), "en", "short"), (2001, text(1, 2600), "en", "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    assert got[2000]["distance2"] != got[2001]["distance2"] and not got[2000]["kept"]
+    assert sum(got[1000 + i]["kept"] for i in range(60)) >= 58
+
+
 def test_long_repetition_is_counted_once(spark):
     docs = spark.createDataFrame([(1, "a b c d e " * 2000)], "doc_id long, text string")
     assert text_statistics(docs).head()["n_repeat_words"] == 10_000
@@ -204,6 +245,31 @@ def test_shards(spark, small, texts):
     assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 8 + max(min(len((t or "").encode()) for t in texts.values()), 200)
 
 
+def test_versions_of_the_map_are_stored(spark, small, tmp_path):
+    from tessel.llm.sharding import assign, shard, store_map, stored_map
+
+    docs, path = spark.read.parquet(f"{small}/documents.parquet"), f"file://{tmp_path}/map"
+    placed = {(r["doc_id"], r["shard"]) for r in shard(docs, 8, path=path).collect()}
+    slotted = with_slots(docs)
+    load = slot_bytes(slotted)
+    assert store_map(rebalanced(stored_map(spark, path), load, 9).drop("moved"), path) == 2
+    assert {r["version"] for r in stored_map(spark, path).collect()} == {2}
+    assert {(r["doc_id"], r["shard"]) for r in assign(slotted, stored_map(spark, path, 1), load).collect()} == placed
+    after = {r["doc_id"]: r["shard"] for r in assign(slotted, stored_map(spark, path), load).collect()}
+    assert all(after[d] in (s, 8) for d, s in placed) and 8 in after.values()
+
+
+def test_repeated_rows_and_ids_are_spread(spark):
+    from tessel.llm.sharding import shard
+
+    same = [(7, "one text")] * 5000 + [(8, f"text {i}") for i in range(5000)] + [(None, None)] * 2000
+    got = shard(spark.createDataFrame(same, "doc_id long, text string")).collect()
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert len(got) == 12_000 and max(load.values()) <= 1.01 * min(load.values())
+
+
 def test_rebalancing_moves_into_the_new_shard_only(spark, small):
     slotted = with_slots(spark.read.parquet(f"{small}/documents.parquet"))
     load = slot_bytes(slotted)
@@ -488,6 +554,33 @@ def test_every_candidate_of_a_word(spark):
     assert {(0, key), (1, hashlib.sha1(b"u").hexdigest()), (2, password), (3, password)} <= found
 
 
+def test_planted_secrets(spark, small):
+    """Recall and precision in real texts; the surroundings are not those the findings are made with."""
+    import random
+    import string
+
+    rnd = random.Random(21)
+    token = lambda n, a=string.ascii_letters + string.digits: "".join(rnd.choice(a) for _ in range(n))
+    hexa = "0123456789abcdef"
+    base = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    rows, secrets = [], {}
+    for i, t in enumerate(base):
+        words = t.split(" ")
+        kind = i % 6
+        value = [lambda: "AKIA" + token(16, string.ascii_uppercase + string.digits), lambda: "ghp_" + token(36), lambda: token(40, hexa), lambda: "-----BEGIN PRIVATE KEY-----\n" + token(64) + "\n" + token(64) + "\n-----END PRIVATE KEY-----", lambda: token(40, hexa), lambda: f"{token(8, hexa)}-{token(4, hexa)}-{token(4, hexa)}-{token(4, hexa)}-{token(12, hexa)}"][kind]()
+        put = [f"we rotated {value} yesterday", f"git clone https://{value}@host.org/x", f'GITLAB_ACCESS_TOKEN: "{value}"', f"here it is:\n{value}\nkeep it", f"merged in commit {value} last week", f"session id {value} closed"][kind]
+        words.insert(len(words) // 2, put)
+        rows.append((i, " ".join(words), "s"))
+        if kind < 4:
+            secrets[i] = value
+    found = defaultdict(set)
+    for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("is_secret").collect():
+        found[r["doc_id"]].add(r["core"])
+    caught = sum(any(c in v or v in c for c in found[i]) for i, v in secrets.items())
+    harmless = [i for i in range(len(rows)) if i % 6 > 3]
+    assert caught >= 0.95 * len(secrets) and sum(bool(found[i] & {rows[i][1]} or found[i]) for i in harmless) <= 0.1 * len(harmless)
+
+
 # --- 9 ---
 
 
