@@ -1,11 +1,14 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Every element of a page is a token named by its path of tags. Tokens of a host that occur
-equally often on each of its pages (equal occurrence vectors) form a class; a class whose
-tokens keep their order on every page is valid and part of the host's template; classes
-nest in the slots that the root class, once a page, leaves between its tokens. Slots that
-are navigation, advertising or constant text are template; the remaining slots hold the
-article.
+Tokens are a page's elements, named by their path of tags (boxes of one kind in one parent
+by their number too), and the words between two tags.
+Tokens of a host that occur equally often on each of its pages (equal occurrence vectors)
+form a class. A class is valid if its tokens keep their order on all its pages; valid classes
+that stand once a page nest, by the elements that hold them, into the host's template. Its
+slots are what those elements hold beside words that are the same on every page. From the
+root, the slot that holds most of the varying unlinked text is followed down to the article;
+names of elements only mark what lies inside or beside it, and decide alone where a host
+shows no template.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 import html as markup
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -25,14 +28,14 @@ from tessel.llm.common import BROADCAST_LIMIT, materialize, mix64, small_enough,
 
 #: Copies of a template in the shuffled join, over which a host's pages are spread.
 SALTS = 64
-#: Pages on which a text must be the same to count as template.
-CONSTANT_PAGES = 5
+#: Share of its surroundings' varying text from which a slot is followed.
+FOLLOW = 0.6
 #: Share of a slot's characters inside links from which it is navigation.
 LINKS = 0.6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)?|=)*+)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -50,34 +53,49 @@ _MAIN = frozenset(("article", "main"))
 _MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|articlebody|main|content|entry|post|story)(?:$|[-_ ])", re.I)
 
 
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre figcaption".split())
+
+
 def _label(name: str, attrs: str) -> str:
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if "=" in attrs else ""
-    return f"{name}.{re.sub(r'[/|]', '', names)}" if names else name
+    return f"{name}.{names}" if names else name
+
 
+def _child(parent: int, label: str) -> int:
+    """The path id of a child element: a hash of its parent's and its label."""
+    x = (parent ^ zlib.crc32(label.encode("utf-8", "replace"))) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0x7FFFFFFFFFFFFFFF
 
-def blocks(page: str | None):
-    """(path, text, linked characters, new block) of a page's text nodes in order, and its tokens.
 
-    Returns (nodes, tokens): tokens are the paths of opened elements in order. Unclosed
-    elements end where HTML ends them; comments, scripts and styles give neither.
+def parse(page: str | None):
+    """(elements, nodes) of a page.
+
+    elements: (path id, index of the parent or -1, label) in page order. nodes: (element's
+    index or -1, text, whether linked, whether a new block) of the text in order. Unclosed
+    elements end where HTML ends them; comments, scripts and styles give neither. Elements
+    may be nested to any depth, attributes quoted or not.
     """
-    nodes: list[tuple[str, str, bool, bool]] = []
-    tokens: list[str] = []
-    stack: list[tuple[str, str]] = []  # name, path
+    nodes: list[tuple[int, str, bool, bool]] = []
+    elements: list[tuple[int, int, str]] = []
+    stack: list[tuple[str, int]] = []  # name, index
+    opened: Counter = Counter()
+    nth: Counter = Counter()
     links, fresh, at = 0, True, 0
     page = page or ""
 
     def text(upto: int) -> None:
         nonlocal fresh
         if upto > at and (raw := page[at:upto]) and not raw.isspace():
-            nodes.append((stack[-1][1] if stack else "", raw, links > 0, fresh))
+            nodes.append((stack[-1][1] if stack else -1, raw, links > 0, fresh))
             fresh = False
         elif upto > at and nodes and not fresh:
             nodes.append((nodes[-1][0], " ", links > 0, False))
 
     def pop(to: int) -> None:
         nonlocal links
-        links -= sum(n == "a" for n, _ in stack[to:])
+        for name, _ in stack[to:]:
+            opened[name] -= 1
+            links -= name == "a"
         del stack[to:]
 
     for m in _TOKEN.finditer(page):
@@ -91,25 +109,26 @@ def blocks(page: str | None):
         if name not in _INLINE:
             fresh = True
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if opened[name]:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name not in _INLINE and name not in _VOID:
             ends = _CLOSES.get(name, frozenset()) | {"p"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    pop(i)
-                elif stack[i][0] in _SCOPES:
-                    break
-        path = f"{stack[-1][1] if stack else ''}/{_label(name, m[4])}"
-        tokens.append(path)
+            if any(opened[e] for e in ends):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in ends:
+                        pop(i)
+                    elif stack[i][0] in _SCOPES:
+                        break
+        label, parent = _label(name, m[4]), stack[-1][1] if stack else -1
+        nth[parent, label] += name not in _INLINE and name not in _BLOCKS
+        elements.append((_child(elements[parent][0] if parent >= 0 else 0, f"{label}/{nth[parent, label]}"), parent, label))
         if name not in _VOID and not m[4].endswith("/"):
-            stack.append((name, path))
+            stack.append((name, len(elements) - 1))
+            opened[name] += 1
             links += name == "a"
     text(len(page))
-    return nodes, tokens
+    return elements, nodes
 
 
 def host_of(url: Column) -> Column:
@@ -117,104 +136,155 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-_TOKENS = "host string, path string, vector long, before long, chars long, linked long, said long"
+_TOKENS = "host string, path long, parent long, label string, times long, vector long, before long, chars long, linked long, said long"
 
 
 def _count_tokens(batches):
-    """One row per page and token: a hash of (page, occurrences), of the token before, and of the token's text."""
+    """One row per page and token: how often, a hash of (page, occurrences), the element before, characters, linked ones, and a hash of its text.
+
+    An element's text is what stands directly in it; words between tags have a null label.
+    """
     for batch in batches:
         rows: list[tuple] = []
         for host, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            nodes, tokens = blocks(page)
-            count: dict[str, int] = defaultdict(int)
-            before: dict[str, str] = {}
-            last = ""
-            for t in tokens:
-                count[t] += 1
-                if count[t] == 1:
-                    before[t], last = last, t
-            chars: dict[str, int] = defaultdict(int)
-            linked: dict[str, int] = defaultdict(int)
-            said: dict[str, int] = defaultdict(int)
-            for path, text, link, _ in nodes:
-                n = len(text)
+            elements, nodes = parse(page)
+            times = Counter(e[0] for e in elements)
+            info: dict[int, tuple[int, str]] = {}
+            before: dict[int, int] = {}
+            last = 0
+            for path, parent, label in elements:
+                if path not in info:
+                    info[path] = (elements[parent][0] if parent >= 0 else 0, label)
+                    if times[path] == 1:
+                        before[path], last = last, path
+            chars: Counter = Counter()
+            linked: Counter = Counter()
+            said: dict[int, int] = defaultdict(int)
+            words: Counter = Counter()
+            for element, text, link, _ in nodes:
+                path, n = elements[element][0] if element >= 0 else 0, len(text)
                 chars[path] += n
                 linked[path] += n * link
                 said[path] = zlib.crc32(text.encode("utf-8", "replace"), said[path])
-            once = {t for t, n in count.items() if n == 1}
-            for t, n in count.items():
-                prior = before[t]
-                while prior and prior not in once:
-                    prior = before[prior]
-                rows.append((host, t, (key << 8) ^ n, zlib.crc32(prior.encode()), chars[t], linked[t], said[t]))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        vector = mix64(np.array([x & 0xFFFFFFFFFFFFFFFF for x in cols[2]], np.uint64)).astype(np.int64)
-        arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(vector), *[pa.array(cols[i], pa.int64()) for i in (3, 4, 5, 6)]]
-        yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "vector", "before", "chars", "linked", "said"])
-
-
-def _named(path: str) -> tuple[str, str]:
-    name, _, names = path.rpartition("/")[2].partition(".")
-    return name, names
-
-
-def _by_name(path: str) -> str | None:
-    """'drop' or 'main' where an element's own name says so."""
-    name, names = _named(path)
-    inside = any(f"/{m}" in path.rpartition("/")[0] for m in _MAIN)
+                if not text.isspace():
+                    words[path, zlib.crc32(text.encode("utf-8", "replace")), n] += 1
+            rows += [(host, p, info[p][0], info[p][1], n, key ^ n * 0x9E3779B97F4A7C15, before.get(p, 0), chars[p], linked[p], said[p]) for p, n in times.items()]
+            rows += [(host, _child(p, f"={crc}"), p, None, n, key ^ n * 0x9E3779B97F4A7C15, 0, size * n, 0, 0) for (p, crc, size), n in words.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 10
+        # sums of the vector's hashes tell vectors apart, also where pages are repeated
+        vector = (mix64(np.array([x & 0xFFFFFFFFFFFFFFFF for x in cols[5]], np.uint64)) >> np.uint64(24)).astype(np.int64)
+        ints = lambda i: pa.array(cols[i], pa.int64())
+        arrays = [pa.array(cols[0], pa.string()), ints(1), ints(2), pa.array(cols[3], pa.string()), ints(4), pa.array(vector), *[ints(i) for i in (6, 7, 8, 9)]]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split(" ")[0] for x in _TOKENS.split(", ")])
+
+
+def _by_name(label: str, in_main: bool) -> str | None:
+    """'drop' or 'main' where an element's own name says so; in_main: it stands inside an article or main."""
+    name, _, names = label.partition(".")
     found = _DROP_NAMES.search(names) if names else None
     # an article's own header holds its title
-    own = found and "header" in found[0].lower() and (inside or _MAIN_NAMES.search(names))
-    if name in _DROP_TAGS or (found and not own) or (name == "header" and not inside):
+    own = found and "header" in found[0].lower() and (in_main or _MAIN_NAMES.search(names))
+    if name in _DROP_TAGS or (found and not own) or (name == "header" and not in_main):
         return "drop"
     return "main" if name in _MAIN or (names and _MAIN_NAMES.search(names)) else None
 
 
-def deduce(tokens: pd.DataFrame) -> dict[str, str]:
-    """The template of one host: token path -> 'drop', 'main' or 'keep' for its slot.
+def deduce(tokens: pd.DataFrame) -> dict[int, str]:
+    """The template of one host: path id -> 'main' for slots that hold its article, 'drop' for those of mere template.
+
+    tokens: one row a path on two pages or more: path, parent, label (null: words), times,
+    pages, vector, before_lo, before_hi, chars, linked, said_lo, said_hi.
+    """
+    rows = {r.path: r for r in tokens.itertuples()}
+    classes: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+    for r in rows.values():
+        classes[r.pages, r.times, r.vector].append(r.path)
+    most = max((r.pages for r in rows.values()), default=0)
+    # words on all the pages on which their element stands are the template's own
+    fixed: Counter = Counter()
+    slots: set[int] = set()
+    for (pages, times, _), members in classes.items():
+        for path in members:
+            r = rows[path]
+            if not isinstance(r.label, str):
+                above = rows.get(r.parent)
+                if above is not None and pages == above.pages and times >= pages:
+                    fixed[r.parent] += r.chars
+            elif times == pages and (r.before_lo == r.before_hi or sum(isinstance(rows[p].label, str) for p in members) > 1):
+                slots.add(path)
+    children: dict[int, list[int]] = defaultdict(list)
+    mass: Counter = Counter()
+    linked: Counter = Counter()
+    size: Counter = Counter()
+    dropped: set[int] = set()
+    order: list[int] = []
+    for r in rows.values():
+        if isinstance(r.label, str):
+            children[r.parent].append(r.path)
+    todo = [p for p, r in rows.items() if isinstance(r.label, str) and (r.parent not in rows)]
+    in_main = dict.fromkeys(todo, False)
+    while todo:
+        path = todo.pop()
+        order.append(path)
+        r = rows[path]
+        if _by_name(r.label, in_main[path]) == "drop":
+            dropped.add(path)
+            continue
+        for child in children[path]:
+            in_main[child] = in_main[path] or r.label.partition(".")[0] in _MAIN
+            todo.append(child)
+    for path in reversed(order):  # below each element: varying unlinked characters, all and linked ones
+        r = rows[path]
+        if path not in dropped:
+            mass[path] += 0 if r.said_lo == r.said_hi else max(0, r.chars - r.linked - fixed[path])
+            size[path] += r.chars
+            linked[path] += r.linked
+            for total in (mass, size, linked):
+                total[r.parent] += total[path]
+    roles: dict[int, str] = {}
+
+    def box(path: int) -> bool:
+        name = rows[path].label.partition(".")[0]
+        return name not in _INLINE and name not in _BLOCKS
+
+    # follow the slot with most of the varying text; other layouts of the host have slots of their own
+    todo = [p for p in order if rows[p].parent not in rows and p not in dropped and p in slots]
+    while todo:
+        path = todo.pop()
+        here = mass[path] / rows[path].pages
+        down = [c for c in children[path] if c in slots and c not in dropped and box(c) and here and mass[c] / rows[c].pages >= FOLLOW * here]
+        todo += down
+        if mass[path] and not any(rows[c].pages == rows[path].pages for c in down):
+            roles[path] = "main"
+    # what an article's element holds beside it: constant or linked boxes
+    for path in order:
+        if path in dropped or path in roles or path not in slots or not box(path) or not size[path]:
+            continue
+        if (mass[path] == 0 and roles) or linked[path] > LINKS * size[path]:
+            roles[path] = "drop"
+    return roles if most > 1 else {}
+
+
+def main_text(page: str | None, roles: dict[int, str]) -> str:
+    """The page's article under a template.
 
-    tokens: path, pages, vector, before_lo, before_hi, chars, linked, said_lo, said_hi,
-    written (pages with text) of the host, one row a path.
+    Outside the template's article everything goes; inside it, elements that their names or
+    the template drop. Pages without the template's slots are read by names alone.
     """
-    pages = int(tokens["pages"].max()) if len(tokens) else 0
-    roles: dict[str, str] = {}
-    valid: dict[str, int] = {}
-    for number, (_, group) in enumerate(tokens.groupby(["pages", "vector"], sort=True)):
-        ordered = group["before_lo"] == group["before_hi"]
-        for row, fixed in zip(group.itertuples(), ordered, strict=True):
-            if row.pages > 1 and (fixed or len(group) > 1):
-                valid[row.path] = number
-    varies = any(r.chars > 0 and r.said_lo != r.said_hi and _by_name(r.path) != "drop" for r in tokens.itertuples())
-    inside: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for r in tokens.itertuples():  # characters below each token
-        path = r.path
-        while path:
-            inside[path][0] += r.chars
-            inside[path][1] += r.linked
-            path = path.rpartition("/")[0]
-    for r in tokens.itertuples():
-        role = _by_name(r.path)
-        if role is None and r.path in valid:
-            chars, linked = inside[r.path]
-            constant = r.said_lo == r.said_hi and r.written >= max(CONSTANT_PAGES, 0.9 * pages)
-            if (constant and varies) or (chars and linked > LINKS * chars and _named(r.path)[0] not in _INLINE):
-                role = "drop"
-        roles[r.path] = role or "keep"
-    return roles
-
-
-def main_text(page: str | None, roles: dict[str, str], memo: dict[str, str]) -> str:
-    """The page's article under a template; memo keeps what paths came to."""
-
-    def role(path: str) -> str:
-        if path not in memo:
-            above = role(path.rpartition("/")[0]) if "/" in path else "keep"
-            own = roles.get(path) or _by_name(path) or "keep"
-            memo[path] = "drop" if "drop" in (above, own) else "main" if "main" in (above, own) else "keep"
-        return memo[path]
-
-    nodes, _ = blocks(page)
-    kept = [(role(p), t, new) for p, t, _, new in nodes]
+    elements, nodes = parse(page)
+    known = any(roles.get(path) == "main" for path, _, _ in elements)
+    own: list[str] = []
+    in_main: list[bool] = []
+    for path, parent, label in elements:
+        above, inside = (own[parent], in_main[parent]) if parent >= 0 else ("keep", False)
+        named = _by_name(label, inside)
+        if above == "drop" or named == "drop" or roles.get(path) == "drop":
+            role = "drop"
+        else:
+            role = "main" if above == "main" or (roles.get(path) if known else named) == "main" else "keep"
+        own.append(role)
+        in_main.append(inside or label.partition(".")[0] in _MAIN)
+    kept = [(own[e] if e >= 0 else "keep", t, new) for e, t, _, new in nodes]
     wanted = "main" if any(r == "main" for r, _, _ in kept) else "keep"
     parts: list[list[str]] = []
     open_block = False
@@ -235,34 +305,32 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A page's host decides its template; hosts of one page are read by the names of their
     elements. Null and empty pages give an empty text, pages without url share the empty
-    host. Repeated rows give equal texts. Templates of all hosts are broadcast where they
+    host. Repeated rows give equal texts and change no template but by their number; elements
+    may be unclosed or nested to any depth, attributes malformed. A host's pages are counted
+    where they are read, so one task gets no more of a host than its shared tokens. Templates of all hosts are broadcast where they
     measure less than BROADCAST_LIMIT; beyond it they join the pages in SALTS copies a host.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     counted = rows.select("host", F.xxhash64("page_id", "url").alias("key"), "html").mapInArrow(_count_tokens, _TOKENS)
-    written = F.col("chars") > 0
     tokens = counted.groupBy("host", "path").agg(
-        F.count(F.lit(1)).alias("pages"), F.bit_xor("vector").alias("vector"), F.min("before").alias("before_lo"), F.max("before").alias("before_hi"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-        F.min(F.when(written, F.col("said"))).alias("said_lo"), F.max(F.when(written, F.col("said"))).alias("said_hi"), F.count_if(written).alias("written"),
+        F.first("parent").alias("parent"), F.first("label").alias("label"), F.sum("times").alias("times"), F.count(F.lit(1)).alias("pages"), F.sum("vector").alias("vector"),
+        F.min("before").alias("before_lo"), F.max("before").alias("before_hi"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("said").alias("said_lo"), F.max("said").alias("said_hi"),
     )
-    # a path on a single page has no template to be part of; its name decides
-    shared = tokens.where("pages > 1").na.fill(0, ["said_lo", "said_hi"])
+    # a token of a single page has no template to be part of
+    shared = tokens.where("pages > 1")
 
     def per_host(key, frame: pd.DataFrame) -> pd.DataFrame:
         roles = deduce(frame)
-        paths = [p for p, r in roles.items() if r != (_by_name(p) or "keep")]
-        return pd.DataFrame({"host": [key[0]], "paths": [paths], "roles": [[roles[p] for p in paths]]})
+        return pd.DataFrame({"host": [key[0]], "paths": [list(roles)], "roles": [list(roles.values())]})
 
-    template = materialize(shared.groupBy("host").applyInPandas(per_host, "host string, paths array<string>, roles array<string>"), "templates")
-    size = F.octet_length("host") + F.coalesce(F.aggregate("paths", F.lit(0), lambda a, p: a + F.octet_length(p) + 20), F.lit(0))
+    template = materialize(shared.groupBy("host").applyInPandas(per_host, "host string, paths array<long>, roles array<string>"), "templates")
+    size = F.octet_length("host") + F.coalesce(F.aggregate("paths", F.lit(0), lambda a, _: a + 100), F.lit(0))
     out = "page_id long, url string, text string, n_chars long"
 
-    def emit(batch, templates, memo):
+    def emit(batch, templates):
         texts = []
-        for host, page, roles in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), templates, strict=True):
-            if len(memo) > 2000:
-                memo.clear()
-            texts.append(main_text(page, roles, memo.setdefault(host, {})))
+        for page, roles in zip(batch.column(3).to_pylist(), templates, strict=True):
+            texts.append(main_text(page, roles))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     fields = ["page_id", "url", "host", "html"]
@@ -270,17 +338,15 @@ def extract(pages: DataFrame) -> DataFrame:
         held = pages.sparkSession.sparkContext.broadcast({r["host"]: dict(zip(r["paths"], r["roles"], strict=True)) for r in template.collect()})
 
         def run(batches):
-            memo: dict = {}
             for batch in batches:
-                yield emit(batch, [held.value.get(h, {}) for h in batch.column(2).to_pylist()], memo)
+                yield emit(batch, [held.value.get(h, {}) for h in batch.column(2).to_pylist()])
 
         return materialize(rows.select(*fields).mapInArrow(run, out), "extracted")
 
     def run_joined(batches):
-        memo: dict = {}
         for batch in batches:
             pairs = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-            yield emit(batch, [dict(zip(p or [], r or [], strict=True)) for p, r in pairs], memo)
+            yield emit(batch, [dict(zip(p or [], r or [], strict=True)) for p, r in pairs])
 
     salted = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int"))

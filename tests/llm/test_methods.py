@@ -165,6 +165,36 @@ def test_repeated_template_goes(spark):
     assert {r["page_id"]: r["text"] for r in extract(pages).collect()} == {i: f"Title {i}\n\nStory {i} of many." for i in range(12)}
 
 
+_PLAIN = "<html><body><div><div><a href=/>Home</a> <a href=/x>Other</a></div><div>The same line on every page of this host</div></div><div><div><h2>Title {0}</h2><p>Story {0} of many words that differ {1}.</p><p>More {1} of it {0}.</p></div><div><p>Filed under things, note {0}</p></div></div><div>All rights are kept by us</div></body></html>"
+
+
+def _plain_pages(n):
+    """Pages without article, main or telling names, and their articles."""
+    pages = [(i, f"http://two.org/{i}", _PLAIN.format(i, " ".join(f"w{i}x{j}" for j in range(20 + i)))) for i in range(n)]
+    texts = {i: re.sub(r" +", " ", f"Title {i}\n\nStory {i} of many words that differ {' '.join(f'w{i}x{j}' for j in range(20 + i))}.\n\nMore {' '.join(f'w{i}x{j}' for j in range(20 + i))} of it {i}.") for i in range(n)}
+    return pages, texts
+
+
+def test_articles_without_telling_names(spark):
+    from tessel.llm.templates import main_text
+
+    schema = "page_id long, url string, html string"
+    for n in (2, 9):
+        pages, texts = _plain_pages(n)
+        assert {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages, schema)).collect()} == texts
+        # without the template no page comes out right; repeated rows change nothing
+        assert all(main_text(p[2], {}) != texts[p[0]] for p in pages)
+        assert {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages * 2, schema)).collect()} == texts
+
+
+def test_malformed_and_deep_pages(spark):
+    deep = "<div>" * 10_000 + "<p>at the bottom"
+    rows = [(1, "http://a.org/1", deep), (2, "http://b.org/1", "<p title=it's>one<p class='x>two</p>"), (3, "http://c.org/1", "</p>" * 5000 + "<b>x</b>" + "<i>" * 5000 + "y"), (4, "http://d.org/1", "a < b and c > d <p data-x=\"a>b\" y>z</p>"), (5, "http://e.org/1", "<p>" + "word " * 200_000)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "at the bottom" and got[2].startswith("one") and "title" not in got[2] and got[3] == "xy"
+    assert got[4] == "a < b and c > d\n\nz" and len(got[5]) == 200_000 * 5 - 1
+
+
 def test_joined_templates_agree(spark, small, monkeypatch):
     from tessel.llm import templates
 
