@@ -149,9 +149,10 @@ def unified(sources: dict[str, DataFrame], query, k: int, since=None, before=Non
 
 
 def timeline(sources: dict[str, DataFrame], query, k: int, most_distance: float = 0.8) -> DataFrame:
-    """Rows near a concept in time order: the k nearest of each source within a distance, oldest first."""
-    hits = unified(sources, query, k * max(len(sources), 1))
-    return hits.where(1 - F.col("similarity") < most_distance).orderBy(F.asc_nulls_first("ts"), "type", "id").limit(k).withColumnRenamed("similarity", "relevance")
+    """Rows near a concept in time order: of the k nearest of each source, those within a distance; the k oldest."""
+    parts = [knn(df, query, k).select(F.lit(name).alias("type"), "id", "ts", "content", F.col("similarity").alias("relevance")) for name, df in sources.items()]
+    near = reduce(lambda a, b: a.unionByName(b), parts).where(1 - F.col("relevance") < most_distance)
+    return near.orderBy(F.asc_nulls_first("ts"), "type", "id").limit(k)
 
 
 def consistency(sources: dict[str, DataFrame], query, k: int = 10, most_distance: float = 0.7) -> DataFrame:

@@ -107,9 +107,8 @@ def memory_latest(spark, d):
     return S.unified(_memory(spark, d), None, 8, sort_by="date_desc").select("type", "id", "ts")
 
 
-@query(f"""WITH {_SOURCES}, s AS (SELECT type, id, ts, {_COS} AS r FROM src, {_Q0}), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY r DESC, id) AS rn FROM s),
- u AS (SELECT * FROM k WHERE rn <= 20 ORDER BY r DESC, type, id LIMIT 20)
- SELECT type, id, ts, round(r, 6) AS relevance FROM u WHERE 1 - r < 0.8 ORDER BY ts, type, id LIMIT 10""")
+@query(f"""WITH {_SOURCES}, s AS (SELECT type, id, ts, {_COS} AS r FROM src, {_Q0}), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY r DESC, id) AS rn FROM s)
+ SELECT type, id, ts, round(r, 6) AS relevance FROM k WHERE rn <= 10 AND 1 - r < 0.8 ORDER BY ts, type, id LIMIT 10""")
 def concept_timeline(spark, d):
     return S.timeline(_memory(spark, d), _first(spark, d), 10).select("type", "id", "ts", F.round("relevance", 6).alias("relevance"))
 

@@ -252,3 +252,17 @@ def test_plans_push_down(spark, small):
     assert "EqualTo(doc_id,17)" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
     ranked = S.batch_knn(*(lambda v: (v, v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")).limit(5)))(spark.createDataFrame([(1, [1.0])], "id long, vector array<double>")), 1)
     assert "WindowGroupLimit" in ranked._jdf.queryExecution().toString()
+
+
+def test_timeline_takes_each_sources_nearest(spark):
+    """A source with all the nearest rows leaves the other's place, and age alone orders."""
+    import datetime as dt
+
+    from tessel.operators.search import timeline
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    schema = "id long, ts timestamp, content string, vector array<double>"
+    near = spark.createDataFrame([(i, day(10 + i), "a", [1.0, 0.001 * i]) for i in range(6)], schema)
+    old = spark.createDataFrame([(100, day(1), "b", [1.0, 1.0]), (101, day(2), "b", [0.0, 1.0])], schema)
+    got = timeline({"near": near, "old": old}, [1.0, 0.0], 2).collect()
+    assert [(r["type"], r["id"]) for r in got] == [("old", 100), ("near", 0)]
