@@ -175,24 +175,19 @@ def mcd(rows: DataFrame, keys: list[str], tag: str, prior: DataFrame | None = No
     off = {d: F.col(d) / GRID - F.col(f"c_{d}") / 16 for d in DIMS}
     spread = {d: (F.col(f"b_{d}") - F.col(f"a_{d}")) / 16 / 1.349 + FLOORS[d] for d in DIMS}
     square = lambda parts: reduce(lambda x, y: x + y, [p * p for p in parts])
-    centred = rows.join(mids, keys)
-    starts = (
-        centred.select(*rows.columns, square([off[d] for d in DIMS]).alias("d2")),
-        centred.select(*rows.columns, square([off[d] / spread[d] for d in DIMS]).alias("d2")),
-        _distance(rows, materialize(whole, f"{tag}-whole", light=True), keys, "d2"),
-    )
-    tried = []
-    for number, near in enumerate(starts):
-        for _ in range(STEPS):
-            sums, model = _concentrated(near, keys, prior, f"{tag}-{number}")
-            near = _distance(rows, model, keys, "d2")
-        tried.append((sums, model))
-    least = lambda tables: reduce(lambda x, y: x.unionByName(y), [t.withColumn("start", F.lit(i)) for i, t in enumerate(tables)])
-    order = least([m for _, m in tried])
-    chosen = order.groupBy(*keys).agg(F.min(F.struct("logdet", "start")).alias("best")).select(*keys, F.col("best.start").alias("start"))
+    far = _distance(rows.join(mids, keys), materialize(whole, f"{tag}-whole", light=True), keys, "far")
+    starts = [square([off[d] for d in DIMS]), square([off[d] / spread[d] for d in DIMS]), F.col("far")]
+    # the starts stand side by side as groups of their own, so a step is one pass for all of them
+    by = [*keys, "start"]
+    near = far.select(*rows.columns, F.posexplode(F.array(*starts)).alias("start", "d2"))
+    tries = rows.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(len(starts))])))
+    for _ in range(STEPS):
+        sums, model = _concentrated(near, by, prior, f"{tag}-starts")
+        near = _distance(tries, model, by, "d2")
+    chosen = model.groupBy(*keys).agg(F.min(F.struct("logdet", "start")).alias("best")).select(*keys, F.col("best.start").alias("start"))
     chosen = materialize(chosen, f"{tag}-chosen", light=True)
-    model = materialize(order.join(chosen, [*keys, "start"]).drop("start"), f"{tag}-best", light=True)
-    sums = least([x for x, _ in tried]).join(chosen, [*keys, "start"]).drop("start")
+    model = materialize(model.join(chosen, by).drop("start"), f"{tag}-best", light=True)
+    sums = sums.join(chosen, by).drop("start")
     for _ in range(MOST_STEPS):
         more, after = _concentrated(_distance(rows, model, keys, "d2"), keys, prior, f"{tag}-more")
         fell = after.join(model.select(*keys, F.col("logdet").alias("was")), keys).select(*keys, (F.col("logdet") < F.col("was") - 1e-6).alias("fell"))
