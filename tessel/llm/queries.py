@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tessel.llm import conversations, middle
+from tessel.llm.conversations import op11_cost_layers
 from tessel.llm.decontamination import op7_simhash_windows
+from tessel.llm.middle import op13_distinct_text_index
 from tessel.llm.neardup import op6_minhash_odd_sketch
 from tessel.llm.packing import op10_best_two_fit
 from tessel.llm.pii import op3_weak_supervision
@@ -11,6 +14,7 @@ from tessel.llm.quality_rules import op1_mcd_outliers
 from tessel.llm.secrets import op8_random_forest
 from tessel.llm.sharding import op5_virtual_slots
 from tessel.llm.templates import op2_template_classes
+from tessel.llm.token_codes import op12_addressable_codes
 from tessel.llm.toxicity import op9_boosted_trees
 
 QUERIES = {
@@ -24,6 +28,9 @@ QUERIES = {
     "op8_random_forest": op8_random_forest,
     "op9_boosted_trees": op9_boosted_trees,
     "op10_best_two_fit": op10_best_two_fit,
+    "op11_cost_layers": op11_cost_layers,
+    "op12_addressable_codes": op12_addressable_codes,
+    "op13_distinct_text_index": op13_distinct_text_index,
 }
 
 #: Links of full shingle sets and what they reach, over the whole table.
@@ -36,4 +43,4 @@ NEAR_DUPLICATES_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp
  k AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id)
  SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN k USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op6_minhash_odd_sketch": NEAR_DUPLICATES_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_minhash_odd_sketch": NEAR_DUPLICATES_SQL, "op11_cost_layers": conversations.SQL, "op13_distinct_text_index": middle.SQL}
