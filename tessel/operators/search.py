@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from tessel.functions.vector import cosine, dot, l2, norm, normalised
 
 #: Rows a query side may hold to be broadcast.
-MOST_QUERIES = 100_000
 
 
 def equal_filters(**wanted) -> Column:
@@ -52,9 +51,20 @@ def at_least(hits: DataFrame, similarity: float) -> DataFrame:
     return hits.where(F.col("similarity") >= similarity)
 
 
-def small_side(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
-    """df broadcast if it counts at most `most` rows, else left to a shuffled plan."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+#: Bytes of a side, summed over its rows, up to which it is broadcast.
+MOST_BYTES = 16 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and arrays by their lengths, other values 8 each."""
+    parts = [F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)) + 16 if t == "string" else F.greatest(F.size(F.col(f"`{n}`")), F.lit(0)) * 8 + 16 if t.startswith("array") else F.lit(8) for n, t in df.dtypes]
+    return sum(parts, F.lit(8))
+
+
+def small_side(df: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """df broadcast if its rows sum up to at most `most` bytes, else left to a shuffled plan."""
+    size = df.agg(F.sum(_row_bytes(df).cast("long")).alias("b")).head()["b"]
+    return F.broadcast(df) if (size or 0) <= most else df
 
 
 def batch_knn(df: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
@@ -172,13 +182,14 @@ def pairwise_l2(df: DataFrame, most: int = 5000) -> DataFrame:
     return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), l2(F.col("a.vector"), F.col("b.vector")).alias("distance"))
 
 
-def pairwise_l2_blocked(df: DataFrame, blocks: int = 16) -> DataFrame:
-    """Distances of all pairs of a table (id, vector) of any size, by an equi-join of hashed blocks of rows."""
-    rows = df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+def pairwise_l2_blocked(df: DataFrame, blocks: int = 16, within: str | None = None) -> DataFrame:
+    """Distances of all pairs of a table (id, vector) of any size, or of those equal in the column `within`, by an equi-join of hashed blocks of rows."""
+    group = F.lit(0) if within is None else F.col(within)
+    rows = df.select("id", "vector", group.alias("group"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = rows.withColumn("other", other).alias("a")
     b = rows.withColumn("other", other).alias("b")
-    met = (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.id") < F.col("b.id"))
+    met = (F.col("a.group") == F.col("b.group")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.id") < F.col("b.id"))
     return a.join(b, met).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), l2(F.col("a.vector"), F.col("b.vector")).alias("distance"))
 
 

@@ -1,19 +1,27 @@
 """State-tensor analytics: dissonance, drift, profiles and sequential evolution.
 
 Tensors are long rows (state_id, dim, v). Everything but the normalising recursions is
-joins and windows; the recursions are one fold an entity over its ordered steps.
+joins and windows; the recursions are folds over an entity's sorted steps, which stream by.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessel.functions import vector as V
+from tessel.operators.fold import ordered_fold
 from tessel.operators.search import small_side
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; zero rows stay."""
+    size = np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    return np.divide(x, size, out=x.copy(), where=size > 0)
+
+
 def contrast(positive: DataFrame, negative: DataFrame) -> DataFrame:
     """The direction from the mean of negative to the mean of positive rows (vector), of unit length."""
     p, n = (V.mean_by(df.withColumn("g", F.lit(1)), ["g"], "vector", name=name) for df, name in ((positive, "p"), (negative, "n")))
@@ -90,11 +98,19 @@ def bar(value: Column, width: int = 10) -> Column:
     return F.concat(F.when(value < 0, "-").otherwise("+"), F.rpad(F.repeat(F.lit("#"), n), width, "."))
 
 
-def evolve(steps: DataFrame, start: Column, entity: str = "entity") -> DataFrame:
-    """Fold s = normalise(alpha s + beta e) over each entity's steps (ord, e, alpha, beta); returns its last state."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "alpha", "beta", "e")))
-    fold = F.aggregate(ordered, start, lambda s, x: V.normalised(F.zip_with(s, x["e"], lambda a, b: x["alpha"] * a + x["beta"] * b)))
-    return steps.groupBy(entity).agg(fold.alias("state"))
+def evolve(steps: DataFrame, entity: str = "entity") -> DataFrame:
+    """Fold s = normalise(alpha s + beta e) over each entity's steps (ord, e, alpha, beta), whose first e is the first state; returns the last state and the number of steps."""
+
+    def step(state: tuple | None, row: dict) -> tuple[tuple, list]:
+        e = np.asarray(row["e"])
+        if state is None:
+            return (e, 1), []
+        s = row["alpha"] * state[0] + row["beta"] * e
+        return (_unit(s), state[1] + 1), []
+
+    kind = steps.schema[entity].dataType.simpleString()
+    rows = steps.select(entity, "ord", "alpha", "beta", "e")
+    return ordered_fold(rows, [entity], ["ord"], f"{entity} {kind}, state array<double>, steps bigint", step, lambda key, s: [(*key, s[0].tolist(), s[1])])
 
 
 def adaptive_rates(thoughts: Column, trigger: Column, length: Column, alpha: float = 0.85, beta: float = 0.15) -> tuple[Column, Column]:
@@ -105,14 +121,17 @@ def adaptive_rates(thoughts: Column, trigger: Column, length: Column, alpha: flo
     return a / (a + b), b / (a + b)
 
 
-def evolve_dims(steps: DataFrame, tensor0: Column, rates: Column, entity: str = "entity") -> DataFrame:
-    """Fold all dimensions by x += rate * |delta| * (e - x), each normalised; steps: ord, e, size. tensor0: array of vectors."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "size", "e")))
+def evolve_dims(steps: DataFrame, tensor0: list[list[float]], rates: list[float], entity: str = "entity") -> DataFrame:
+    """Fold all dimensions by x += rate * |delta| * (e - x), each normalised, from tensor0; steps: ord, e, size. Returns the last tensor of each entity."""
+    start, rate = np.array(tensor0), np.array(rates)[:, None]
 
-    def step(state: Column, x: Column) -> Column:
-        return F.zip_with(state, rates, lambda v, r: V.normalised(F.zip_with(v, x["e"], lambda a, b: a + r * x["size"] * (b - a))))
+    def step(state: np.ndarray | None, row: dict) -> tuple[np.ndarray, list]:
+        x = start if state is None else state
+        return _unit(x + rate * row["size"] * (np.asarray(row["e"]) - x)), []
 
-    return steps.groupBy(entity).agg(F.aggregate(ordered, tensor0, step).alias("state"))
+    kind = steps.schema[entity].dataType.simpleString()
+    rows = steps.select(entity, "ord", "size", "e")
+    return ordered_fold(rows, [entity], ["ord"], f"{entity} {kind}, state array<array<double>>", step, lambda key, s: [(*key, s.tolist())])
 
 
 def combined_delta(deltas: list[Column], weights: list[float], most: float = 0.001) -> Column:

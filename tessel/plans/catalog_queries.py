@@ -57,9 +57,9 @@ def work_chunk_left_counts(spark, d):
     return read(spark, d, "part").join(n, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "p_brand", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
-@query("SELECT conv_id, count(*) AS n_messages, string_agg(role || ': ' || left(text, 20), ' / ' ORDER BY turn) AS digest FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n_messages, string_agg(role || ': ' || text, ' / ' ORDER BY turn) AS digest FROM conversations GROUP BY conv_id")
 def conversation_messages(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 20)).alias("t"))))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))))
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.array_join(F.transform(ordered, lambda x: x["t"]), " / ").alias("digest"))
 
 
@@ -136,20 +136,20 @@ def get_or_create(spark, d):
     return C.insert_absent(p.where("p_partkey <= 500"), incoming, "p_partkey")
 
 
-@query(f"WITH c AS {CHUNKS_SQL} SELECT path, id FROM c JOIN (SELECT DISTINCT 'Part ' || label AS path FROM c WHERE label < 5 UNION SELECT DISTINCT section_path FROM c WHERE label = 2) s ON section_path = path OR starts_with(section_path, path || ' > ')")
+@query(f"WITH c AS {CHUNKS_SQL} SELECT path, id FROM c JOIN (SELECT DISTINCT 'Part ' || label AS path FROM c UNION SELECT DISTINCT section_path FROM c) s ON section_path = path OR starts_with(section_path, path || ' > ')")
 def section_prefix_join(spark, d):
     c = chunks(spark, d)
-    sections = c.where("label < 5").select(F.concat(F.lit("Part "), F.col("label")).alias("path")).union(c.where("label = 2").select("section_path")).distinct()
+    sections = c.select(F.concat(F.lit("Part "), F.col("label")).alias("path")).union(c.select("section_path")).distinct()
     return C.prefix_join(sections, c.select("id", "section_path")).select("path", "id")
 
 
 @query("""WITH t AS (SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, turn AS page, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations WHERE role = 'user')
- SELECT doc, idx, 'e' || idx AS title, string_agg(left(text, 15), chr(10) ORDER BY c.turn) AS content FROM t JOIN conversations c ON c.conv_id = t.doc AND c.turn >= t.page AND c.turn < coalesce(upto, 1 << 30) GROUP BY doc, idx""")
+ SELECT doc, idx, 'e' || idx AS title, string_agg(text, chr(10) ORDER BY c.turn) AS content FROM t JOIN conversations c ON c.conv_id = t.doc AND c.turn >= t.page AND c.turn < coalesce(upto, 1 << 30) GROUP BY doc, idx""")
 def toc_page_ranges(spark, d):
     c = read(spark, d, "conversations")
     idx = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     toc = c.where("role = 'user'").select(F.col("conv_id").alias("doc"), idx.alias("idx"), F.col("turn").alias("page")).withColumn("title", F.concat(F.lit("e"), "idx"))
-    return C.page_ranges(toc, c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.substring("text", 1, 15).alias("text")))
+    return C.page_ranges(toc, c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text"))
 
 
 @query("""WITH x AS (SELECT DISTINCT round(s_acctbal / 100, 1) AS x FROM supplier), g AS (SELECT x, coalesce((x - lag(x) OVER (ORDER BY x) >= 3.0)::INT, 0) AS new FROM x),
@@ -246,9 +246,9 @@ def ring_buffer(spark, d):
     return C.latest(read(spark, d, "events"), "event_id", 100, "event_id").select("event_id", "value", F.lit(True).alias("in_ring"))
 
 
-@query("""SELECT doc_id, source, coalesce(max(doc_id) OVER (), -1) + 1 AS next_id FROM documents WHERE doc_id % 50 = 0""")
+@query("""SELECT doc_id, source, coalesce(max(doc_id) OVER (), -1) + 1 AS next_id FROM documents""")
 def next_identifier(spark, d):
-    docs = read(spark, d, "documents").where("doc_id % 50 = 0")
+    docs = read(spark, d, "documents")
     top = docs.agg((F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).alias("next_id"))
     return docs.select("doc_id", "source").crossJoin(F.broadcast(top))
 

@@ -35,9 +35,9 @@ def toward_declared_traits(spark, d):
     return v.where("id = 0").crossJoin(F.broadcast(traits)).select(F.posexplode(R.toward_traits(F.col("vector"), F.col("traits"))).alias("pos", "x")).withColumn("x", F.round("x", 9))
 
 
-@query("SELECT string_agg(format('[{}] {}: {:+.2f}', event_type, 'u' || user_id, v), chr(10) ORDER BY event_type, 'u' || user_id) AS text FROM (SELECT event_type, user_id, round(count(*) / 8.0, 2) AS v FROM events WHERE user_id < 20 GROUP BY ALL)")
+@query("SELECT string_agg(format('[{}] {}: {:+.2f}', event_type, 'u' || user_id, v), chr(10) ORDER BY event_type, 'u' || user_id) AS text FROM (SELECT event_type, user_id, round(count(*) / 8.0, 2) AS v FROM events GROUP BY ALL)")
 def state_prompt(spark, d):
-    p = read(spark, d, "events").where("user_id < 20").groupBy(F.col("event_type").alias("category"), F.concat(F.lit("u"), "user_id").alias("name")).agg(F.round(F.count(F.lit(1)) / 8.0, 2).alias("value"))
+    p = read(spark, d, "events").groupBy(F.col("event_type").alias("category"), F.concat(F.lit("u"), "user_id").alias("name")).agg(F.round(F.count(F.lit(1)) / 8.0, 2).alias("value"))
     return R.state_lines(p)
 
 
@@ -92,9 +92,9 @@ def paragraphs_to_markdown(spark, d):
     return R.paragraphs_markdown(rows, "conv_id", "turn", 1)
 
 
-@query("SELECT conv_id, string_agg('<!-- Page ' || turn || ' -->' || chr(10) || left(text, 40), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg('<!-- Page ' || turn || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def pages_to_markdown(spark, d):
-    return R.pages_markdown(read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("text")), "conv_id", "turn", "text")
+    return R.pages_markdown(read(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text")
 
 
 @query("SELECT (CASE WHEN m > 50000 THEN 10 WHEN m > 10000 THEN 25 WHEN m > 3000 THEN 50 WHEN m IS NULL THEN 50 ELSE 100 END)::INT AS batch FROM (SELECT floor(avg(length(text)) FILTER (length(text) > 0)) AS m FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 10))")

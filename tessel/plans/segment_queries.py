@@ -39,14 +39,13 @@ def speech_chunker(spark, d):
     return G.chunked(_paragraphs(spark, d), "doc_id", "text", G.spoken_chunks, most=80, least=10)
 
 
-def _marked(spark, d, most=3000):
-    """Each line of a document becomes a heading or a body line by its number; of `most` characters, or of whole texts if None."""
-    text = F.col("text") if most is None else F.substring("text", 1, most)
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.repeat(F.lit("#"), (i / 3).cast("int") % 3 + 1), F.lit(" h"), i.cast("string"))).otherwise(F.trim(x)))
+def _marked(spark, d):
+    """Each line of a document becomes a heading or a body line by its number."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.repeat(F.lit("#"), (i / 3).cast("int") % 3 + 1), F.lit(" h"), i.cast("string"))).otherwise(F.trim(x)))
     return read(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
-_LINES = """l AS (SELECT doc_id, unnest(string_split(left(text, 3000), chr(10))) AS x, unnest(range(len(string_split(left(text, 3000), chr(10))))) AS i FROM documents),
+_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
  m AS (SELECT doc_id, i, i % 3 = 1 AS head, CASE WHEN i % 3 = 1 THEN (i // 3) % 3 + 1 ELSE 0 END AS level, CASE WHEN i % 3 = 1 THEN 'h' || i END AS title, trim(x, ' ') AS x FROM l),
  s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM m)"""
 
@@ -68,16 +67,16 @@ def heading_paths(spark, d):
 
 @query()
 def section_numbers(spark, d):
-    rows = G.heading_sections(_marked(spark, d, None), "doc_id", "text").where("level > 0")
+    rows = G.heading_sections(_marked(spark, d), "doc_id", "text").where("level > 0")
     return G.with_paths(rows, "doc_id", "section").select("doc_id", "section", "number")
 
 
-@query("""WITH e AS (SELECT c_custkey AS k, unnest([1, 2, 3]) AS i FROM customer WHERE c_custkey <= 200) SELECT k, i::INT AS line_no, 'Entry ' || k || ' ' || i AS title, (k + i)::INT AS page, i::INT AS level FROM e""")
+@query("""WITH e AS (SELECT c_custkey AS k, unnest([1, 2, 3]) AS i FROM customer) SELECT k, i::INT AS line_no, 'Entry ' || k || ' ' || i AS title, (k + i)::INT AS page, i::INT AS level FROM e""")
 def toc_lines(spark, d):
     k = F.col("c_custkey").cast("string")
     entry = lambda pad, i: F.concat(F.lit(pad + "Entry "), k, F.lit(f" {i} ..... "), (F.col("c_custkey") + i).cast("string"))
     text = F.concat_ws("\n", F.lit("Contents"), entry("", 1), entry("  ", 2), entry("    ", 3), F.lit("12 ..... 4"), F.lit("plain line"))
-    rows = read(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("k"), text.alias("text"))
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), text.alias("text"))
     return G.toc_lines(rows, "k", "text").select("k", "line_no", "title", "page", "level")
 
 

@@ -151,27 +151,21 @@ def declared_profile(spark, d):
     return out.select("category", "name", F.round("value", 4).alias("computed"), "declared", F.round(F.col("declared") / 10.0, 2).alias("declared_scaled"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE vec_id < 200),
+@query("""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
  f AS (SELECT label, rn, x AS s FROM e WHERE rn = 1 UNION ALL
  SELECT label, rn, list_transform(m, lambda y: y / sqrt(list_inner_product(m, m))) FROM (SELECT e.label, e.rn, list_transform(list_zip(f.s, e.x), lambda p: 0.85 * p[1] + 0.15 * p[2]) AS m FROM f JOIN e ON e.label = f.label AND e.rn = f.rn + 1))
  SELECT label, round(s[1], 6) AS first, round(s[64], 6) AS last, rn AS steps FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY rn DESC) = 1""")
 def state_recursion(spark, d):
-    from pyspark.sql.window import Window
-
-    rows = vectors(spark, d).where("id < 200").withColumn("ord", F.row_number().over(Window.partitionBy("label").orderBy("id")))
-    start = rows.where("ord = 1").select("label", F.col("vector").alias("s0"))
-    steps = rows.where("ord > 1").select("label", "ord", F.lit(0.85).alias("alpha"), F.lit(0.15).alias("beta"), F.col("vector").alias("e"))
-    grouped = steps.join(start, "label").groupBy("label").agg(F.first("s0").alias("s0"), F.array_sort(F.collect_list(F.struct("ord", "alpha", "beta", "e"))).alias("steps"))
-    fold = F.aggregate("steps", F.col("s0"), lambda s, x: V.normalised(F.zip_with(s, x["e"], lambda a, b: x["alpha"] * a + x["beta"] * b)))
-    return grouped.select("label", fold.alias("s"), (F.size("steps") + 1).cast("long").alias("steps")).select("label", F.round(F.col("s")[0], 6).alias("first"), F.round(F.col("s")[63], 6).alias("last"), "steps")
+    steps = vectors(spark, d).select("label", F.col("id").alias("ord"), F.lit(0.85).alias("alpha"), F.lit(0.15).alias("beta"), F.col("vector").alias("e"))
+    return T.evolve(steps, "label").select("label", F.round(F.col("state")[0], 6).alias("first"), F.round(F.col("state")[63], 6).alias("last"), "steps")
 
 
 @query()
 def tensor_recursion(spark, d):
     v = vectors(spark, d)
-    start = F.array(*[S.vector_literal(S.stored_vector(v, "id", i)) for i in range(8)])
+    start = [S.stored_vector(v, "id", i) for i in range(8)]
     steps = v.where("id >= 8").select(F.lit("main").alias("entity"), F.col("id").alias("ord"), F.col("vector").alias("e"), F.lit(0.001).alias("size"))
-    out = T.evolve_dims(steps, start, F.array(*[F.lit(r) for r in (0.1, 0.2, 0.3, 0.2, 0.1, 0.1, 0.05, 0.05)]))
+    out = T.evolve_dims(steps, start, [0.1, 0.2, 0.3, 0.2, 0.1, 0.1, 0.05, 0.05])
     return out.select("entity", F.posexplode("state").alias("dim", "v")).select("entity", "dim", F.round(F.col("v")[0], 9).alias("first"), F.round(V.norm(F.col("v")), 9).alias("norm"))
 
 
