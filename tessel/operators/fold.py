@@ -10,13 +10,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows sent on at a time.
 _OUT = 5000
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; vectors as NumPy rows, all else as plain Python values."""
+    kind = column.type
+    if not (pa.types.is_list(kind) and pa.types.is_floating(kind.value_type)) or column.values.null_count:
+        return column.to_pylist()
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] if valid else None for a, b, valid in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
+
+
 def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, step: Callable[[Any, dict], tuple[Any, list[tuple]]], finish: Callable[[tuple, Any], list[tuple]] | None = None) -> DataFrame:
     """Fold each key's rows in order and return what the steps and the end of a key give.
 
@@ -24,24 +34,20 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, ste
     it gives; a key's first state is None. finish(key, state) gives the rows after a key's
     last one. Ties in order are the caller's to break; a null key is a key of its own.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
+    shape = rows.sparkSession.createDataFrame([], schema).toArrow().schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        plain = ([v.item() if isinstance(v, np.generic) else v for v in c] for c in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(plain, shape, strict=True)], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         key, state, seen = None, None, False
-
-        def flush() -> pd.DataFrame:
-            nonlocal out
-            columns = list(zip(*out, strict=True))
-            frame = pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, columns, strict=True)})
-            out = []
-            return frame
-
-        for frame in frames:
-            columns = list(frame.columns)
-            for values in zip(*(frame[c].tolist() for c in columns), strict=True):
-                row = dict(zip(columns, values, strict=True))
-                this = tuple(None if row[k] is None or row[k] != row[k] else row[k] for k in keys)
+        for batch in batches:
+            names = batch.schema.names
+            for values in zip(*map(_values, batch.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
+                this = tuple(row[k] for k in keys)
                 if not seen or this != key:
                     if seen and finish:
                         out += finish(key, state)
@@ -49,10 +55,11 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, ste
                 state, given = step(state, row)
                 out += given
                 if len(out) >= _OUT:
-                    yield flush()
+                    yield batch_of(out)
+                    out = []
         if seen and finish:
             out += finish(key, state)
         if out:
-            yield flush()
+            yield batch_of(out)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -16,7 +16,6 @@ from pyspark.sql.window import Window
 
 from tessel.functions.vector import cosine, dot, l2, norm, normalised
 
-#: Rows a query side may hold to be broadcast.
 
 
 def equal_filters(**wanted) -> Column:

@@ -150,3 +150,51 @@ def verbalise(trigger: Column, total: Column, alert: Column, hard_negatives: Col
 def contradiction(similarity: Column, nli: Column) -> Column:
     """Hard negative by similarity and an entailment model's score: under 0.1 always, over 0.7 if the score exceeds 0.8, between if it exceeds 0.5; without a score under 0.3."""
     return F.when(similarity < 0.1, True).when(nli.isNull(), similarity < 0.3).when(similarity > 0.7, nli > 0.8).otherwise(nli > 0.5)
+
+
+def coherence(tensor: DataFrame, event: Column, least: float = 0.5) -> DataFrame:
+    """Per state: the mean product of an event with the dimensions that judge coherence (0, 2, 4, 7), and whether it is integrated."""
+    mean = F.avg(V.dot(F.col("v"), event))
+    return tensor.where(F.col("dim").isin(0, 2, 4, 7)).groupBy("state_id").agg(mean.alias("coherence")).withColumn("action", F.when(F.col("coherence") > least, "integrate").otherwise("weak_integrate"))
+
+
+def tenacity(tensor: DataFrame, event: Column, least: float = 0.8) -> DataFrame:
+    """Per state: how far an event confirms its habits (dimension 2), and whether it reinforces them."""
+    return tensor.where("dim = 2").select("state_id", V.dot(F.col("v"), event).alias("confirmation")).withColumn("action", F.when(F.col("confirmation") > least, "reinforce").otherwise("resist"))
+
+
+def recent_mean(states: DataFrame, entity: str, order: str, most: int, decay: float = 0.01) -> DataFrame:
+    """Per entity the mean of its latest `most` vectors, each weighing exp(-decay) of the one after it."""
+    rank = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(order))) - 1
+    recent = states.withColumn("age", rank).where(F.col("age") < most)
+    return V.mean_by(recent, [entity], "vector", F.exp(-decay * F.col("age")))
+
+
+def seeded_vector(key: Column, width: int, seed: int = 42) -> Column:
+    """A vector of numbers in [-0.5, 0.5) that follows from the seed and key alone."""
+    digits = lambda i: F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), i.cast("string")).cast("binary")), 1, 8)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.conv(digits(i), 16, 10).cast("double") / 4294967296.0 - 0.5)
+
+
+def beginnings(entities: DataFrame, declared: DataFrame | None, observed: DataFrame | None, width: int, dims: int = 8, alpha: float = 0.7, names: tuple[str, str, str] = ("hybrid", "declared", "history")) -> DataFrame:
+    """Per entity (one column) and dimension the vector it begins with, of unit length, and where it comes from.
+
+    declared and observed hold (entity, dim, vector). Where an entity has both whole, they are
+    blended alpha to 1 - alpha (names[0]); else it takes the declared ones (names[1]), else the
+    observed (names[2]), else vectors seeded by entity and dimension ("seeded"). A source that
+    lacks a dimension of an entity counts as none for it.
+    """
+    (entity,) = entities.columns
+    rows = entities.select(entity, F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim"))
+    for name, source in (("_d", declared), ("_o", observed)):
+        if source is None:
+            rows = rows.withColumn(name, F.lit(None).cast("array<double>"))
+            continue
+        whole = source.groupBy(entity).agg(F.count_distinct("dim").alias("n")).where(F.col("n") == dims).select(entity)
+        rows = rows.join(source.join(whole, entity, "left_semi").select(entity, "dim", F.col("vector").alias(name)), [entity, "dim"], "left")
+    d, o = F.col("_d"), F.col("_o")
+    blend = F.zip_with(d, o, lambda a, b: alpha * a + (1 - alpha) * b)
+    origin = F.when(d.isNotNull() & o.isNotNull(), names[0]).when(d.isNotNull(), names[1]).when(o.isNotNull(), names[2]).otherwise("seeded")
+    seeded = seeded_vector(F.concat(F.col(entity).cast("string"), F.lit(":"), F.col("dim").cast("string")), width)
+    vector = F.when(d.isNotNull() & o.isNotNull(), blend).when(d.isNotNull(), d).when(o.isNotNull(), o).otherwise(seeded)
+    return rows.select(entity, "dim", origin.alias("origin"), V.normalised(vector).alias("vector"))

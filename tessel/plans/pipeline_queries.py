@@ -27,8 +27,12 @@ def query(sql: str | None = None):
 
 
 def scratch(spark) -> str:
-    """A new folder that all executors share; a temporary one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessel-")
+    """A new folder that all executors share; a temporary one only on a local master whose session names none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessel-")
     return f"{base}/q-{uuid.uuid4().hex}"
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("search_queries", "state_queries", "catalog_queries", "text_queries", "segment_queries", "pipeline_queries", "rendering_queries")
+_MODULES = ("search_queries", "state_queries", "catalog_queries", "text_queries", "segment_queries", "pipeline_queries", "rendering_queries", "cycle_queries", "structure_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
