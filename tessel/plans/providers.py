@@ -34,10 +34,13 @@ def embedded(df: DataFrame, text: str = "text", provider: Embed = hashed_bag, ba
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             rows = [v for i in range(0, len(texts), batch) for v in provider(texts[i : i + batch])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tolist() for v in rows], pa.list_(pa.float64()))], names=[text, name])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([v.tolist() for v in rows], pa.list_(pa.float64()))], names=["_key", "_n", name])
 
-    vectors = df.select(text).distinct().mapInArrow(run, f"{text} string, {name} array<double>")
-    return df.join(vectors.withColumnRenamed(text, "_text"), F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+    # texts meet by digest and length, so that no join or sort compares whole texts
+    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumn("_n", F.coalesce(F.length(text), F.lit(-1)))
+    once = keyed.groupBy("_key", "_n").agg(F.any_value(text).alias("_text"))
+    vectors = once.select("_text", "_key", "_n").mapInArrow(run, f"_key string, _n int, {name} array<double>")
+    return keyed.join(vectors, ["_key", "_n"], "left").drop("_key", "_n")
 
 
 def answered(df: DataFrame, prompt: str, provider: Callable[[str], str], retries: int = 3, name: str = "answer") -> DataFrame:
