@@ -33,8 +33,8 @@ from tessel.llm.packing import tokenizer_path
 SEGMENT, PART = 1 << 18, 1 << 18
 #: Bits between two entries of a directory of ones.
 BLOCK = 512
-#: Pieces of text whose ids a worker remembers; past it the memory starts anew. Longer pieces are not kept.
-CACHE, LONG_PIECE = 400_000, 64
+#: Pieces of text whose ids a worker remembers (about 180 MB); past it new ones are not kept, or, where most are new, it starts anew. Longer pieces are never kept.
+CACHE, LONG_PIECE = 900_000, 64
 
 
 # --- the code ---
@@ -143,6 +143,7 @@ class PieceIds:
 
     _ODD = re.compile(r"\s\s")
     _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
+    _LEADS = ("", "\0", "\n")
     _workers: dict[str, PieceIds] = {}
 
     def __init__(self, path: str) -> None:
@@ -150,6 +151,7 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.held: dict[str, bytes] = worker_cache({})
 
     @classmethod
@@ -159,33 +161,48 @@ class PieceIds:
         return cls._workers[path]
 
     def _keys(self, text: str) -> list[str]:
-        """The text's pieces. One that starts with a space is held without it; one that starts otherwise has a NUL ahead."""
+        """The text's pieces. One led by a space is held without it, one led by a line end as it is, any other with a NUL ahead."""
         if self._ODD.search(text) or text[0].isspace() or "\0" in text:
             pieces = self._CUT.split(text)
-            return [p[1:] if p[0] == " " and p[1:2] != "\0" else "\0" + p for p in pieces if p]
-        head, *rest = text.replace("\n", " \n").split(" ")
-        return ["\0" + head, *["\0" + w if w[:1] == "\n" else w for w in rest]] if "\n" in text else ["\0" + head, *rest]
+            return [p[1:] if p[0] == " " and p[1:2] not in self._LEADS else p if p[0] == "\n" else "\0" + p for p in pieces if p]
+        return ("\0" + text.replace("\n", " \n")).split(" ")
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, keys: list[str]) -> dict[str, bytes]:
-        pieces = [k[1:] if k[:1] == "\0" else " " + k for k in keys]
-        learned = {}
-        for i in range(0, len(keys), 2000):
-            for k, e in zip(keys[i : i + 2000], self.tokenizer.encode_batch_fast(pieces[i : i + 2000], add_special_tokens=False), strict=True):
-                learned[k] = np.array(e.ids, "<u4").tobytes()
+        """The ids of pieces. Words led by a space are encoded many at a time, a line end between them: it ends a token before that space."""
+        learned, words, others = {}, [], []
+        for k in keys:
+            (words if k[:1] not in self._LEADS and k.split() == [k] else others).append(k)
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            flat = self._encoded(["\n".join([" " + w for w in some])])[0]
+            cuts, at = (np.flatnonzero(np.frombuffer(flat, "<u4") == self.line_end) * 4).tolist(), 0
+            for w, cut in zip(some, [*cuts, len(flat)], strict=True):
+                learned[w] = flat[at:cut]
+                at = cut + 4
+        for i in range(0, len(others), 500):
+            some = others[i : i + 500]
+            learned.update(zip(some, self._encoded([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else " " + k for k in some]), strict=True))
         return learned
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         keys = [self._keys(t) if t else [] for t in texts]
-        if len(self.held) > CACHE:
-            self.held.clear()
-        learned = self._learn(list(set().union(*keys).difference(self.held)))
-        ids = {**learned} if any(len(k) > LONG_PIECE for k in learned) else None
-        self.held.update((k, v) for k, v in learned.items() if len(k) <= LONG_PIECE)
-        if ids is None:
-            get = self.held.__getitem__
+        words = set().union(*keys)
+        new = words.difference(self.held)
+        learned = self._learn(list(new))
+        if len(self.held) + len(new) > CACHE and len(new) > len(words) // 3:
+            self.held.clear()  # the texts have changed
+        if len(self.held) + len(new) <= CACHE:
+            self.held.update((k, v) for k, v in learned.items() if len(k) <= LONG_PIECE)
+            learned = {k: v for k, v in learned.items() if len(k) > LONG_PIECE}
+        held = self.held
+        if words <= held.keys():
+            get = held.__getitem__
         else:
-            held = self.held
-            get = lambda k: ids[k] if k in ids else held[k]
+            learned.update((k, held[k]) for k in words if k in held)
+            get = learned.__getitem__
         return [b"".join(map(get, k)) for k in keys]
 
 
