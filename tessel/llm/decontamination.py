@@ -1,14 +1,22 @@
 """Benchmark decontamination by SimHash windows and a multi-index Hamming search.
 
-Windows as long as a benchmark item get a 128-bit SimHash of their words. Sixteen 8-bit
-blocks index the fingerprints of the items of that length with every value up to two bits
-away, so that any window within RADIUS bits of an item shares an indexed block with it. What
-the index finds is confirmed by the exact weighted similarity of the shingle sets.
+Windows as long as a benchmark item get two 128-bit SimHashes: of their words, each counted
+alike, and of their distinct shingles, each by the square root of its weight. Sixteen 8-bit
+blocks index both fingerprints of every item with all values up to two bits away, so that any
+window within RADIUS bits of its item shares an indexed block with it. What the index finds is
+confirmed by the exact weighted similarity of the shingle sets.
+
+The second fingerprint follows from that similarity: sets of similarity J have, by square roots
+of weights, a cosine of at least 2J / (1 + J). At 0.75 that is 6/7: 22 of 128 bits differ on
+average, with a deviation of 4.3, and RADIUS lies almost six deviations above. The first one finds
+passages whose parts changed places.
 
 A window at the threshold holds three quarters of an item's shingle weight, in whatever
 order. So windows are taken where a document holds enough of an item's shingles within the
 item's length; every other window lies below the threshold for certain (`_reach`, `_starts`)
-and gets no fingerprint. DataFrame operations only.
+and gets no fingerprint. Neighbouring windows roll: what enters and leaves at a start is summed,
+and running sums give each window, so an item's length counts once a stretch, not once a window.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from __future__ import annotations
 import string
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import broadcast_if_small, let, materialize, table
@@ -28,6 +36,10 @@ BLOCKS, FLIPS = 16, 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Words by whose starts windows are gathered into one row.
 STRIDE = 512
+#: What a weight of 1 is as an integer, so that running sums of weights are exact.
+UNIT = 1 << 40
+#: Fingerprints: of words, of weighted shingles.
+WORDS, SHINGLES = 0, 1
 
 
 def lower_words(text: Column) -> Column:
@@ -42,25 +54,36 @@ def shingles(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hi, lo): the 128-bit SimHash of each row's array `window`; each word counts as often as it occurs.
-
-    A bit is set where over half the words' hashes set it. Words become rows, and one sum
-    counts two bits 32 places apart, so the counting is a plain aggregate.
-    """
-    words = windows.select(*keys, F.size("window").alias("n"), F.explode("window").alias("word"))
-    words = words.select(*keys, "n", F.xxhash64("word").alias("hi"), F.xxhash64("word", F.lit(1)).alias("lo"))
+def _votes() -> list[Column]:
+    """Sums of `q` by bits of `hi` and `lo`; one sum counts two bits 32 places apart, so sums of q stay below 2**31."""
     two = F.lit((1 << 32) + 1)
-    sums = words.groupBy(*keys).agg(F.first("n").alias("n"), *[F.sum(F.call_function("shiftright", side, F.lit(b)).bitwiseAND(two)).alias(f"{side}{b}") for side in ("hi", "lo") for b in range(32)])
+    return [F.sum(F.call_function("shiftright", side, F.lit(b)).bitwiseAND(two) * F.col("q")).alias(f"{side}{b}") for side in ("hi", "lo") for b in range(32)]
+
+
+def _majority(side: str) -> Column:
+    """The 64 bits of a side that over half of all `q` set, from the sums of `_votes`."""
+    bits = []
+    for b in range(32):
+        low, high = F.col(f"{side}{b}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"{side}{b}", 32)
+        bits += [F.when(2 * low > F.col("q"), F.lit(1 << b)).otherwise(F.lit(0).cast("long")), F.when(2 * high > F.col("q"), F.lit((1 << (b + 32)) - (1 << 64 if b == 31 else 0))).otherwise(F.lit(0).cast("long"))]
+    return reduce(lambda x, y: x.bitwiseOR(y), [b.cast("long") for b in bits]).alias(side)
+
+
+def simhash(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hi, lo): the 128-bit SimHash of each key's rows (hi, lo, q), hashed elements with their weights."""
+    sums = elements.groupBy(*keys).agg(*_votes(), F.sum("q").alias("q"))
+    return sums.select(*keys, _majority("hi"), _majority("lo"))
 
-    def packed(side: str) -> Column:
-        bits = []
-        for b in range(32):
-            low, high = F.col(f"{side}{b}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"{side}{b}", 32)
-            bits += [F.when(2 * low > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0).cast("long")), F.when(2 * high > F.col("n"), F.lit((1 << (b + 32)) - (1 << 64 if b == 31 else 0))).otherwise(F.lit(0).cast("long"))]
-        return reduce(lambda x, y: x.bitwiseOR(y), [b.cast("long") for b in bits]).alias(side)
 
-    return sums.select(*keys, packed("hi"), packed("lo"))
+def fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hi, lo): the SimHash of each row's array `window` of words; each word counts as often as it occurs."""
+    words = windows.select(*keys, F.explode("window").alias("word"))
+    return simhash(words.select(*keys, F.xxhash64("word").alias("hi"), F.xxhash64("word", F.lit(1)).alias("lo"), F.lit(1).cast("long").alias("q")), keys)
+
+
+def _share(w: Column, m: Column, k: Column) -> Column:
+    """A shingle's weight in a fingerprint of m words: the root of w, in parts of 2**30 over all the shingles there can be."""
+    return F.floor(F.sqrt(w) * (1 << 30) / (m - k + 1)).cast("long")
 
 
 def block(hi: Column, lo: Column, i: int) -> Column:
@@ -83,11 +106,11 @@ def hamming(hi: Column, lo: Column, other_hi: Column, other_lo: Column) -> Colum
     return F.bit_count(hi.bitwiseXOR(other_hi)) + F.bit_count(lo.bitwiseXOR(other_lo))
 
 
-def _own(words: Column, size: Column) -> Column:
-    """The distinct shingles of `size` words, 1 to SHINGLE."""
-    runs = F.when(size == SHINGLE, F.array_distinct(shingles(words, SHINGLE)))
+def _sized(words: Column, size: Column) -> Column:
+    """The shingles of `size` words, 1 to SHINGLE, in order."""
+    runs = F.when(size == SHINGLE, shingles(words, SHINGLE))
     for k in range(1, SHINGLE):
-        runs = runs.when(size == k, F.array_distinct(shingles(words, k)))
+        runs = runs.when(size == k, shingles(words, k))
     return runs
 
 
@@ -107,16 +130,19 @@ def _reach(weighted: Column, percent: int) -> Column:
 
 
 def prepared_items(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Items with words, repeated rows once: item_id, item (its key), m words, k words a shingle, its weighted shingles, lead and least of them, fingerprint (hi, lo). A shingle's weight is 1 over the items that hold it."""
+    """Items with words, repeated rows once: item_id, item (its key), m words, k words a shingle, its weighted shingles, their weight in all (in UNITs), lead and least of them, fingerprints of words (hi, lo) and shingles (shi, slo). A shingle's weight is 1 over the items that hold it."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), lower_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     rows = rows.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
     rows = rows.withColumn("m", F.size("words")).withColumn("k", F.least(F.col("m"), F.lit(SHINGLE)))
-    by_shingle = rows.select("item", F.explode(_own(F.col("words"), F.col("k"))).alias("h"))
+    by_shingle = rows.select("item", "m", "k", F.explode(F.array_distinct(_sized(F.col("words"), F.col("k")))).alias("h"))
     weights = by_shingle.groupBy("h").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
-    weighted = by_shingle.join(weights, "h").groupBy("item").agg(F.reverse(F.array_sort(F.collect_list(F.struct("w", "h")))).alias("weighted"))
+    by_shingle = by_shingle.join(weights, "h").withColumn("units", F.round(F.col("w") * UNIT).cast("long"))
+    weighted = by_shingle.groupBy("item").agg(F.reverse(F.array_sort(F.collect_list(F.struct("w", "h", "units")))).alias("weighted"), F.sum("units").alias("weight"))
     prints = fingerprints(rows.select("item", F.col("words").alias("window")), ["item"])
-    rows = rows.drop("words").join(weighted, "item").join(prints, "item").withColumn("reach", _reach(F.col("weighted"), percent))
-    return materialize(rows.select("item_id", "item", "m", "k", "weighted", "reach.lead", "reach.least", "hi", "lo"), "items")
+    elements = by_shingle.select("item", F.col("h").alias("hi"), F.xxhash64("h").alias("lo"), _share(F.col("w"), F.col("m"), F.col("k")).alias("q"))
+    others = simhash(elements, ["item"]).toDF("item", "shi", "slo")
+    rows = rows.drop("words").join(weighted, "item").join(prints, "item").join(others, "item").withColumn("reach", _reach(F.col("weighted"), percent))
+    return materialize(rows.select("item_id", "item", "m", "k", "weighted", "weight", "reach.lead", "reach.least", "hi", "lo", "shi", "slo"), "items")
 
 
 def _runs(words: Column, sizes: list[int]) -> Column:
@@ -139,6 +165,49 @@ def _starts(at: Column, m: Column, k: Column, least: Column) -> Column:
     return F.when(F.size(at) >= least, F.flatten(F.transform(first, of))).otherwise(F.array().cast("array<int>"))
 
 
+def rolled(stretches: DataFrame, weights: DataFrame) -> DataFrame:
+    """Fingerprints and shingle counts of every window at `starts`, by running sums.
+
+    stretches: th, tl, item, m, k, n (the text's words), base, starts (ascending), words from
+    base on to the last window's end; weights: item, h, units. Returns th, tl, item, m, n,
+    kind, start, hi, lo, and of kind SHINGLES: units that the window shares with the item, its
+    distinct shingles `own` and those in `common`. A shingle counts from the start after its
+    former place on, so that a window's repeats count once.
+    """
+    group = ["th", "tl", "item", "base"]
+    at = ["m", "k", "n", "last"]
+    element = lambda kind, pos, hi, lo, mark: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), hi.alias("hi"), lo.alias("lo"), F.lit(mark).alias("mark"))
+    none = F.lit(0).cast("long")
+    words = F.transform("words", lambda w, i: element(WORDS, i, F.xxhash64(w), F.xxhash64(w, F.lit(1)), 0))
+    runs = F.transform(_sized(F.col("words"), F.col("k")), lambda h, i: element(SHINGLES, i, h, F.xxhash64(h), 0))
+    marked_starts = lambda kind: F.transform("starts", lambda s: element(kind, s - F.col("base"), none, none, 1))
+    rows = stretches.repartition(*group).withColumn("last", F.array_max("starts") - F.col("base"))
+    rows = rows.select(*group, *at, F.explode(F.concat(words, runs, marked_starts(WORDS), marked_starts(SHINGLES))).alias("e")).select(*group, *at, "e.*")
+    rows = rows.join(weights.withColumnRenamed("h", "hi").withColumn("kind", F.lit(SHINGLES)), ["item", "kind", "hi"], "left")
+
+    # a marked place has no weight; others enter at `first` and leave after their place
+    before = F.lag("pos").over(Window.partitionBy(*group, "kind", "mark", "hi").orderBy("pos"))
+    shingle, marked = F.col("kind") == SHINGLES, F.col("mark") == 1
+    width = F.when(shingle, F.col("m") - F.col("k")).otherwise(F.col("m") - 1)
+    first = F.greatest(F.col("pos") - width, F.when(shingle, F.coalesce(before + 1, F.lit(0))).otherwise(0), F.lit(0))
+    rows = rows.withColumn("first", F.when(marked, F.col("pos")).otherwise(first)).where(F.col("first") <= F.col("last"))
+    share = F.when(marked, none).when(shingle, _share(F.coalesce(F.col("units") / UNIT, F.lit(1.0)), F.col("m"), F.col("k"))).otherwise(F.lit(1).cast("long"))
+    count = F.when(shingle & ~marked, F.lit(1)).otherwise(0).cast("long")
+    held = F.col("units").isNotNull() & ~marked
+    values = {"q": share, "units": F.when(held, F.col("units")).otherwise(none), "own": count, "common": F.when(held, F.lit(1)).otherwise(0).cast("long")}
+    rows = rows.select(*group, "m", "n", "kind", "last", "pos", "first", "hi", "lo", "mark", *[v.alias(name) for name, v in values.items()])
+    moves = F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("sign")))
+    rows = rows.withColumn("move", F.explode(moves)).where((F.col("move.at") <= F.col("last")) & ((F.col("mark") == 0) | (F.col("move.sign") == 1)))
+    signed = [(F.col(v) * F.col("move.sign")).alias(v) for v in values]
+    rows = rows.select(*group, "m", "n", "kind", F.col("move.at").alias("at"), "hi", "lo", "mark", *signed)
+
+    sums = [f"{side}{b}" for side in ("hi", "lo") for b in range(32)]
+    rows = rows.groupBy(*group, "m", "n", "kind", "at").agg(*_votes(), *[F.sum(v).alias(v) for v in values], F.max("mark").alias("mark"))
+    running = Window.partitionBy(*group, "m", "n", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*group, "m", "n", "kind", "at", "mark", *[F.sum(v).over(running).alias(v) for v in [*sums, *values]])
+    return rows.where("mark = 1").select("th", "tl", "item", "m", "n", "kind", (F.col("base") + F.col("at")).alias("start"), _majority("hi"), _majority("lo"), "units", "own", "common")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, carry: Column | None = None) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): items that documents hold.
 
@@ -171,27 +240,23 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, carr
     runs = texts.select(*text, F.explode(_runs(F.col("words"), sizes)).alias("r")).select(*text, "r.pos", "r.h")
     found = parts.join(runs, [*text, "h"]).groupBy(*text, "item").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     found = found.join(broadcast_if_small(items.select("item", "m", "k", "least"), 48), "item")
-    starts = found.select(*text, "m", F.explode(_starts(F.col("at"), F.col("m"), F.col("k"), F.col("least"))).alias("start"))
-    rows = starts.groupBy(*text, "m", F.floor(F.col("start") / STRIDE).cast("int").alias("stretch")).agg(F.collect_set("start").alias("starts"))
-    rows = rows.join(texts, text).select(*text, "m", "starts", (F.col("stretch") * STRIDE).alias("base"), F.slice("words", F.col("stretch") * STRIDE + 1, F.col("m") + STRIDE).alias("words"))
-    rows = rows.select(*text, "m", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s - F.col("base") + 1, F.col("m")).alias("window")))).alias("x"))
-    rows = rows.select(*text, "m", "x.start", "x.window")
-    own = _own(F.col("window"), F.least(F.col("m"), F.lit(SHINGLE), F.size("window")))
-    windows = materialize(rows.withColumn("own", own), "windows")
-
-    place = [*text, "start", "m"]
-    prints = fingerprints(windows, place)
-    index = items.select("item", "m", F.explode(near_blocks(F.col("hi"), F.col("lo"))).alias("block"), F.col("hi").alias("ihi"), F.col("lo").alias("ilo"))
-    probes = prints.select("*", F.explode(blocks(F.col("hi"), F.col("lo"))).alias("block"))
+    starts = found.select(*text, "item", "m", "k", F.explode(_starts(F.col("at"), F.col("m"), F.col("k"), F.col("least"))).alias("start"))
+    rows = starts.groupBy(*text, "item", "m", "k", F.floor(F.col("start") / STRIDE).cast("int").alias("stretch")).agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    rows = rows.withColumn("base", F.get("starts", F.lit(0))).drop("stretch")
+    rows = rows.join(texts, text).withColumn("n", F.size("words")).withColumn("words", F.slice("words", F.col("base") + 1, F.array_max("starts") - F.col("base") + F.col("m")))
+    weights = broadcast_if_small(items.select("item", F.explode("weighted").alias("p")).select("item", "p.h", "p.units"), 40)
+    windows = materialize(rolled(rows, weights), "windows")
+
+    place = [*text, "item", "start"]
+    kinds = F.array(F.struct(F.lit(WORDS).alias("kind"), F.col("hi").alias("ihi"), F.col("lo").alias("ilo")), F.struct(F.lit(SHINGLES).alias("kind"), F.col("shi").alias("ihi"), F.col("slo").alias("ilo")))
+    index = items.select("item", F.explode(kinds).alias("p")).select("item", "p.*").withColumn("block", F.explode(near_blocks(F.col("ihi"), F.col("ilo"))))
+    probes = windows.select(*place, "kind", "hi", "lo", F.explode(blocks(F.col("hi"), F.col("lo"))).alias("block"))
     apart = hamming(F.col("hi"), F.col("lo"), F.col("ihi"), F.col("ilo"))
-    close = probes.join(broadcast_if_small(index, 48), ["m", "block"]).where(apart <= RADIUS).select(*place, "item", apart.alias("hamming")).distinct()
-
-    weight = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"])
-    sides = broadcast_if_small(items.select("item", "item_id", "weighted"), F.lit(48) + 24 * F.size("weighted"))
-    both = windows.join(materialize(close, "close"), place).join(sides, "item")
-    total = weight(F.col("weighted")) + F.size("own")
-    similarity = let(F.filter("weighted", lambda p: F.array_contains(F.col("own"), p["h"])), lambda shared: weight(shared) / (total - F.size(shared)))
-    sure = both.select(*text, "item_id", "start", F.size("window").alias("n_words"), "hamming", F.round(similarity, 9).alias("similarity")).where(F.col("similarity") >= percent / 100)
+    close = probes.join(broadcast_if_small(index, 48), ["item", "kind", "block"]).where(apart <= RADIUS).groupBy(*place).agg(F.min(apart).alias("hamming"))
+
+    both = windows.where(F.col("kind") == SHINGLES).join(close, place).join(broadcast_if_small(items.select("item", "item_id", "weight"), 48), "item")
+    similarity = F.round(F.col("units") / (F.col("weight") + (F.col("own") - F.col("common")) * UNIT), 9)
+    sure = both.select(*text, "item_id", "start", F.least("m", F.col("n") - F.col("start")).alias("n_words"), "hamming", similarity.alias("similarity")).where(F.col("similarity") >= percent / 100)
     best = sure.groupBy(*text, "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "hamming")).alias("b"))
     best = broadcast_if_small(materialize(best, "matches"), 64)
     once = ["doc_id", "item_id", *([] if carry is None else ["carried"])]

@@ -502,6 +502,60 @@ def test_edits_of_every_kind_against_brute_force(spark):
     assert got == want == {(1, 9): round(26 / 34, 9)} and rows[0]["hamming"] == 0
 
 
+def weighted_similarity(docs, items):
+    """Best weighted similarity by (document, item) over every window, by plain sets."""
+    sets = {i: grams(w) for i, w in items.items()}
+    count = {}
+    for own in sets.values():
+        for g in own:
+            count[g] = count.get(g, 0) + 1
+    best = {}
+    for d, doc in docs.items():
+        present = grams(doc)
+        for i, item in items.items():
+            have = sets[i]
+            if sum(1 / count[g] for g in have & present) < 0.75 * sum(1 / count[g] for g in have):
+                continue
+            for p in range(len(doc)):
+                own = grams(doc[p : p + len(item)])
+                shared = sum(1 / count[g] for g in have & own)
+                s = shared / (sum(1 / count[g] for g in have) + len(own - have)) if have else 0
+                best[d, i] = max(best.get((d, i), 0), round(s, 9))
+    return {k: v for k, v in best.items() if v >= 0.75}
+
+
+@pytest.mark.parametrize("prompt", [60, 150])
+def test_items_with_a_shared_prompt_against_brute_force(spark, prompt):
+    """Documents quote only what is an item's own; the words of the prompt, most of each item, are missing."""
+    from tessel.llm.decontamination import contaminated
+
+    shared = [f"prompt{i}" for i in range(prompt)]
+    items = {i: [*shared, *[f"own{i}x{j}" for j in range(24)]] for i in range(200)}
+    docs = {i: ["as", "asked", *w[prompt:]] if i % 2 else w[prompt:] for i, w in items.items()}
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in t.items()], schema) for t, schema in ((docs, "doc_id long, text string"), (items, "item_id long, text string"))]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in contaminated(*tables).collect()}
+    assert got == weighted_similarity(docs, items)
+    assert set(got) == {(i, i) for i in items}
+
+
+def test_long_items_and_repeats_against_brute_force(spark):
+    """An item of thousands of words rolls through its windows; words that repeat count once in a window's set."""
+    import random
+
+    from tessel.llm.decontamination import contaminated
+
+    rnd = random.Random(3)
+    long_item = [f"v{rnd.randrange(700)}" for _ in range(3000)]
+    chorus = [f"c{j}" for j in range(12)] * 4
+    items = {1: long_item, 2: chorus, 3: [*chorus[:12], *[f"e{j}" for j in range(20)]]}
+    edited = [w if rnd.random() > 0.02 else "new" for w in long_item]
+    docs = {1: ["x"] * 30 + edited + ["y"] * 30, 2: ["z", *chorus, *chorus, "z"], 3: ["a", "b", *items[3][:28], "c"], 4: long_item[:1500]}
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in t.items()], schema) for t, schema in ((docs, "doc_id long, text string"), (items, "item_id long, text string"))]
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in contaminated(*tables).collect()}
+    assert got == {k: round(v, 6) for k, v in weighted_similarity(docs, items).items()}
+    assert {(1, 1), (2, 2), (3, 3)} <= set(got)
+
+
 def test_blocks_guarantee_the_radius(spark):
     import random
 
