@@ -54,8 +54,8 @@ class Engine:
                 where &= test
         return S.knn(self.tables["summaries"], self._vector(query), self._limit(limit), where)
 
-    def search(self, query: str, limit: int = 20, sections: int = 5, force_mode: str | None = None) -> DataFrame:
-        """Simple, summary or two-stage search; without a mode the question decides, and an empty two-stage result falls back to simple."""
+    def search(self, query: str, limit: int = 20, sections: int = 5, force_mode: str | None = None, author_filter=None, work_filter=None) -> DataFrame:
+        """Simple, summary or two-stage search; filters by author and work hold for chunks and sections; without a mode the question decides, and an empty two-stage result falls back to simple."""
         mode = force_mode
         if mode is None:
             spark = self.tables["chunks"].sparkSession
@@ -64,10 +64,10 @@ class Engine:
         if mode == "summary":
             return S.knn(self.tables["summaries"], v, self._limit(limit))
         if mode == "hierarchical":
-            found = S.hierarchical(self.tables["summaries"].withColumnRenamed("section_path", "path"), self.tables["chunks"], v, sections, self._limit(limit))
+            found = S.hierarchical(self.tables["summaries"].withColumnRenamed("section_path", "path"), self.tables["chunks"], v, sections, self._limit(limit), self.tables.get("works"), author_filter, work_filter)
             if not found.isEmpty():
                 return found
-        return S.knn(self.tables["chunks"], v, self._limit(limit))
+        return S.knn(self.tables["chunks"], v, self._limit(limit), S.equal_filters(author=author_filter, work_title=work_filter))
 
     def retrieve_context(self, query, limit: int = 25, works: list[str] | None = None, pool: int = 200, authors: int = 8, per_author: int = 3) -> DataFrame:
         return S.diverse(self.tables["chunks"], self._vector(query), pool, authors, per_author, self._limit(limit), S.equal_filters(work_title=works))
@@ -154,6 +154,9 @@ class Engine:
     def check_consistency(self, statement) -> DataFrame:
         return S.consistency(self._memories(), self._vector(statement))
 
+    def consistency_evidence(self, statement) -> DataFrame:
+        return S.consistency_evidence(self._memories(), self._vector(statement))
+
     def get_state_tensor(self, state_id: int | None = None, entity: str | None = None) -> DataFrame:
         rows = self.tables["tensor"].where(S.equal_filters(entity=entity)) if entity else self.tables["tensor"]
         if state_id is None:

@@ -104,20 +104,46 @@ def batch_knn_blocked(df: DataFrame, queries: DataFrame, k: int, key: str = "id"
     return part.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-def hierarchical(sections: DataFrame, chunks: DataFrame, query, n_sections: int, limit: int) -> DataFrame:
-    """Two stages: the nearest sections, then in each the chunks nearest to the section's own vector.
+def of_works(sections: DataFrame, works: DataFrame, author: str | None = None, work: str | None = None) -> DataFrame:
+    """The few sections (path, work_title) whose title is that of a work (title, author) that passes; untitled ones never do."""
+    passing = works.where(equal_filters(author=author, title=work)).where(F.col("title") != "").select(F.col("title").alias("_title"))
+    # the sections are the small side; a title that several works bear keeps its section once
+    return passing.join(F.broadcast(sections), F.col("_title") == F.col("work_title")).drop("_title").dropDuplicates(["path", "work_title"])
 
-    sections: path, vector; chunks: id, section_path, vector. Each section gives
-    max(3, limit // sections) chunks of its path prefix; chunks of nested sections repeat.
+
+def section_probes(sections: DataFrame, query, embed) -> DataFrame:
+    """sections with `probe`: the vector of a section's text, without one of its title, without both the query itself.
+
+    embed(df, text column, vector column) adds the vectors; null and empty texts count as missing.
+    """
+    words = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("text", "title") if c in sections.columns], F.lit(None).cast("string"))
+    probed = embed(sections.withColumn("_words", words), "_words", "_embedded")
+    return probed.withColumn("probe", F.when(F.col("_words").isNull(), vector_literal(query)).otherwise(F.col("_embedded"))).drop("_words", "_embedded")
+
+
+def hierarchical(sections: DataFrame, chunks: DataFrame, query, n_sections: int, limit: int, works: DataFrame | None = None, author: str | None = None, work: str | None = None, embed=None) -> DataFrame:
+    """Two stages: the nearest sections, then in each the chunks nearest to the section; best chunks first.
+
+    sections: path, vector (with works: work_title; with embed: text, title); chunks: id,
+    section_path, vector (with filters: author, work_title). Filters cut the sections after the
+    nearest were taken, through the works of their titles, and chunks before. A section is
+    probed with its stored vector, or with embed by its text (`section_probes`), all in one
+    pass over the chunks. Each gives max(3, limit // sections left) chunks of its path
+    prefix; chunks of nested sections repeat. Ties go by path and id.
     """
-    top = knn(sections, query, n_sections, key="path").select("path", F.col("vector").alias("section_vector"), F.col("similarity").alias("section_similarity"))
-    n = top.agg(F.count(F.lit(1)).cast("int").alias("n"))
-    # the sections are at most n_sections rows, so the prefix join broadcasts them
-    pairs = chunks.join(F.broadcast(top), chunks.section_path.startswith(top.path))
-    pairs = pairs.withColumn("similarity", cosine(F.col("vector"), F.col("section_vector")))
+    top = knn(sections, query, n_sections, key="path").withColumnRenamed("similarity", "section_similarity")
+    if author is not None or work is not None:
+        if works is None:
+            raise ValueError("filters by author or work need the table of works")
+        top = of_works(top, works, author, work)
+    top = section_probes(top, query, embed) if embed else top.withColumn("probe", F.col("vector"))
+    # at most n_sections rows: counted in one task, and broadcast by the prefix join
+    top = top.select("path", F.col("probe").alias("section_vector"), "section_similarity").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    pairs = chunks.where(equal_filters(author=author, work_title=work)).join(F.broadcast(top), chunks.section_path.startswith(top.path))
+    pairs = pairs.select("path", "section_similarity", "n", "id", cosine(F.col("vector"), F.col("section_vector")).alias("similarity"))
     rank = Window.partitionBy("path").orderBy(F.desc("similarity"), "id")
-    ranked = pairs.withColumn("rank", F.row_number().over(rank)).crossJoin(F.broadcast(n))
-    return ranked.where(F.col("rank") <= F.greatest(F.lit(3), F.floor(F.lit(limit) / F.col("n")))).select("path", "section_similarity", "id", "similarity")
+    ranked = pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= F.greatest(F.lit(3), F.floor(F.lit(limit) / F.col("n"))))
+    return ranked.select("path", "section_similarity", "id", "similarity").orderBy(F.desc("similarity"), "path", "id")
 
 
 def diverse(chunks: DataFrame, query, pool: int, authors: int, per_author: int, limit: int, where: Column | None = None) -> DataFrame:
@@ -164,13 +190,22 @@ def timeline(sources: dict[str, DataFrame], query, k: int, most_distance: float
     return near.orderBy(F.asc_nulls_first("ts"), "type", "id").limit(k)
 
 
+def _evidence(sources: dict[str, DataFrame], query, k: int, most_distance: float) -> DataFrame:
+    """(type, id, similarity): the k nearest of each source that are near enough."""
+    parts = [knn(df, query, k).select(F.lit(name).alias("type"), "id", "similarity") for name, df in sources.items()]
+    return reduce(lambda a, b: a.union(b), parts).where(1 - F.col("similarity") < most_distance)
+
+
 def consistency(sources: dict[str, DataFrame], query, k: int = 10, most_distance: float = 0.7) -> DataFrame:
     """One row: the mean similarity of near rows (1.0 without any), its label, and the count of evidence."""
-    parts = [knn(df, query, k).select("id", "similarity") for df in sources.values()]
-    near = reduce(lambda a, b: a.union(b), parts).where(1 - F.col("similarity") < most_distance)
     mean = F.coalesce(F.avg("similarity"), F.lit(1.0))
     label = F.when(mean > 0.8, "consistent").when(mean > 0.6, "partial").otherwise("to verify")
-    return near.agg(F.count(F.lit(1)).alias("evidence"), F.round(mean, 2).alias("score"), label.alias("label"))
+    return _evidence(sources, query, k, most_distance).agg(F.count(F.lit(1)).alias("evidence"), F.round(mean, 2).alias("score"), label.alias("label"))
+
+
+def consistency_evidence(sources: dict[str, DataFrame], query, k: int = 10, most_distance: float = 0.7, shown: int = 5) -> DataFrame:
+    """The rows behind a consistency score that are shown with it: the nearest of all sources, ties by type and id."""
+    return _evidence(sources, query, k, most_distance).orderBy(F.desc("similarity"), "type", "id").limit(shown)
 
 
 def pairwise_l2(df: DataFrame, most: int = 5000) -> DataFrame:
@@ -247,4 +282,4 @@ def rerank(hits: DataFrame, answer: str, position: str = "position", least_share
     return hits if len(listed) < least_share * n else hits.where(F.col(position).isin(listed))
 
 
-__all__ = ["HyperplaneIndex", "at_least", "batch_knn", "batch_knn_blocked", "consistency", "diverse", "equal_filters", "hierarchical", "knn", "norm", "pairwise_l2", "rerank", "similar_pairs", "small_side", "stored_vector", "timeline", "unified", "vector_literal"]
+__all__ = ["HyperplaneIndex", "at_least", "batch_knn", "batch_knn_blocked", "consistency", "consistency_evidence", "diverse", "equal_filters", "hierarchical", "knn", "norm", "of_works", "pairwise_l2", "rerank", "section_probes", "similar_pairs", "small_side", "stored_vector", "timeline", "unified", "vector_literal"]

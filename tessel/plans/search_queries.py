@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tessel.functions import vector as V
 from tessel.operators import search as S
+from tessel.plans.providers import embedded, hashed_bag
 from tessel.sources.tables import CHUNKS_SQL, chunks, read, vectors
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -61,6 +62,33 @@ def hierarchical_search(spark, d):
     return out.select("path", F.round("section_similarity", 6).alias("section_similarity"), "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""WITH c AS {CHUNKS_SQL}, m AS (SELECT path, work_title, list(x ORDER BY pos) AS vector FROM (
+ SELECT path, work_title, pos, avg(x) AS x FROM (SELECT section_path AS path, work_title, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM c) GROUP BY ALL) GROUP BY ALL),
+ top AS (SELECT path, work_title, vector AS sv, {_COS} AS ss FROM m, {_Q0} ORDER BY ss DESC, path LIMIT 100),
+ kept AS (SELECT * FROM top WHERE work_title IN (SELECT source FROM documents WHERE source = 'src1')),
+ r AS (SELECT path, ss, id, list_inner_product(vector, sv) / (sqrt(list_inner_product(vector, vector)) * sqrt(list_inner_product(sv, sv))) AS s FROM c JOIN kept ON starts_with(section_path, path) WHERE c.work_title = 'src1'),
+ k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s DESC, id) AS rn FROM r)
+ SELECT path, round(ss, 6) AS section_similarity, id, round(s, 6) AS similarity FROM k WHERE rn <= greatest(3, 20 // nullif((SELECT count(*) FROM kept), 0))""")
+def hierarchical_of_work(spark, d):
+    c = chunks(spark, d)
+    sections = V.mean_by(c.withColumn("path", F.col("section_path")), ["path", "work_title"], "vector")
+    works = read(spark, d, "documents").select(F.col("source").alias("title"))
+    out = S.hierarchical(sections, c, _first(spark, d), 100, 20, works, work="src1")
+    return out.select("path", F.round("section_similarity", 6).alias("section_similarity"), "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def hierarchical_by_text(spark, d):
+    """Each near section probed with its own text: that of its first document, embedded like all texts."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("work_title"), F.concat("source", F.lit(" > "), "lang").alias("section_path"))
+    c = embedded(docs)
+    first = docs.groupBy(F.col("section_path").alias("path")).agg(F.min_by("text", "id").alias("text"))
+    sections = V.mean_by(c.withColumn("path", F.col("section_path")), ["path"], "vector").join(first, "path")
+    query = [float(x) for x in hashed_bag(["the nearest sections of all sources"])[0]]
+    out = S.hierarchical(sections, c, query, 5, 20, embed=lambda df, text, name: embedded(df, text, name=name))
+    return out.select("path", F.round("section_similarity", 6).alias("section_similarity"), "id", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""SELECT id, s_work AS work_title, n_chars AS work_chars, round(s, 6) AS similarity, icon FROM (
  SELECT id, work_title AS s_work, {_COS} AS s FROM {CHUNKS_SQL}, {_Q0}) JOIN (
  SELECT source, sum(n_chars)::BIGINT AS n_chars, CASE WHEN contains(lower(source), '1') THEN 'one' WHEN contains(lower(source), '2') THEN 'two' ELSE 'other' END AS icon FROM documents GROUP BY source) ON s_work = source
@@ -120,6 +148,12 @@ def consistency_score(spark, d):
     return S.consistency(_memory(spark, d), _first(spark, d))
 
 
+@query(f"""WITH {_SOURCES}, s AS (SELECT type, id, {_COS} AS r FROM src, {_Q0}), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY r DESC, id) AS rn FROM s)
+ SELECT type, id, round(r, 6) AS similarity FROM k WHERE rn <= 10 AND 1 - r < 0.7 ORDER BY r DESC, type, id LIMIT 5""")
+def consistency_evidence(spark, d):
+    return S.consistency_evidence(_memory(spark, d), _first(spark, d)).select("type", "id", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""WITH {_SOURCES}, s AS (SELECT type, id, {_COS} AS r FROM src, {_Q0}), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY r DESC, id) AS rn FROM s)
  SELECT type AS source, id, round(r, 6) AS similarity FROM k WHERE rn <= 5""")
 def cycle_context(spark, d):

@@ -107,6 +107,58 @@ def test_consistency_without_evidence(rows):
     assert S.consistency({"x": rows.limit(0)}, [1.0, 0.0]).head().asDict() == {"evidence": 0, "score": 1.0, "label": "consistent"}
 
 
+def test_evidence_is_the_nearest_of_all_sources(rows):
+    sources = {"b": rows, "a": rows}
+    got = [(r["type"], r["id"]) for r in S.consistency_evidence(sources, [1.0, 0.0], k=2, shown=3).collect()]
+    assert got == [("a", 0), ("b", 0), ("a", 1)]
+    assert S.consistency_evidence({"x": rows.limit(0)}, [1.0, 0.0]).collect() == []
+
+
+@pytest.fixture(scope="module")
+def library(spark):
+    """Nested sections of three works; one without a text, one without text and title, one of no known work."""
+    turn = lambda a: [math.cos(a), math.sin(a)]
+    sections = [("W1", "one", "left", "t", turn(0.1)), ("W1 > A", "one", "", "up", turn(0.2)), ("W2", "two", None, None, turn(0.3)), ("W3", "none", "up", "t", turn(0.0)), ("W4", None, "up", "t", turn(0.05))]
+    chunks = [(i, f"W{1 + i % 4}" + (" > A" if i % 8 == 0 else ""), ("one", "two", "none", None)[i % 4], f"author {i % 2}", turn(i / 5)) for i in range(80)]
+    return (
+        spark.createDataFrame(sections, "path string, work_title string, text string, title string, vector array<double>"),
+        spark.createDataFrame(chunks, "id long, section_path string, work_title string, author string, vector array<double>"),
+        spark.createDataFrame([("one", "author 0"), ("one", "author 0"), ("two", "author 1"), ("", "author 0")], "title string, author string"),
+        sections, chunks,
+    )
+
+
+SPOKEN = {"left": [-1.0, 0.0], "up": [0.0, 1.0]}
+
+
+def speak(texts):
+    return np.array([SPOKEN.get(t, [1.0, 1.0]) for t in texts])
+
+
+@pytest.mark.parametrize("author, work", [(None, None), (None, "one"), ("author 0", None), ("author 1", "two"), ("author 1", "one"), ("nobody", None)])
+def test_sections_probed_with_their_texts_against_brute_force(library, author, work):
+    sections, chunks, works, s_rows, c_rows = library
+    query, limit = [1.0, 0.0], 10
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    near = sorted(s_rows, key=lambda s: (-cos(s[4], query), s[0]))[:4]
+    if author or work:
+        titles = {t for t, a in (("one", "author 0"), ("two", "author 1")) if work in (None, t) and author in (None, a)}
+        near = [s for s in near if s[1] in titles]
+    want = []
+    for path, _, text, title, _ in near:
+        probe = SPOKEN[text] if text else SPOKEN[title] if title else query
+        mine = [(cos(c[4], probe), c[0]) for c in c_rows if c[1].startswith(path) and work in (None, c[2]) and author in (None, c[3])]
+        want += [(-round(x, 9), path, i) for x, i in sorted(mine, key=lambda p: (-p[0], p[1]))[: max(3, limit // len(near))]]
+    got = S.hierarchical(sections, chunks, query, 4, limit, works, author, work, embed=lambda df, text, name: P.embedded(df, text, speak, name=name)).collect()
+    assert sorted((-round(r["similarity"], 9), r["path"], r["id"]) for r in got) == sorted(want)
+    assert [r["similarity"] for r in got] == sorted((r["similarity"] for r in got), reverse=True)
+
+
+def test_filters_need_works(library):
+    with pytest.raises(ValueError):
+        S.hierarchical(*library[:2], [1.0, 0.0], 4, 10, author="author 0")
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, b array<double>")
     a, b = F.col("a"), F.col("b")
