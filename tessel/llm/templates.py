@@ -3,12 +3,13 @@
 Tokens are a page's elements, named by their path of tags (boxes of one kind in one parent
 by their number too), and the words between two tags.
 Tokens of a host that occur equally often on each of its pages (equal occurrence vectors)
-form a class. A class is valid if its tokens keep their order on all its pages; valid classes
-that stand once a page nest, by the elements that hold them, into the host's template. Its
-slots are what those elements hold beside words that are the same on every page. From the
-root, the slot that holds most of the varying unlinked text is followed down to the article;
-names of elements only mark what lies inside or beside it, and decide alone where a host
-shows no template.
+form a class. A class is valid if its elements stand once a page and either follow the same
+element on all of them or are two at least; valid classes nest, by the elements that hold
+them, into the host's template. Its slots are what those elements hold beside words that are
+the same on every page. From the root, the slot that holds most of the varying unlinked text
+is followed down to the article. Names of elements mark what lies inside or beside it; where
+the article itself has such a name, the template overrules it. Names decide alone where a
+host shows no template.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tessel.llm.common import BROADCAST_LIMIT, materialize, mix64, small_enough,
 SALTS = 64
 #: Share of its surroundings' varying text from which a slot is followed.
 FOLLOW = 0.6
+#: The same, for a slot to overrule its own name although an element with an article's name varies too.
+FIRM = 0.9
 #: Share of a slot's characters inside links from which it is navigation.
 LINKS = 0.6
 
@@ -48,7 +51,8 @@ _CLOSES = {k: frozenset(v.split()) for k, v in _CLOSES.items()}
 _SCOPES = frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote".split())
 
 _DROP_TAGS = frozenset("head nav footer aside form button select dialog menu object audio video canvas fieldset".split())
-_DROP_NAMES = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|sidebar|side-bar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|topbar|toolbar|comment|comments|reply|replies|disqus|discussion|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|search|pagination|pager|widget|copyright)(?:$|[-_ \ds])", re.I)
+_DROP_NAMES = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|sidebar|side-bar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|topbar|toolbar|comment|comments|reply|replies|disqus|discussion|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|search|pagination|pager|widget|copyright)(?=$|[-_ \ds])", re.I)
+_COMMENTS = re.compile("comment|repl|disqus|discussion", re.I)
 _MAIN = frozenset(("article", "main"))
 _MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|articlebody|main|content|entry|post|story)(?:$|[-_ ])", re.I)
 
@@ -178,106 +182,161 @@ def _count_tokens(batches):
         yield pa.RecordBatch.from_arrays(arrays, names=[x.split(" ")[0] for x in _TOKENS.split(", ")])
 
 
-def _by_name(label: str, in_main: bool) -> str | None:
-    """'drop' or 'main' where an element's own name says so; in_main: it stands inside an article or main."""
+def _drop_words(label: str) -> frozenset[str]:
+    """The words of an element's class, id and role that mark what is no article."""
+    names = label.partition(".")[2]
+    return frozenset(w.lower().strip("-_ ") for w in _DROP_NAMES.findall(names)) if names else frozenset()
+
+
+def _by_name(label: str, in_main: bool, excused: frozenset[str] = frozenset()) -> str | None:
+    """'drop' or 'main' where an element's own name says so; in_main: it stands inside an article or main; excused: words that name the article itself."""
     name, _, names = label.partition(".")
-    found = _DROP_NAMES.search(names) if names else None
     # an article's own header holds its title
-    own = found and "header" in found[0].lower() and (in_main or _MAIN_NAMES.search(names))
-    if name in _DROP_TAGS or (found and not own) or (name == "header" and not in_main):
+    own = {"header"} if in_main or (names and _MAIN_NAMES.search(names)) else set()
+    if name in _DROP_TAGS or (names and _drop_words(label) - excused - own) or (name == "header" and not in_main):
         return "drop"
     return "main" if name in _MAIN or (names and _MAIN_NAMES.search(names)) else None
 
 
+def _overruled(rows: dict, order: list[int], slots: set[int], above: dict[int, int], box) -> int | None:
+    """The slot whose drop name the template contradicts: it holds FOLLOW of the text that varies on its pages.
+
+    order: elements, parents first; above: the topmost dropped element of those below one.
+    Text counts for the slot that holds it, on the pages of a candidate's own class and on
+    all pages of the host. Readers' comments vary too: their name holds unless nothing else
+    varies.
+    """
+    most = max(r.pages for r in rows.values())
+    free: Counter = Counter()  # by class: varying unlinked characters a page outside named elements
+    telling: Counter = Counter()  # of them, in elements with an article's name
+    held: Counter = Counter()
+    slot_of: dict[int, int] = {}
+    inside_main: set[int] = set()
+    for path in order:
+        r = rows[path]
+        slot_of[path] = path if path in slots and box(path) else slot_of.get(r.parent, path)
+        if r.parent in inside_main or _by_name(r.label, False) == "main":
+            inside_main.add(path)
+        varying = 0 if r.said_lo == r.said_hi else max(0, r.chars - r.linked - r.fixed)
+        if path in above:
+            held[above[path]] += varying
+            continue
+        slot = rows[slot_of[path]]
+        free[slot.pages, slot.vector] += varying / slot.pages
+        if path in inside_main:
+            telling[slot.pages, slot.vector] += varying / slot.pages
+    everywhere = lambda sums: sum(n for (pages, _), n in sums.items() if pages == most)
+    best, most_held = None, 0.0
+    for path, chars in held.items():
+        r = rows[path]
+        if path not in slots or not box(path) or r.label.partition(".")[0] in _DROP_TAGS or r.label.partition(".")[0] == "header":
+            continue
+        here, key = chars / r.pages, (r.pages, r.vector)
+        beside = everywhere(free) + (free[key] if r.pages < most else 0)
+        named = everywhere(telling) + (telling[key] if r.pages < most else 0)
+        comments = any(_COMMENTS.match(w) for w in _drop_words(r.label))
+        share = FIRM if named else FOLLOW
+        if here > most_held and (beside == 0 if comments else here >= share * (here + beside)):
+            best, most_held = path, here
+    return best
+
+
 def deduce(tokens: pd.DataFrame) -> dict[int, str]:
-    """The template of one host: path id -> 'main' for slots that hold its article, 'drop' for those of mere template.
+    """The template of one host: path id -> 'main' for slots that hold its article, 'keep' for
+    those whose names the template overrules on the way to it, 'drop' for those of mere template.
 
-    tokens: one row a path on two pages or more: path, parent, label (null: words), times,
-    pages, vector, before_lo, before_hi, chars, linked, said_lo, said_hi.
+    tokens: one row an element on two pages or more: path, parent, label, times, pages,
+    vector, before_lo, before_hi, chars, linked, said_lo, said_hi, fixed (characters of the
+    words that stand in it on all its pages).
     """
     rows = {r.path: r for r in tokens.itertuples()}
     classes: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+    children: dict[int, list[int]] = defaultdict(list)
     for r in rows.values():
         classes[r.pages, r.times, r.vector].append(r.path)
-    most = max((r.pages for r in rows.values()), default=0)
-    # words on all the pages on which their element stands are the template's own
-    fixed: Counter = Counter()
-    slots: set[int] = set()
-    for (pages, times, _), members in classes.items():
-        for path in members:
+        children[r.parent].append(r.path)
+    if max((r.pages for r in rows.values()), default=0) < 2:
+        return {}
+    slots = {p for (pages, times, _), members in classes.items() for p in members if times == pages and (rows[p].before_lo == rows[p].before_hi or len(members) > 1)}
+    roots = [p for p, r in rows.items() if r.parent not in rows]
+
+    def box(path: int) -> bool:
+        name = rows[path].label.partition(".")[0]
+        return name not in _INLINE and name not in _BLOCKS
+
+    overruled: set[int] = set()
+    while True:
+        order: list[int] = []
+        above: dict[int, int] = {}  # below a dropped element: the topmost one
+        excused: dict[int, frozenset[str]] = {}
+        in_main: dict[int, bool] = {}
+        todo = list(roots)
+        while todo:
+            path = todo.pop()
+            order.append(path)
             r = rows[path]
-            if not isinstance(r.label, str):
-                above = rows.get(r.parent)
-                if above is not None and pages == above.pages and times >= pages:
-                    fixed[r.parent] += r.chars
-            elif times == pages and (r.before_lo == r.before_hi or sum(isinstance(rows[p].label, str) for p in members) > 1):
-                slots.add(path)
-    children: dict[int, list[int]] = defaultdict(list)
+            words, inside = excused.get(r.parent, frozenset()), in_main.get(r.parent, False)
+            if path in overruled:
+                words |= _drop_words(r.label)
+            excused[path], in_main[path] = words, inside or r.label.partition(".")[0] in _MAIN
+            if r.parent in above:
+                above[path] = above[r.parent]
+            elif _by_name(r.label, inside, words) == "drop":
+                above[path] = path
+            todo += children[path]
+        more = _overruled(rows, order, slots, above, box)
+        if more is None:
+            break
+        overruled.add(more)
     mass: Counter = Counter()
     linked: Counter = Counter()
     size: Counter = Counter()
-    dropped: set[int] = set()
-    order: list[int] = []
-    for r in rows.values():
-        if isinstance(r.label, str):
-            children[r.parent].append(r.path)
-    todo = [p for p, r in rows.items() if isinstance(r.label, str) and (r.parent not in rows)]
-    in_main = dict.fromkeys(todo, False)
-    while todo:
-        path = todo.pop()
-        order.append(path)
-        r = rows[path]
-        if _by_name(r.label, in_main[path]) == "drop":
-            dropped.add(path)
-            continue
-        for child in children[path]:
-            in_main[child] = in_main[path] or r.label.partition(".")[0] in _MAIN
-            todo.append(child)
     for path in reversed(order):  # below each element: varying unlinked characters, all and linked ones
         r = rows[path]
-        if path not in dropped:
-            mass[path] += 0 if r.said_lo == r.said_hi else max(0, r.chars - r.linked - fixed[path])
+        if path not in above:
+            mass[path] += 0 if r.said_lo == r.said_hi else max(0, r.chars - r.linked - r.fixed)
             size[path] += r.chars
             linked[path] += r.linked
             for total in (mass, size, linked):
                 total[r.parent] += total[path]
-    roles: dict[int, str] = {}
-
-    def box(path: int) -> bool:
-        name = rows[path].label.partition(".")[0]
-        return name not in _INLINE and name not in _BLOCKS
-
+    roles = dict.fromkeys(overruled, "keep")
     # follow the slot with most of the varying text; other layouts of the host have slots of their own
-    todo = [p for p in order if rows[p].parent not in rows and p not in dropped and p in slots]
+    todo = [p for p in roots if p not in above and p in slots]
+    found = False
     while todo:
         path = todo.pop()
         here = mass[path] / rows[path].pages
-        down = [c for c in children[path] if c in slots and c not in dropped and box(c) and here and mass[c] / rows[c].pages >= FOLLOW * here]
+        down = [c for c in children[path] if c in slots and c not in above and box(c) and here and mass[c] / rows[c].pages >= FOLLOW * here]
         todo += down
         if mass[path] and not any(rows[c].pages == rows[path].pages for c in down):
             roles[path] = "main"
+            found = True
     # what an article's element holds beside it: constant or linked boxes
     for path in order:
-        if path in dropped or path in roles or path not in slots or not box(path) or not size[path]:
+        if path in above or path in roles or path not in slots or not box(path) or not size[path]:
             continue
-        if (mass[path] == 0 and roles) or linked[path] > LINKS * size[path]:
+        if (mass[path] == 0 and found) or linked[path] > LINKS * size[path]:
             roles[path] = "drop"
-    return roles if most > 1 else {}
+    return roles
 
 
 def main_text(page: str | None, roles: dict[int, str]) -> str:
     """The page's article under a template.
 
-    Outside the template's article everything goes; inside it, elements that their names or
-    the template drop. Pages without the template's slots are read by names alone.
+    Outside the template's article everything goes; inside it, elements that the template or,
+    where it is silent, their names drop. Pages without the template's slots are read by names alone.
     """
     elements, nodes = parse(page)
     known = any(roles.get(path) == "main" for path, _, _ in elements)
     own: list[str] = []
     in_main: list[bool] = []
+    excused: list[frozenset[str]] = []
     for path, parent, label in elements:
-        above, inside = (own[parent], in_main[parent]) if parent >= 0 else ("keep", False)
-        named = _by_name(label, inside)
+        above, inside, words = (own[parent], in_main[parent], excused[parent]) if parent >= 0 else ("keep", False, frozenset())
+        if roles.get(path) in ("main", "keep"):
+            words |= _drop_words(label)
+        excused.append(words)
+        named = _by_name(label, inside, words)
         if above == "drop" or named == "drop" or roles.get(path) == "drop":
             role = "drop"
         else:
@@ -307,7 +366,7 @@ def extract(pages: DataFrame) -> DataFrame:
     elements. Null and empty pages give an empty text, pages without url share the empty
     host. Repeated rows give equal texts and change no template but by their number; elements
     may be unclosed or nested to any depth, attributes malformed. A host's pages are counted
-    where they are read, so one task gets no more of a host than its shared tokens. Templates of all hosts are broadcast where they
+    where they are read, so one task gets no more of a host than its shared elements. Templates of all hosts are broadcast where they
     measure less than BROADCAST_LIMIT; beyond it they join the pages in SALTS copies a host.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
@@ -316,8 +375,18 @@ def extract(pages: DataFrame) -> DataFrame:
         F.first("parent").alias("parent"), F.first("label").alias("label"), F.sum("times").alias("times"), F.count(F.lit(1)).alias("pages"), F.sum("vector").alias("vector"),
         F.min("before").alias("before_lo"), F.max("before").alias("before_hi"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("said").alias("said_lo"), F.max("said").alias("said_hi"),
     )
-    # a token of a single page has no template to be part of
-    shared = tokens.where("pages > 1")
+    # A token of a single page has no template to be part of. An element stands on all pages of
+    # its words, so words of its highest count of pages are those that stand in it everywhere;
+    # they are summed here, and only elements meet by host.
+    word = F.col("label").isNull()
+    element = F.struct(*[c for c in tokens.columns if c not in ("host", "pages")])
+    by_pages = (
+        tokens.where("pages > 1")
+        .groupBy("host", F.when(word, F.col("parent")).otherwise(F.col("path")).alias("at"), "pages")
+        .agg(F.sum(F.when(word & (F.col("times") >= F.col("pages")), F.col("chars"))).alias("fixed"), F.max(F.when(~word, element)).alias("element"))
+    )
+    shared = by_pages.groupBy("host", "at").agg(F.max(F.struct("pages", "fixed", "element")).alias("most")).where("most.element is not null")
+    shared = shared.select("host", "most.element.*", "most.pages", F.coalesce("most.fixed", F.lit(0)).alias("fixed"))
 
     def per_host(key, frame: pd.DataFrame) -> pd.DataFrame:
         roles = deduce(frame)

@@ -187,6 +187,33 @@ def test_articles_without_telling_names(spark):
         assert {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages * 2, schema)).collect()} == texts
 
 
+_NAMED_PAGE = "<html><body><div class='top'><h1>Our house</h1></div>{3}<div class='{2}'>{4}</div><div class='end'><p>All rights are kept by us</p></div></body></html>"
+
+
+@pytest.mark.parametrize("name", ["menu", "related", "related-topics", "notice board", "sidebar", "discussion"])
+def test_the_template_overrules_names(spark, name):
+    schema = "page_id long, url string, html string"
+    words = {i: " ".join(f"w{i}x{j}" for j in range(30 + i)) for i in range(12)}
+    dish = "<div class='{0}-item'><h2>Dish {1}</h2><p>{2}</p></div><div class='{0}-item'><p>Also {2}</p></div>"
+    plain = [(i, f"http://one.org/{i}", _NAMED_PAGE.format(0, 0, name, "", f"<h2>Dish {i}</h2><p>{words[i]}</p>")) for i in words]
+    inner = [(i + 100, f"http://two.org/{i}", _NAMED_PAGE.format(0, 0, name, "", dish.format(name.split(" ")[0], i, words[i]))) for i in words]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(plain + inner, schema)).collect()}
+    assert got == {i: f"Dish {i}\n\n{words[i]}" for i in words} | {i + 100: f"Dish {i}\n\n{words[i]}\n\nAlso {words[i]}" for i in words}
+
+
+def test_names_hold_beside_an_article(spark):
+    """Comments longer than the article, a varying side column, and a second layout of one host."""
+    words = {i: " ".join(f"w{i}x{j}" for j in range(30 + i)) for i in range(24)}
+    long = {i: " ".join(f"c{i}y{j}" for j in range(400)) for i in words}
+    story = "<div class='{0}'><h2>Title {1}</h2><p>{2}</p></div>"
+    pages = [(i, f"http://one.org/{i}", _NAMED_PAGE.format(0, 0, "comments", story.format("box", i, words[i]), f"<p>{long[i]}</p>")) for i in words]
+    pages += [(i + 100, f"http://two.org/{i}", _NAMED_PAGE.format(0, 0, "sidebar", story.format("story", i, words[i]), f"<p>{words[i]} {words[i]}</p>")) for i in words]
+    # one layout has its articles in "box", another, fewer, in "menu"
+    pages += [(i + 200, f"http://three.org/{i}", _NAMED_PAGE.format(0, 0, "box" if i % 3 else "menu", "", f"<h2>Title {i}</h2><p>{words[i]}</p>")) for i in words]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i + add: f"Title {i}\n\n{words[i]}" for i in words for add in (0, 100, 200)}
+
+
 def test_malformed_and_deep_pages(spark):
     deep = "<div>" * 10_000 + "<p>at the bottom"
     rows = [(1, "http://a.org/1", deep), (2, "http://b.org/1", "<p title=it's>one<p class='x>two</p>"), (3, "http://c.org/1", "</p>" * 5000 + "<b>x</b>" + "<i>" * 5000 + "y"), (4, "http://d.org/1", "a < b and c > d <p data-x=\"a>b\" y>z</p>"), (5, "http://e.org/1", "<p>" + "word " * 200_000)]
