@@ -17,6 +17,10 @@ from tessel.llm.common import let, materialize, table
 
 #: A run of 16 or more token characters with a digit, read once from its start.
 CORE = r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*[0-9])[A-Za-z0-9+/_=~-]{16,}"
+#: A whole run of 16 or more of these characters without a digit; a candidate behind a key's name or a provider's prefix.
+LETTERS = r"(?<![A-Za-z0-9+/_=~-])[A-Za-z+/_=~-]{16,}(?![A-Za-z0-9+/_=~-])"
+#: A key's name and the sign that assigns it.
+KEY_NAME = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|bearer|credential)s?[\"'`]?\s*(?:[=:]\s*[\"'`(]*|\s)"
 #: A value of six or more characters assigned to a password.
 ASSIGNED = r"(?i)(?:passw(?:or)?d|secret|pwd)[\"']?\s*[=:]\s*[\"']?\S{6,}"
 PASSWORD_CUE = r"(?i)(?:passw(?:or)?d|secret|pwd)"
@@ -33,6 +37,9 @@ BENIGN_CUES = r"(?i)(?:commit|sha\d*|md5|digest|checksum|hash|uuid|guid|etag|rev
 PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|glpat-|npm_|SG\.|hf_)"
 TEST_PATH = r"(?i)(?:test|example|sample|mock|fixture|demo|docs?/|readme)"
 
+#: Texts in which LETTERS may find a candidate.
+LETTERED = KEY_NAME + r"[A-Za-z+/_=~-]{16,}|(?-i)(?<![A-Za-z0-9+/_=~-])(?:" + PREFIXES.removeprefix("^(?:") + r"[A-Za-z+/_=~-]{10,}"
+
 #: A private key's whole block, which may run over many lines.
 KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 
@@ -69,14 +76,15 @@ def with_candidates(docs: DataFrame, path: str | None = "source", carry: Column
     """(doc_id, word_no, core, before, after, path, carried) of every candidate of every whole text.
 
     word_no counts white-space separated words from 0. A word gives every run that CORE
-    finds in it, the value of a run that is an assignment, and each password that is assigned
+    finds in it, those without a digit that LETTERS finds behind a key's name or with a
+    provider's prefix, the value of a run that is an assignment, and each password that is assigned
     in it or before it; a private key's block over several lines is a candidate as a whole,
     at its first word. Null and empty texts have none. path names the column that says where
     a document comes from; missing or null is empty.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.alias("path"), (F.lit(None).cast("string") if carry is None else carry).alias("carried"))
-    rows = rows.where(F.col("text").rlike(CORE) | F.col("text").rlike(ASSIGNED) | F.col("text").contains("-----BEGIN "))
+    rows = rows.where(F.col("text").rlike(CORE) | F.col("text").rlike(ASSIGNED) | F.col("text").rlike(LETTERED) | F.col("text").contains("-----BEGIN "))
     place = lambda at: (F.size(F.split(F.substring("text", F.lit(1), at), r"\s+")) - 1).cast("long")
     lead = lambda at: F.substring("text", F.greatest(at - 40, F.lit(1)), F.least(at - 1, F.lit(40)))
     blocks = F.transform(_placed(F.col("text"), KEY_BLOCK), lambda c: F.struct(place(c["at"]).alias("word_no"), c["core"].alias("core"), lead(c["at"]).alias("before"), F.lit("").alias("after")))
@@ -86,11 +94,15 @@ def with_candidates(docs: DataFrame, path: str | None = "source", carry: Column
     none = F.array().cast("array<struct<at:int,core:string>>")
 
     def look(w: Column, i: Column) -> Column:
-        runs = let(_placed(w, CORE), lambda f: F.concat(f, F.filter(_values(F.filter(f, lambda c: c["core"].rlike(KEYED)), KEYED), lambda c: c["core"].rlike(CORE))))
+        # the slashes of an address are not its value's
+        runs = let(_values(_placed(w, CORE), "^//+"), lambda f: F.concat(f, F.filter(_values(F.filter(f, lambda c: c["core"].rlike(KEYED)), KEYED), lambda c: c["core"].rlike(CORE))))
+        lead = lambda c: F.concat_ws(" ", near(i), F.substring(w, F.lit(1), c["at"] - 1))
+        bare = let(_placed(w, LETTERS), lambda f: F.concat(f, _values(F.filter(f, lambda c: c["core"].rlike(KEYED)), KEYED)))
+        bare = F.filter(bare, lambda c: (F.length(c["core"]) >= 16) & (c["core"].rlike(PREFIXES) | lead(c).rlike(KEY_NAME + "$")))
         inside = _values(_placed(w, WITHIN), "^" + _NAMED, r"[\"'`,;.)\]}]+$")
         password = (F.length(w) >= 6) & F.get("words", i - 1).rlike(r"[=:][\"']?$") & near(i).rlike(PASSWORD_CUE)
         whole = let(F.regexp_replace(w, r"^[\"'`(]+|[\"'`,;.)]+$", ""), lambda core: F.array(F.struct(F.call_function("locate", core, w).alias("at"), core.alias("core"))))
-        found = F.concat(F.when(w.rlike(CORE), runs).otherwise(none), F.when(w.rlike(WITHIN), inside).otherwise(none), F.when(password, whole).otherwise(none))
+        found = F.concat(F.when(w.rlike(CORE), runs).otherwise(none), F.when(w.rlike(LETTERS), bare).otherwise(none), F.when(w.rlike(WITHIN), inside).otherwise(none), F.when(password, whole).otherwise(none))
         found = F.filter(F.array_distinct(found), lambda c: F.length(c["core"]) >= 6)
         return F.transform(found, lambda c: F.struct(i.cast("long").alias("word_no"), c["core"].alias("core"), F.concat_ws(" ", near(i), F.substring(w, F.lit(1), c["at"] - 1)).alias("before"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))
 
@@ -138,6 +150,9 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
     numbers. What a value is decides its label; its surroundings do not: of the shaped keys
     and blocks every second stands behind plain words, and of the harmless kinds that show
     what they are (names, placeholders, numbers, identifiers) every third behind a secret's cue.
+    Paths are drawn without regard to the label. A fourth of the keys and of the base64
+    values, and a third of the names, have letters alone; some of those names are made of
+    syllables, which no dictionary lists.
     """
     draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "id")
     pick = lambda k, options: F.element_at(F.array(*[F.lit(o) for o in options]), F.pmod(draw(k), F.lit(len(options))).cast("int") + 1)
@@ -149,7 +164,10 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
     name = lambda k: F.concat(pick(f"{k}a", DICTIONARY[:40]), pick(f"{k}s", ["_", "-", "/", ""]), pick(f"{k}b", DICTIONARY[40:]), pick(f"{k}t", ["_", "-", "/", ""]), pick(f"{k}c", DICTIONARY[20:60]))
     cue = F.concat(pick("w", ["the", "set", "export", "of", "and", "with"]), F.lit(" "), pick("c", ["token", "secret", "api_key", "apikey", "password", "auth_token", "access_key", "client_secret"]), pick("o", [" = \"", "=", ": ", "=\"", " = '", ": \"", " = "]))
     plain = F.concat(pick("w", ["the", "see", "from", "in", "at", "on"]), F.lit(" "), pick("p", ["commit ", "sha256: ", "uuid=", "file ", "path=", "version ", "build ", "image ", "order ", "the ", "and ", "id: ", "checksum "]))
+    syllables = ("ba", "con", "ter", "mi", "lo", "sta", "ren", "da", "vel", "po", "sin", "tra", "me", "fal", "go", "nu")
+    invented = F.concat_ws("_", *[F.concat(*[pick(f"i{g}{n}", syllables) for n in range(4)]) for g in range(2)])
     kind = F.pmod(draw("kind"), F.lit(15))
+    lettered = F.pmod(draw("lettered"), F.lit(12))
     core = (
         F.when(kind == 0, F.concat(pick("x", ["AKIA", "ASIA"]), F.upper(alnum("a", 16))))
         .when(kind == 1, F.concat(pick("x", ["ghp_", "gho_", "ghs_"]), alnum("a", 36)))
@@ -165,6 +183,10 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
         .when(kind == 13, F.concat(name("n"), F.lit("/"), name("m"), F.lit("2")))
         .otherwise(F.concat(F.lit("-----BEGIN "), pick("x", ["RSA ", "EC ", ""]), F.lit("PRIVATE KEY-----\n"), b64("a", 60), F.lit("\n"), b64("c", 60), F.lit("\n-----END RSA PRIVATE KEY-----")))
     )
+    core = let(core, lambda c: F.when(kind.isin(0, 1, 2, 5) & (F.pmod(lettered, F.lit(4)) == 0), F.translate(c, "0123456789", "gKmQrTvWyZ"))
+        .when(kind.isin(10, 13) & (F.pmod(lettered, F.lit(6)) == 0), invented)
+        .when(kind.isin(10, 11, 13) & (F.pmod(lettered, F.lit(3)) == 0), F.regexp_replace(c, "[-_/]?[0-9]+", ""))
+        .otherwise(c))
     secret = (kind <= 6) | (kind == 14)
     label = secret.cast("double")
     turn = lambda n: F.pmod(draw("turn"), F.lit(n)) == 0
@@ -174,7 +196,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
         core.alias("core"),
         F.when(secret_like, cue).otherwise(plain).alias("before"),
         pick("after", ["", "the", "and", ";", "#", "of", "that"]).alias("after"),
-        F.when(F.pmod(draw("path"), F.lit(4)) == 0, F.when(label == 1, F.lit("src/app/settings.py")).otherwise(F.lit("tests/fixtures/sample.json"))).otherwise(F.concat(F.lit("src"), F.pmod(draw("pp"), F.lit(20)).cast("string"))).alias("path"),
+        F.when(F.pmod(draw("path"), F.lit(4)) == 0, pick("pf", ["src/app/settings.py", "tests/fixtures/sample.json", "docs/readme.md", "deploy/prod.env"])).otherwise(F.concat(F.lit("src"), F.pmod(draw("pp"), F.lit(20)).cast("string"))).alias("path"),
         label.alias("label"),
     )
     return rows_
