@@ -1,18 +1,21 @@
 """Personal data by weak supervision.
 
-Labelers of three families vote on candidate spans: regular expressions (the strict shape),
-gazetteers (known suffixes, prefixes, titles) and contexts (cue words before the span), and
-a checksum labeler where the kind has one. Expectation-maximisation estimates each labeler's
-reliability from agreements alone, and its posteriors train a logistic span classifier.
+Labelers of three families vote for or against candidate spans: regular expressions (the
+shape), gazetteers (given names, places and months, suffixes, lengths by country) and contexts
+(the cue nearest to the span, before or behind it), and a check of sums, ranges or invented
+names. Expectation-maximisation estimates each labeler's reliability by kind from agreements,
+leaning on what the labeler is by nature, and its posteriors train a logistic span classifier.
 
 Both work on counts of distinct (kind, votes, shape) patterns over all spans of the corpus,
-of which there are a few hundred whatever its size.
+of which there are at most some ten thousand whatever its size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,7 @@ from tessel.llm.common import materialize
 #: Kinds in output order; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "person", "iban", "national_id")
 BASE = KINDS[:4]
-#: Labelers: strict shape, gazetteer, context, checksum.
-LABELERS = 4
-#: Posterior from which a span that is no base span is reported.
+#: Probability from which a span that is no base span, and for which shape, gazetteer or context speaks, is reported.
 ACCEPT = 0.5
 #: Characters before a span in which cue words count.
 NEAR = 40
@@ -45,26 +46,67 @@ _WIDE = {
     "national_id": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
 }
-_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Sr|Sra)\.? [A-ZÀ-Þ][a-zß-ÿ]+(?: [A-ZÀ-Þ][a-zß-ÿ]+)?")
-
-_GAZETTEER = {
-    "email": frozenset(("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")),
-    "phone": frozenset(("1", "33", "34", "44", "49")),
-    "ip": frozenset(("10", "127", "172", "192")),
-    "card": frozenset(("3", "4", "5", "6")),
-    "person": frozenset(("Dr", "Prof", "Mr", "Mrs", "Ms", "Herr", "Frau", "Monsieur", "Madame")),
-    "iban": frozenset(("DE", "FR", "ES", "GB", "NL", "IT", "BE", "AT", "CH")),
-    "national_id": frozenset(),
-}
+def _plain(word: str) -> str:
+    """The word without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+# fixed values: words that decide votes
+_TITLES = frozenset("Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Sr Sra".split())
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
+#: A run of capitalised words; only titles and initials have a full stop inside.
+_CAPITALS = re.compile(rf"\b(?:(?:{'|'.join(sorted(_TITLES, reverse=True))})\.? )?{_CAPITAL}(?: (?:[A-ZÀ-ÖØ-Þ]\. )?{_CAPITAL})*")
+#: Capitalised words that stand before a name and are no part of it.
+_LEADS = frozenset("Dear Hello Hi The A An I My From By Signed Name Patient Contact Regards Sincerely Thanks Hallo Liebe Lieber Cher Chère Hola Estimado Estimada And But When Then With In On At For To Of This That Is Was Ask Call Meet".split())
+_GIVEN = frozenset(
+    "Adam Alan Albert Alexander Alice Amanda Amy Ana André Andrea Andrew Angela Anna Anne Anthony Antonio Barbara Benjamin Bernd Betty Brian Carl Carla Carlos Carmen Carol Caroline Catherine Charles Charlotte Chloé Chris Christian Christine Christopher Claire Claudia Claus Cristina Daniel David Deborah Diana Diego Donald Dorothy Edward Elena Elizabeth Emily Emma Eric Erika Eva Felix Fernando Francisco Frank François Fritz Gabriel George Gerhard Grace Günter Hannah Hans Heinrich Helen Helga Henry Ingrid Isabel Jack Jacob Jacques James Jan Jane Javier Jean Jennifer Jessica Joan John Jonathan Jorge José Joseph Juan Julia Julie Jürgen Karen Karl Katharina Kevin Klaus Laura Lena Lisa Louis Lucía Luis Manuel Margaret María Marie Mark Markus Martha Martin Mary Matthew Michael Michel Monika Nancy Nicolas Nicole Olivia Otto Pablo Patricia Patrick Paul Pedro Peter Philip Pierre Rachel Ralph Rebecca Richard Robert Rosa Ruth Samuel Sandra Sarah Sofia Sophie Stefan Stephen Susan Sven Thomas Ursula Victor Walter William Wolfgang".split()
+)
+#: Months, days, places, institutions and the like: a run with one of them is no person.
+_NO_NAMES = frozenset(
+    "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday Street Avenue Road Square Park Bridge River Lake Mount Mountain Island Bay Hill Valley City County State States Kingdom Republic Union Europe America Africa Asia North South East West New York London Paris Berlin Madrid Angeles Francisco University College School Institute Hospital Museum Library Church Company Bank Inc Corp Ltd Group Press Court Council Committee Ministry Department Office House Hall Station Airport Theatre League Cup Prize Award Day War World Act Law Windows Linux Google Python Spark".split()
+)
+#: Invented or proverbial bearers of a title or name.
+_INVENTED = frozenset("Bean Dalloway House Who Watson Holmes Darcy Bennet Jekyll Hyde Frankenstein Strange Evil Spock Potter Bond Batman Doubtfire Robinson Pepper Fox Claus".split()) - _GIVEN
+
+_SUFFIXES = frozenset("com org net edu gov io de fr es uk eu info at ch nl it be".split())
+_COUNTRIES = frozenset(("1", "33", "34", "44", "49"))
+#: Letters and digits of an account number by country.
+_IBAN = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 _CUES = {
-    "email": re.compile(r"e-?mail|contact|write|courriel|correo|kontakt", re.I),
-    "phone": re.compile(r"phone|call|tel|mobile|fax|anruf|appel|llam", re.I),
-    "ip": re.compile(r"\bip\b|host|server|address|login", re.I),
-    "card": re.compile(r"card|visa|pay|credit|karte|carte|tarjeta", re.I),
-    "person": re.compile(r"name|dear|contact|signed|patient", re.I),
-    "iban": re.compile(r"iban|account|bank|konto|compte|cuenta", re.I),
-    "national_id": re.compile(r"ssn|social|national|security", re.I),
+    "email": r"e-?mail|contact|write|reach|courriel|correo|kontakt",
+    "phone": r"phone|call|tel|mobile|fax|reach|anruf|appel|llam",
+    "ip": r"\bip\b|host|server|address|login",
+    "card": r"card|visa|pay|credit|karte|carte|tarjeta",
+    "person": r"\bname\b|\bdear\b|contact|signed|patient|regards|sincerely|i am|i'm|my (?:friend|wife|husband|boss|doctor)|nombre|\bnom\b",
+    "iban": r"iban|account|bank|transfer|konto|compte|cuenta",
+    "national_id": r"\bssn\b|social|security|national id|taxpayer",
+}
+#: Cues against: what such digits and capitals mean elsewhere.
+_NUMBERED = r"order|invoice|part|item|ref(?:erence)?\b|tracking|serial|model|isbn|issn|version|ticket|sku|catalog|article|lot\b|batch"
+_AGAINST = {
+    "email": r"variable|function|located|symbol|syntax",
+    "phone": _NUMBERED,
+    "ip": r"version|section|chapter",
+    "card": _NUMBERED,
+    "person": r"novel|film|movie|series|character|episode|starring|fiction|city of|battle of|university of|street|published by|company|\bband\b|\bmount\b",
+    "iban": _NUMBERED + r"|code|licen[cs]e|product",
+    "national_id": _NUMBERED,
 }
+_GIVEN_PLAIN = frozenset(_plain(w) for w in _GIVEN)
+_NEAREST = {k: re.compile(f"({_CUES[k]})|({_AGAINST[k]})", re.I) for k in KINDS}
+_BEHIND = re.compile(r"^,? (?:the (?:character|film|novel|series)|is (?:a|the) (?:film|novel|series|character|city|part)|Street|Avenue|Road|Inc|Ltd|Corp|University)", re.I)
+
+#: What labelers are by nature: their rates of + on positives and on negatives. A check's rate on negatives is
+#: the share of arbitrary digits that pass it; of titled names that are nobody's, four in ten are known inventions.
+NATURE = {"shape": (0.9, 0.45), "gazetteer": (0.85, 0.2), "context": (0.9, 0.1)}
+CHECKS = {"email": 0.5, "ip": 0.5, "card": 0.1, "phone": 0.64, "person": 0.6, "iban": 0.01, "national_id": 0.9}
+#: Votes of each class for which nature counts: these, and this share of all that the labeler casts.
+NATURE_VOTES, NATURE_SHARE = 20.0, 0.5
+
+
+def nature_of(kind: str) -> np.ndarray:
+    """Rates of the kind's labelers by nature, one row each: on positives, on negatives."""
+    return np.array([*NATURE.values(), (0.99, CHECKS[kind])])
 
 
 def luhn(digits: str) -> bool:
@@ -128,36 +170,64 @@ def _candidates(text: str, base: dict[str, list[tuple[int, int]]]):
     if _HINT.search(text):
         wide += ["phone", "national_id", "iban"]
     for kind in wide:
-        held = base.get(kind, [])
+        held = base.get(kind, [])  # in order and disjoint, so only the last that starts before a match's end can meet it
         for m in _WIDE[kind].finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in held):
+            i = bisect_left(held, (m.end(),)) - 1
+            if i < 0 or held[i][1] <= m.start():
                 yield kind, *m.span(), False
-    for m in _TITLED.finditer(text):
-        yield "person", *m.span(), False
-
-
-def _votes(kind: str, span: str, before: str, is_base: bool) -> str:
-    """One sign a labeler: + for personal data, - against, 0 for no opinion."""
+    for m in _CAPITALS.finditer(text):
+        start = m.start()
+        words = m[0].split(" ")
+        while words and words[0].rstrip(".") in _LEADS:
+            start += len(words.pop(0)) + 1
+        if len(words) > 1:
+            yield "person", start, m.end(), False
+
+
+def _nearest(kind: str, before: str, after: str) -> bool | None:
+    """What the cue nearest to the span says; a cue behind the span goes before those in front."""
+    if kind == "person" and _BEHIND.match(after):
+        return False
+    last = None
+    for last in _NEAREST[kind].finditer(before):
+        pass
+    return None if last is None else last[1] is not None
+
+
+def _votes(kind: str, span: str, before: str, after: str, is_base: bool) -> str:
+    """One sign a labeler (shape, gazetteer, context, check): + for personal data, - against, 0 for no opinion."""
+    shape: bool | None = True
     if kind == "email":
-        known = span.rstrip(")] ").replace("]", ".").replace(")", ".").split(".")[-1].strip().lower() in _GAZETTEER[kind]
-        check = None
+        known = re.split(r"[^A-Za-z0-9-]+", span.rstrip(")] "))[-1].lower() in _SUFFIXES
+        shape, check = is_base or None, None
     elif kind == "ip":
         # private and loopback ranges name no person
-        known, check = span.split(".")[0] not in _GAZETTEER[kind], is_base
+        known, check = span.split(".")[0] not in ("10", "127", "172", "192"), is_base
     elif kind == "card":
-        known, check = span[0] in _GAZETTEER[kind], luhn(_digits(span))
+        known, check = span[0] in "3456", luhn(_digits(span))
     elif kind == "phone":
-        known = any(span.startswith("+" + c) for c in _GAZETTEER[kind]) if span[0] == "+" else None
-        check = 8 <= len(_digits(span)) <= 15 if span[0] == "+" else None
+        if span[0] == "+":
+            known, check = any(span.startswith("+" + c) for c in _COUNTRIES), 8 <= len(_digits(span)) <= 15
+        else:  # areas and exchanges start at 2; 555-01.. is kept for fiction
+            d = _digits(span)
+            known, check = None, d[0] in "23456789" and d[3] in "23456789" and d[3:8] != "55501"
     elif kind == "person":
-        known, check = re.split(r"[. ]", span)[0] in _GAZETTEER[kind], None
+        words = [w for w in re.split(r"[ .]+", span) if w]
+        titled = words[0] in _TITLES
+        names = words[titled:]
+        known = False if any(w in _NO_NAMES for w in names) else True if names and _plain(names[0]) in _GIVEN_PLAIN else None
+        # capitals alone say little: a title or an initial speaks for a name, a long run against it
+        shape = False if len(names) > 3 else titled or any(len(w) == 1 for w in names) or None
+        check = not any(w in _INVENTED for w in names) or (len(names) > 1 and known is True)
     elif kind == "iban":
-        known, check = span[:2] in _GAZETTEER[kind], _mod97(span)
+        size = _IBAN.get(span[:2])
+        known, check = None if size is None else len(span.replace(" ", "")) == size, _mod97(span)
     else:
         area, group, serial = span.split("-")
         known, check = None, not (area in ("000", "666") or area >= "900" or group == "00" or serial == "0000")
-    shape = is_base or (kind in ("iban", "national_id", "person") and len(span) > 8) or None
-    cue = True if _CUES[kind].search(before) else None
+    cue = _nearest(kind, before, after)
+    if kind == "person" and cue is None and titled and check:
+        cue = True  # its own title
     return "".join("0" if v is None else "+" if v else "-" for v in (shape, known, cue, check))
 
 
@@ -181,40 +251,50 @@ def _find(batches):
             for kind, s, e, is_base in _candidates(text, base):
                 row[6].append(s)
                 row[7].append(e)
-                row[8].append(f"{kind}|{_votes(kind, text[s:e], text[max(0, s - NEAR) : s], is_base)}|{_shape(text, s, e)}|{'b' if is_base else 'w'}")
+                row[8].append(f"{kind}|{_votes(kind, text[s:e], text[max(0, s - NEAR) : s], text[e : e + NEAR], is_base)}|{_shape(text, s, e)}|{'b' if is_base else 'w'}")
             for col, value in zip(cols, row, strict=True):
                 col.append(value)
         types = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", "starts", "ends", "codes"])
 
 
-def fit_reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, nature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns (rows of +1, -1, 0) weighted by counts.
 
     Returns the patterns' posteriors, each labeler's (hit rate on positives, on negatives)
-    as P(votes + | class, it votes), and the share of positives. Starts from the majority.
+    as P(votes + | class, it votes), and the share of positives. nature: the rates by which
+    the labelers are known, which count for NATURE_VOTES votes of each class and NATURE_SHARE of
+    the labeler's, so that they weigh alike in small and large corpora; without it they are
+    better than chance and no more. Starts from the majority.
     """
     said, plus, w = votes != 0, votes > 0, counts.astype(float)
     post = np.clip(0.5 + votes.sum(axis=1) / (2 * np.maximum(said.sum(axis=1), 1)), 0.1, 0.9)
     rates, prior = np.empty((votes.shape[1], 2)), 0.5
+    leaning = NATURE_VOTES + NATURE_SHARE * (w[:, None] * said).sum(axis=0)
     for _ in range(rounds):
-        prior = float(np.clip((w * post).sum() / max(w.sum(), 1e-9), 0.05, 0.95))
+        heard = w * said.any(axis=1)
+        prior = float(np.clip(((heard * post).sum() + 1) / (heard.sum() + 2), 0.05, 0.95))
         for c, weight in ((0, w * post), (1, w * (1 - post))):
-            # one agreeing and one opposing vote more keep rates off 0 and 1; labelers are better than chance
-            hits = (weight[:, None] * plus).sum(axis=0) + (2 if c == 0 else 1)
-            rate = hits / ((weight[:, None] * said).sum(axis=0) + 3)
-            rates[:, c] = np.maximum(rate, 0.5) if c == 0 else np.minimum(rate, 0.5)
+            # votes beforehand keep rates off 0 and 1
+            known, of = ((2 if c == 0 else 1), 3) if nature is None else (nature[:, c] * leaning, leaning)
+            rate = ((weight[:, None] * plus).sum(axis=0) + known) / ((weight[:, None] * said).sum(axis=0) + of)
+            rates[:, c] = rate
+        if nature is None:
+            rates[:, 0], rates[:, 1] = np.maximum(rates[:, 0], 0.5), np.minimum(rates[:, 1], 0.5)
+        else:  # a vote for is never a sign against
+            rates[:, 0] = np.minimum(np.maximum(rates[:, 0], rates[:, 1] + 0.05), 0.999)
+            rates[:, 1] = np.minimum(rates[:, 1], 0.9)
         like = [np.where(said, np.where(plus, rates[:, c], 1 - rates[:, c]), 1.0).prod(axis=1) for c in (0, 1)]
         post = prior * like[0] / (prior * like[0] + (1 - prior) * like[1])
     return post, rates, prior
 
 
 def _features(codes: list[str]) -> np.ndarray:
-    """One-hot kind, votes, length, neighbours and the base flag of pattern codes."""
+    """One-hot kind, votes by kind, length, neighbours and the base flag of pattern codes."""
     rows = []
     for code in codes:
         kind, votes, shape, base = code.split("|")
-        row = [kind == k for k in KINDS] + [v == s for v in votes for s in "+-"] + [shape[0] == c for c in "01234"] + [shape[i] == c for i in (1, 2) for c in "esap"] + [base == "b", True]
+        row = [kind == k for k in KINDS] + [kind == k and v == s for k in KINDS for v in votes for s in "+-"] + [shape[0] == c for c in "01234"] + [shape[i] == c for i in (1, 2) for c in "esap"] + [base == "b", True]
         rows.append(row)
     return np.array(rows, float).reshape(len(codes), -1)
 
@@ -247,8 +327,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
     if codes:
         counts = np.array([sizes[c] for c in codes])
         votes = np.array([[{"+": 1, "-": -1, "0": 0}[v] for v in c.split("|")[1]] for c in codes])
-        soft, _, _ = fit_reliabilities(votes, counts)
-        accepted = {c: float(p) for c, p in zip(codes, fit_span_classifier(codes, soft, counts), strict=True) if p >= ACCEPT and c.endswith("w")}
+        soft = np.empty(len(codes))
+        of_kind = np.array([c.split("|")[0] for c in codes])
+        for kind in KINDS:
+            at = of_kind == kind
+            if at.any():
+                soft[at], _, _ = fit_reliabilities(votes[at], counts[at], nature=nature_of(kind))
+        accepted = {c: float(p) for c, p in zip(codes, fit_span_classifier(codes, soft, counts), strict=True) if p >= ACCEPT and c.endswith("w") and "+" in c.split("|")[1][:3]}
     order = {k: i for i, k in enumerate(KINDS)}
 
     def report(batches):

@@ -18,7 +18,7 @@ from tessel.llm.components import components, merged
 from tessel.llm.decontamination import op7_simhash_windows
 from tessel.llm.neardup import near_duplicates
 from tessel.llm.packing import WordIds, op10_best_two_fit, pack_lengths, tokenizer_path
-from tessel.llm.pii import BASE, base_spans, fit_reliabilities, op3_weak_supervision
+from tessel.llm.pii import BASE, base_spans, fit_reliabilities, op3_weak_supervision, personal_data
 from tessel.llm.quality_classifier import op4_weak_labels
 from tessel.llm.quality_rules import op1_mcd_outliers, text_statistics
 from tessel.llm.secrets import fit_forest, labelled_findings, redact, scan, with_features
@@ -269,6 +269,42 @@ def test_reliabilities_follow_the_truth():
     assert ((post > 0.5) == truth).mean() > 0.93 and rates[0, 0] > rates[2, 0]
 
 
+_HARMLESS = [
+    "order 321-54-{0} was shipped", "invoice 219-09-{0} is due", "Mr. Bean is funny today", "she read Mrs. Dalloway twice", "an episode of Dr. House", "the novel Anna Karenina is long", "we met on Monday Morning in town",
+    "the Golden Gate Bridge is red", "part number 415 555-01{1} fits", "tracking 415-777-{0} in transit", "product code GB82 WEST 1234 5698 7654 3{1}", "the University Library opened", "a talk on Machine Learning there", "serial 900-12-{0} is worn", "see section Open Source Software",
+]
+_PERSONAL = [
+    ("call me at (415) 777-{0} please", "phone"), ("phone: 212-736-{0} works", "phone"), ("my ssn is 321-54-{0} okay", "national_id"), ("social security number 219-09-{0} was given", "national_id"),
+    ("Dear Anna Schmidt, thanks", "person"), ("my name is John Miller and", "person"), ("Signed Peter Q. Novak", "person"), ("talk to Mrs. Hollander about it", "person"), ("met Dr. Brandt there", "person"),
+    ("write to someone{1} [at] example [dot] org soon", "email"), ("IBAN DE89 3704 0044 0532 0130 00 for the rent", "iban"), ("account GB82 WEST 1234 5698 7654 32 please", "iban"), ("reach Maria Lopez there", "person"),
+]
+
+
+def test_added_spans_on_planted_and_harmless_text(spark, small):
+    """Precision and recall of what the method adds, planted among whole documents."""
+    base = [r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(280).collect()]
+    rows = []
+    for i, t in enumerate(base):
+        text, kind = ((_HARMLESS[i // 2 % len(_HARMLESS)], None), _PERSONAL[i // 2 % len(_PERSONAL)])[i % 2]
+        rows.append((i, text.format(1000 + 17 * i, 10 + i % 80), kind, t))
+    docs = spark.createDataFrame([(i, f"{text}. {t}") for i, text, _, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in personal_data(docs).collect()}
+    caught = wrong = 0
+    for i, text, kind, _ in rows:
+        planted = [s for s in got[i] if s and int(s.split(":")[1]) < len(text)]
+        caught += any(s.startswith(f"{kind}:") for s in planted)
+        wrong += sum(not s.startswith(f"{kind}:") for s in planted)
+    wanted = sum(k is not None for _, _, k, _ in rows)
+    assert caught >= 0.9 * wanted and wrong <= 0.1 * caught, (caught, wanted, wrong)
+
+
+def test_names_and_numbers_in_sentences(spark):
+    texts = ["Dear Anna Schmidt, my name is John Miller", "Mr. Bean met Mrs. Dalloway and Dr. House", "order 321-54-9876", "her SSN is 321-54-9876"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",") if s] for r in personal_data(docs).collect()}
+    assert got == {0: ["Anna Schmidt", "John Miller"], 1: [], 2: [], 3: ["321-54-9876"]}
+
+
 # --- 4 ---
 
 
