@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.functions.vector import cosine, dot, l2, norm, normalised
-from tessel.operators.blocks import BLOCK, block_pairs, near_distances
+from tessel.functions.vector import cosine, dot, l2, norm
+from tessel.operators.blocks import BLOCK, block_pairs, near_distances, nearest
 
 
 
@@ -68,41 +68,14 @@ def small_side(df: DataFrame, most: int = MOST_BYTES) -> DataFrame:
 
 
 def batch_knn(df: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """The k nearest rows of every query (query_id, query_vector): one pass over df per block of queries."""
-    # unit vectors on both sides, so a pair costs one product
-    units = df.select(key, normalised(F.col("vector")).alias("_v"))
-    probes = small_side(queries.select("query_id", normalised(F.col("query_vector")).alias("_q")))
-    scored = units.crossJoin(probes).select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("similarity"))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-
-
-def batch_knn_blocked(df: DataFrame, queries: DataFrame, k: int, key: str = "id", blocks: int = 1 << 14) -> DataFrame:
-    """batch_knn by matrix products on Arrow batches, for many queries; sums run in another order."""
-    import numpy as np
-    import pyarrow as pa
-
-    rows = queries.limit(blocks + 1).collect()
-    if len(rows) > blocks:
-        return batch_knn(df, queries, k, key)
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    q = np.array([r["query_vector"] for r in rows], float)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def run(batches):
-        for batch in batches:
-            m = np.array(batch.column(1).to_pylist(), float)
-            if not len(m):
-                continue
-            sim = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) @ q.T
-            best = np.argpartition(-sim, min(k, len(m)) - 1, axis=0)[: min(k, len(m))]
-            at = np.arange(len(ids))
-            own = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(best))), pa.array(own[best].reshape(-1)), pa.array(sim[best, at].reshape(-1))], names=["query_id", key, "similarity"])
-
-    part = df.select(F.col(key).cast("long").alias(key), "vector").mapInArrow(run, f"query_id long, {key} long, similarity double")
+    """The k nearest rows (key, vector) of every query (query_id, query_vector), with rank and similarity; ties by key."""
+    return batch_knn_blocked(df, queries, k, key)
+
+
+def batch_knn_blocked(df: DataFrame, queries: DataFrame, k: int, key: str = "id", block: int = BLOCK) -> DataFrame:
+    """batch_knn by matrix products of blocks of rows and of queries, both of any number; the k best of each block meet in a rank window."""
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return part.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return nearest(df, queries, k, key, block).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
 def of_works(sections: DataFrame, works: DataFrame, author: str | None = None, work: str | None = None) -> DataFrame:
