@@ -8,10 +8,13 @@ form (`tessel.streaming.cycles`) runs the same machine in keyed state.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessel.operators.fold import ordered_fold
@@ -82,42 +85,42 @@ def cosines(rows: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.divide(rows @ e, size, out=np.zeros(len(rows)), where=size > 0)
 
 
-def dissonance(x: np.ndarray, e: np.ndarray, context: np.ndarray | None, s: Settings) -> tuple[float, int]:
-    """The total tension between an input and a state, given what retrieval found, and the number of hard negatives."""
-    total = float(np.dot(s.weights, 1 - cosines(x, e)))
-    if context is None or not len(context):
-        return total + 0.1, 0
+#: What a cycle needs of what retrieval found for an input, whatever the state: rows, hard negatives, the nearest one's cosine, the mean proof.
+Found = tuple[float, float, float, float]
+
+
+def found(e: np.ndarray | None, context, s: Settings) -> Found | None:
+    """The summary of an input's context; None without one."""
+    if e is None or not len(e) or context is None or not len(context):
+        return None
+    e, context = unit(np.asarray(e, float)), np.array([np.asarray(c, float) for c in context])
     near = cosines(context, e)
-    hard, top = int((near < s.hard_negative).sum()), float(near.max())
-    return total + 0.2 * hard / len(context) + 0.1 * (1 - top if top < 0.3 else 0.0), hard
-
-
-def change(x: np.ndarray, e: np.ndarray, context: np.ndarray | None, s: Settings) -> np.ndarray:
-    """The change of belief by the four methods of fixation, no longer than delta_max."""
-    none = np.zeros_like(e)
-    tenacity = 0.1 * (e - x[_THIRD]) if e @ x[_THIRD] > 0.8 else none
-    authority = none
-    if s.articles is not None and len(s.articles):
-        aligned = s.articles @ e
-        broken = {int(i) for i in np.flatnonzero(aligned < 0.3)}
-        if broken & set(s.critical):
-            authority = -0.3 * (e - x[_VALUES])
-        elif broken:
-            authority = -0.1 * (e - x[_VALUES])
-        elif aligned.mean() > 0.7:
-            authority = 0.2 * (e - x[_VALUES])
-        elif s.anchors is not None and len(s.anchors) and (s.anchors @ e).mean() > 0.6:
-            authority = 0.15 * (e - x[_THIRD])
-    coherence = float((x[[_FIRST, _THIRD, _ORIENTATIONS, _VALUES]] @ e).mean())
-    apriori = (coherence * 0.15 if coherence > 0.5 else 0.05) * (e - x[_THIRD])
-    if context is None or not len(context):
-        science = 0.05 * (e - x[_SECOND])
-    else:
-        proof = float((context @ e / (np.linalg.norm(context, axis=1) + 1e-8)).mean())
-        science = 0.3 * (e - x[_THIRD]) if proof > 0.6 else 0.15 * (e - x[_THIRD]) if proof > 0.3 else 0.1 * (e - x[_SECOND])
-    delta = sum(w * d for w, d in zip(s.fixation, (tenacity, authority, apriori, science), strict=True))
-    size = np.linalg.norm(delta)
-    return delta * (s.delta_max / size) if size > s.delta_max else delta
+    proof = context @ e / (np.linalg.norm(context, axis=1) + 1e-8)
+    return float(len(context)), float((near < s.hard_negative).sum()), float(near.max()), float(proof.mean())
+
+
+def summarised(df: DataFrame, s: Settings) -> DataFrame:
+    """df with `found` in place of `context`: four numbers instead of vectors, so that they are all that is shuffled and held."""
+    kept = [f for f in df.schema.fields if f.name != "context"]
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "found array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.names.index
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                rows = zip(part.column(place("e")).to_pylist(), part.column(place("context")).to_pylist(), strict=True)
+                out = pa.array([found(e, c, s) for e, c in rows], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(place(f.name)) for f in kept), out], names=[*(f.name for f in kept), "found"])
+
+    return df.mapInArrow(run, shape)
+
+
+_ONES = np.ones(8)
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
 class Course:
@@ -133,19 +136,25 @@ class Course:
         self.talks: list[float] = []  # conversations that may still last
         for k, v in held.items():
             setattr(self, k, v)
+        self._weights, self._rates = np.array(s.weights, float), np.array(s.rates, float)
+        self._weight = float(self._weights.sum())
+        self._articles = 0 if s.articles is None else len(s.articles)
+        rules = [np.asarray(m, float) for m in (s.articles, s.anchors) if m is not None and len(m)]
+        self._rules = np.vstack(rules) if rules else None
+        self._far = None if s.reference is None else np.linalg.norm(s.reference, axis=1)
+        self._sizes = _lengths(self.x)
 
     def drift(self) -> str:
         """Check the state against the reference and the state checked before: ok, warning or critical."""
-        s = self.s
-        apart = np.linalg.norm
+        s, x = self.s, self.x
         moved = 0.0
         if self.checked is not None:
-            size = apart(self.checked)
-            moved = float(apart(self.x - self.checked) / (size if size > 0 else 1.0))
+            size, step = math.sqrt(np.vdot(self.checked, self.checked)), x - self.checked
+            moved = math.sqrt(np.vdot(step, step)) / (size if size > 0 else 1.0)
             self.cumulative += moved
-        self.checked = self.x.copy()
-        size = apart(self.x, axis=1) * apart(s.reference, axis=1)
-        far = 1 - np.divide((self.x * s.reference).sum(axis=1), size, out=np.zeros(8), where=size > 0)
+        self.checked = x  # states are replaced, never changed
+        size = self._sizes * self._far
+        far = 1 - np.divide(np.einsum("ij,ij->i", x, s.reference), size, out=np.zeros(8), where=size > 0)
         if self.cumulative > s.cumulative * s.critical_multiplier:
             return "critical"
         if self.cumulative > s.cumulative or int((far > s.per_dimension).sum()) > 2 or moved > s.per_cycle:
@@ -155,14 +164,61 @@ class Course:
     def reset(self) -> None:
         """Back to the first state, with no drift."""
         self.x, self.checked, self.cumulative, self.state_id, self.impacts = np.array(self.s.start, float), None, 0.0, 0, 0
-
-    def cycle(self, at: float, kind: str, e: np.ndarray, context: np.ndarray | None) -> tuple:
-        s, e = self.s, unit(np.asarray(e, float))
-        total, hard = dissonance(self.x, e, context, s)
+        self._sizes = _lengths(self.x)
+
+    def dissonance(self, near: np.ndarray, context: Found | None, there: bool) -> tuple[float, int]:
+        """The total tension between an input and the state, given the state's products with it and what retrieval found, and the number of hard negatives."""
+        size = self._sizes
+        cosine = near / size if size.min() > 0 else np.divide(near, size, out=np.zeros(8), where=size > 0)
+        total = self._weight - float(self._weights @ cosine) if there else self._weight
+        if context is None:
+            return total + 0.1, 0
+        n, hard, top, _ = context
+        return total + 0.2 * hard / n + 0.1 * (1 - top if top < 0.3 else 0.0), int(hard)
+
+    def change(self, e: np.ndarray, near: list[float], context: Found | None) -> float:
+        """The size of the change of belief by the four methods of fixation, at most delta_max. Each draws the input to one dimension by a share."""
+        s, shares = self.s, [0.0] * 8
+        tenacity, authority, apriori, science = s.fixation
+        if near[_THIRD] > 0.8:
+            shares[_THIRD] += tenacity * 0.1
+        if self._articles:
+            said = (self._rules @ e).tolist()
+            aligned, anchored = said[: self._articles], said[self._articles :]
+            broken = [i for i, v in enumerate(aligned) if v < 0.3]
+            if broken:
+                shares[_VALUES] -= authority * (0.3 if any(i in s.critical for i in broken) else 0.1)
+            elif sum(aligned) / len(aligned) > 0.7:
+                shares[_VALUES] += authority * 0.2
+            elif anchored and sum(anchored) / len(anchored) > 0.6:
+                shares[_THIRD] += authority * 0.15
+        coherence = (near[_FIRST] + near[_THIRD] + near[_ORIENTATIONS] + near[_VALUES]) / 4
+        shares[_THIRD] += apriori * (coherence * 0.15 if coherence > 0.5 else 0.05)
+        if context is None:
+            shares[_SECOND] += science * 0.05
+        elif context[3] > 0.3:
+            shares[_THIRD] += science * (0.3 if context[3] > 0.6 else 0.15)
+        else:
+            shares[_SECOND] += science * 0.1
+        delta = sum(shares) * e - np.array(shares) @ self.x
+        return min(math.sqrt(delta @ delta), s.delta_max)
+
+    def cycle(self, at: float, kind: str, e: np.ndarray, context: Found | None) -> tuple:
+        s, e = self.s, np.asarray(e, float)
+        length = math.sqrt(e @ e)
+        e = e / length if length > 0 else e
+        near = self.x @ e
+        total, hard = self.dissonance(near, context, length > 0)
         shock = total > s.shock
         self.impacts += shock
-        size = float(np.linalg.norm(change(self.x, e, context, s)))
-        self.x = unit(self.x + np.array(s.rates)[:, None] * size * (e - self.x))
+        size = self.change(e, near.tolist(), context)
+        x = self.x + (self._rates * size)[:, None] * (e - self.x)
+        sizes = _lengths(x)
+        if sizes.min() > 0:
+            self.x, self._sizes = x / sizes[:, None], _ONES
+        else:
+            self.x = unit(x)
+            self._sizes = _lengths(self.x)
         self.state_id += 1
         if kind == "user":
             reason = "conversation_mode"
@@ -198,19 +254,18 @@ class Course:
             out += self._tick(min(due))
         return out
 
-    def take(self, at: float, kind: str, e, context) -> list[tuple]:
+    def take(self, at: float, kind: str, e, context: Found | None) -> list[tuple]:
         """A trigger, after what the clock did before it. Kind `reset` returns to the first state; a trigger without input is skipped."""
         if self.begun is None:
             self.begun = at
-        out = self.upto(float(np.nextafter(at, -np.inf)))
+        out = self.upto(math.nextafter(at, -math.inf))
         self.now = at
         if kind == "user" and self.s.every:
             self.talks.append(at)
         if kind == "reset":
             self.reset()
         elif e is not None and len(e):
-            context = None if context is None or not len(context) else np.array([np.asarray(c, float) for c in context])
-            out.append(self.cycle(at, kind, e, context))
+            out.append(self.cycle(at, kind, e, context if context is not None and len(context) else None))
         return out
 
 
@@ -219,7 +274,7 @@ OUTPUT = "at double, kind string, state_id bigint, total double, hard_negatives
 
 
 def cycles(triggers: DataFrame, settings: Settings, entity: str = "user_id") -> DataFrame:
-    """Every cycle and alert of each entity's course over triggers (entity, at, nth, kind, e, context).
+    """Every cycle and alert of each entity's course over triggers (entity, at, nth, kind, e, context, or `found` in its place as `summarised` gives it).
 
     at is in seconds; triggers of one time go by nth. e is the input's vector (a trigger
     without one gives no cycle), context the vectors that retrieval found, or null. The
@@ -231,12 +286,14 @@ def cycles(triggers: DataFrame, settings: Settings, entity: str = "user_id") ->
 
     def step(course: Course | None, row: dict) -> tuple[Course, list[tuple]]:
         course = course or Course(s, _name(row[entity]))
-        return course, [(row[entity], *r) for r in course.take(row["at"], row["kind"], row["e"], row["context"])]
+        return course, [(row[entity], *r) for r in course.take(row["at"], row["kind"], row["e"], row["found"])]
 
     def finish(key: tuple, course: Course) -> list[tuple]:
         return [(*key, *r) for r in course.upto(course.now)]
 
-    return ordered_fold(triggers.select(entity, "at", "nth", "kind", "e", "context"), [entity], ["at", "nth"], schema, step, finish)
+    if "found" not in triggers.columns:
+        triggers = summarised(triggers.select(entity, "at", "nth", "kind", "e", "context"), s)
+    return ordered_fold(triggers.select(entity, "at", "nth", "kind", "e", "found"), [entity], ["at", "nth"], schema, step, finish)
 
 
 def _name(key) -> str:

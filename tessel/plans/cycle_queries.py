@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import vector as V
 from tessel.operators import state as T
-from tessel.operators.cycle import Settings, cycles, unit
+from tessel.operators.cycle import Settings, cycles, summarised, unit
 from tessel.plans.pipeline_queries import scratch
 from tessel.sources.tables import TENSOR_SQL, read, tensor, vectors
 from tessel.streaming import events as E
@@ -35,19 +35,19 @@ def _settings(spark, d) -> Settings:
     return Settings(start=some(0, 8), reference=some(8, 16), articles=some(16, 19), critical=(0,), anchors=some(19, 21), themes=some(21, 37), every=21600.0, vigilance=86400.0, hold=3600.0, cumulative=0.05, per_dimension=0.5)
 
 
-def _inputs(spark, d):
-    """Per stored vector: its number, itself, and what retrieval finds for it, here the five that follow it."""
-    v = vectors(spark, d).select("id", "vector")
+def _inputs(spark, d, settings):
+    """Per stored vector: its number, itself as it is stored, and the summary of what retrieval finds for it, here the five that follow it."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     follows = v.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.col("id") - k)).alias("id"), F.col("id").alias("other"), F.col("vector").alias("found"))
     context = follows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("other", "found"))), lambda x: x["found"]).alias("context"))
-    return v.join(context, "id", "left").select(F.col("id").alias("input"), F.col("vector").alias("e"), "context")
+    return summarised(v.join(context, "id", "left").select(F.col("id").alias("input"), F.col("vector").alias("e"), "context"), settings)
 
 
-def _triggers(spark, d, events):
+def _triggers(spark, d, events, settings):
     n = read(spark, d, "embeddings").agg((F.max("vec_id") + 1).alias("n")).head()["n"]
     kind = F.when(F.col("event_type") == "click", "user").when(F.col("event_type") == "view", "veille").otherwise("corpus")
     rows = events.select("user_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("nth"), kind.alias("kind"), (F.col("event_id") % n).alias("input"))
-    return rows.join(_inputs(spark, d), "input", "left").drop("input")
+    return rows.join(_inputs(spark, d, settings), "input", "left").drop("input")
 
 
 def _shown(df):
@@ -57,7 +57,8 @@ def _shown(df):
 @query()
 def semiotic_cycles(spark, d):
     """Every cycle and drift alert of each user's course over all events."""
-    return _shown(cycles(_triggers(spark, d, read(spark, d, "events")), _settings(spark, d)))
+    settings = _settings(spark, d)
+    return _shown(cycles(_triggers(spark, d, read(spark, d, "events"), settings), settings))
 
 
 @contextmanager
@@ -75,9 +76,9 @@ def rocks(spark):
 @query()
 def stream_semiotic_cycles(spark, d):
     """The same courses from a stream of events, in keyed state with event-time timers."""
-    out = scratch(spark)
+    out, settings = scratch(spark), _settings(spark, d)
     with rocks(spark):
-        E.run_to_table(stream_cycles(_triggers(spark, d, E.triggers(spark, d)), _settings(spark, d)), f"{out}/t", f"{out}/c")
+        E.run_to_table(stream_cycles(_triggers(spark, d, E.triggers(spark, d), settings), settings), f"{out}/t", f"{out}/c")
     return _shown(spark.read.parquet(f"{out}/t"))
 
 

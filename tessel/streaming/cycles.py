@@ -12,11 +12,23 @@ import pickle
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessel.operators.cycle import OUTPUT, Course, Settings, _name
+from tessel.operators.cycle import OUTPUT, Course, Settings, _name, summarised
+
+
+def _packed(kind: str, e: Any, found: Any) -> bytes:
+    """A trigger as it waits: its vector's bytes and four numbers."""
+    e = None if e is None else np.asarray(e)
+    return pickle.dumps((kind, None if e is None else e.tobytes(), None if e is None else e.dtype.str, None if found is None else tuple(map(float, found))), 5)
+
+
+def _opened(held: bytes) -> tuple:
+    kind, e, dtype, found = pickle.loads(held)
+    return kind, None if e is None else np.frombuffer(e, dtype), found
 
 
 class CourseProcessor(StatefulProcessor):
@@ -39,7 +51,7 @@ class CourseProcessor(StatefulProcessor):
         rest = triggers[len(due) :]
         out: list[tuple] = []
         for at, _, trigger in due:
-            out += course.take(at, *pickle.loads(trigger))
+            out += course.take(at, *_opened(trigger))
         if due:
             # the clock runs to the last trigger taken, as in a table
             out += course.upto(course.now)
@@ -57,9 +69,9 @@ class CourseProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = [
-            (float(at), int(nth), pickle.dumps((kind, e, context)))
+            (float(at), int(nth), _packed(kind, e, found))
             for frame in rows
-            for at, nth, kind, e, context in zip(*(frame[c].tolist() for c in ("at", "nth", "kind", "e", "context")), strict=True)
+            for at, nth, kind, e, found in zip(*(frame[c].tolist() for c in ("at", "nth", "kind", "e", "found")), strict=True)
         ]
         yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs())
 
@@ -71,10 +83,12 @@ class CourseProcessor(StatefulProcessor):
 
 
 def stream_cycles(triggers: DataFrame, settings: Settings, late: str = "0 seconds", entity: str = "user_id") -> DataFrame:
-    """cycles() over a stream of triggers (entity, ts, at, nth, kind, e, context), ts being at as a timestamp.
+    """cycles() over a stream of triggers (entity, ts, at, nth, kind, e, context or found), ts being at as a timestamp.
 
     Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`).
     """
     kind = triggers.schema[entity].dataType.simpleString()
-    dealt = triggers.withWatermark("ts", late).groupBy(entity)
+    if "found" not in triggers.columns:
+        triggers = summarised(triggers, settings.validate())
+    dealt = triggers.select(entity, "ts", "at", "nth", "kind", "e", "found").withWatermark("ts", late).groupBy(entity)
     return dealt.transformWithStateInPandas(CourseProcessor(settings.validate(), entity), f"{entity} {kind}, {OUTPUT}", "Append", "EventTime")
