@@ -36,7 +36,10 @@ def report_text(days: DataFrame) -> DataFrame:
 
 def stamp(seconds: Column) -> Column:
     """A Unix time as a readable UTC date; null and 0 as a dash."""
-    return F.when(F.coalesce(seconds, F.lit(0)) == 0, F.lit("—")).otherwise(F.date_format(F.timestamp_seconds(seconds), "dd MM yyyy à HH:mm"))
+    at = F.timestamp_seconds(seconds)
+    # from 10000 on, four digits of a pattern are written with a sign
+    said = F.when(F.year(at) > 9999, F.date_format(at, "dd MM y à HH:mm")).otherwise(F.date_format(at, "dd MM yyyy à HH:mm"))
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, F.lit("—")).otherwise(said)
 
 
 def seeded_source(cycle: Column, seed: int = 0) -> Column:
