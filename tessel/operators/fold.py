@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -37,8 +36,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, ste
     shape = rows.sparkSession.createDataFrame([], schema).toArrow().schema
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        plain = ([v.item() if isinstance(v, np.generic) else v for v in c] for c in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(plain, shape, strict=True)], schema=shape)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
