@@ -175,27 +175,28 @@ def match_toc(chunks: DataFrame, toc: DataFrame, key: str | None = None) -> Data
 
     chunks: chunk_id, title, number, place; toc: idx, title, number, level, place; key names
     the document column of both. Ties go to the first entry. Titles and numbers are
-    equi-joins; the nearest entry is the last before or the first after in one ordering of
-    chunks and entries per document.
+    equi-joins; the nearest entry is the last before or the first after in one ordering of a
+    document's distinct places, whole numbers. A chunk without a place gets the first entry.
     """
     keys = [key] if key else []
     bare = lambda c: F.lower(F.trim(c))
     by_title = toc.groupBy(*keys, bare("title").alias("_title")).agg(F.min("idx").alias("_i1"))
     by_number = toc.where("level = 2").groupBy(*keys, F.col("number").alias("_number")).agg(F.min("idx").alias("_i2"))
-    places = toc.groupBy(*keys, "place").agg(F.min("idx").alias("i"))
-    spot = F.struct(F.col("place").alias("p"), F.col("i"))
-    line = chunks.select(*keys, "chunk_id", "place", F.lit(1).alias("kind"), F.lit(None).cast("struct<p:bigint,i:bigint>").alias("spot"))
-    line = line.unionByName(places.select(*keys, F.lit(None).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"), "place", F.lit(0).alias("kind"), spot.cast("struct<p:bigint,i:bigint>").alias("spot")))
-    order = Window.partitionBy(*keys).orderBy("place", "kind")
-    before = F.last("spot", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("spot", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    spots = toc.where("place IS NOT NULL").groupBy(*keys, "place").agg(F.min("idx").cast("bigint").alias("i"))
+    line = chunks.where("place IS NOT NULL").select(*keys, F.col("place").cast("bigint").alias("place"), F.lit(None).cast("bigint").alias("i"))
+    line = line.unionByName(spots.withColumn("place", F.col("place").cast("bigint"))).groupBy(*keys, "place").agg(F.min("i").alias("i"))
+    spot = F.when(F.col("i").isNotNull(), F.struct(F.col("place").alias("p"), "i"))
+    # both frames end at the row, so each window takes one pass
+    nearest = lambda order: F.last(spot, True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("place") - F.col(f"{c}.p")).alias("gap"), F.col(f"{c}.i").alias("i")))
-    near = line.withColumn("before", before).withColumn("after", after).where("kind = 1")
-    near = near.select(*keys, "chunk_id", F.array_min(F.filter(F.array(gap("before"), gap("after")), lambda x: x.isNotNull()))["i"].alias("_i3"))
-    out = chunks.withColumn("_title", bare("title")).withColumn("_number", F.col("number"))
-    out = out.join(by_title, [*keys, "_title"], "left").join(by_number, [*keys, "_number"], "left").join(near, [*keys, "chunk_id"], "left")
+    near = line.withColumn("before", nearest(F.asc("place"))).withColumn("after", nearest(F.desc("place")))
+    near = near.select(*keys, F.col("place").alias("_place"), F.array_min(F.filter(F.array(gap("before"), gap("after")), lambda x: x.isNotNull()))["i"].alias("_i3"))
+    first = toc.groupBy(*keys).agg(F.min("idx").alias("_i0"))
+    out = chunks.withColumn("_title", bare("title")).withColumn("_number", F.col("number")).withColumn("_place", F.col("place").cast("bigint"))
+    out = out.join(by_title, [*keys, "_title"], "left").join(by_number, [*keys, "_number"], "left").join(near, [*keys, "_place"], "left")
+    out = out.join(first, keys, "left") if keys else out.crossJoin(F.broadcast(first))  # one row
     rule = F.when(F.col("_i1").isNotNull(), 1).when(F.col("_i2").isNotNull(), 2).otherwise(3)
-    return out.select(*keys, "chunk_id", F.coalesce("_i1", "_i2", "_i3").alias("idx"), rule.alias("rule"))
+    return out.select(*keys, "chunk_id", F.coalesce("_i1", "_i2", "_i3", "_i0").alias("idx"), rule.alias("rule"))
 
 
 def carried(reference: Column, key: str, order: str) -> Column:
