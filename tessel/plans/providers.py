@@ -31,10 +31,12 @@ def embedded(df: DataFrame, text: str = "text", provider: Embed = hashed_bag, ba
     """df with vectors of its texts; equal texts are embedded once, in batches the provider can hold."""
 
     def run(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            rows = [v for i in range(0, len(texts), batch) for v in provider(texts[i : i + batch])]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([v.tolist() for v in rows], pa.list_(pa.float64()))], names=["_key", "_n", name])
+        # a provider's batch at a time, so a task never holds an Arrow batch's texts as Python strings
+        for whole in batches:
+            for i in range(0, whole.num_rows, batch):
+                b = whole.slice(i, batch)
+                rows = provider([t or "" for t in b.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([v.tolist() for v in rows], pa.list_(pa.float64()))], names=["_key", "_n", name])
 
     # texts meet by digest and length, so that no join or sort compares whole texts
     keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumn("_n", F.coalesce(F.length(text), F.lit(-1)))
