@@ -50,6 +50,10 @@ def aligned(text: str, chunks: list[dict]) -> list[tuple[int, int, dict]] | None
 _CHUNKS = pa.schema([("chunk_no", pa.int32()), ("start", pa.int64()), ("text", pa.string()), ("summary", pa.string()), ("concepts", pa.list_(pa.string())), ("type", pa.string()), ("origin", pa.string())])
 
 
+#: Sections whose chunks are sent on together.
+_SECTIONS = 100
+
+
 def _section_chunks(text: str, title: str, provider: Callable[[str], str], target: int, most: int, retries: int) -> Iterator[tuple]:
     if not text.strip():
         return
@@ -86,14 +90,16 @@ def model_chunks(sections: DataFrame, key: list[str], text: str, title: str, pro
     fields = [f for f in sections.schema.fields if f.name in key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[tuple] = []
-            for row in batch.to_pylist():
-                for chunk in _section_chunks(row["_text"] or "", row["_title"] or "", provider, target, most_tokens, retries):
-                    held.append((*(row[k] for k in key), row["_title"], *chunk))
-            types = [*(batch.schema.field(k) for k in key), pa.field("_title", pa.string()), *_CHUNKS]
-            columns = zip(*held, strict=True) if held else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=pa.schema(types))
+        for whole in batches:
+            types = pa.schema([*(whole.schema.field(k) for k in key), pa.field("_title", pa.string()), *_CHUNKS])
+            # some sections at a time, so a task never holds the chunks of a whole Arrow batch
+            for at in range(0, whole.num_rows, _SECTIONS):
+                held: list[tuple] = []
+                for row in whole.slice(at, _SECTIONS).to_pylist():
+                    for chunk in _section_chunks(row["_text"] or "", row["_title"] or "", provider, target, most_tokens, retries):
+                        held.append((*(row[k] for k in key), row["_title"], *chunk))
+                columns = zip(*held, strict=True) if held else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_title string, chunk_no int, start bigint, text string, summary string, concepts array<string>, type string, origin string"])
     rows = sections.select(*key, F.col(text).alias("_text"), F.col(title).alias("_title")).mapInArrow(run, shape)
