@@ -61,12 +61,16 @@ def _votes() -> list[Column]:
 
 
 def _majority(side: str) -> Column:
-    """The 64 bits of a side that over half of all `q` set, from the sums of `_votes`."""
-    bits = []
-    for b in range(32):
-        low, high = F.col(f"{side}{b}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"{side}{b}", 32)
-        bits += [F.when(2 * low > F.col("q"), F.lit(1 << b)).otherwise(F.lit(0).cast("long")), F.when(2 * high > F.col("q"), F.lit((1 << (b + 32)) - (1 << 64 if b == 31 else 0))).otherwise(F.lit(0).cast("long"))]
-    return reduce(lambda x, y: x.bitwiseOR(y), [b.cast("long") for b in bits]).alias(side)
+    """The 64 bits of a side that over half of all `q` set, from the sums of `_votes`; one expression for all bits keeps the plan small."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def bits(both: Column, b: Column) -> Column:
+        low, high = both.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(both, 32)
+        of = lambda votes, at: F.when(2 * votes > F.col("q"), F.call_function("shiftleft", one, at)).otherwise(none)
+        return of(low, b).bitwiseOR(of(high, b + 32))
+
+    sums = F.array(*[F.col(f"{side}{b}") for b in range(32)])
+    return F.aggregate(F.transform(sums, bits), none, lambda x, y: x.bitwiseOR(y)).alias(side)
 
 
 def simhash(elements: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,10 +79,14 @@ def simhash(elements: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, _majority("hi"), _majority("lo"))
 
 
+def _word_votes(words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hi, lo, q) of rows (keys, word): each word counts as often as it occurs."""
+    return words.select(*keys, F.xxhash64("word").alias("hi"), F.xxhash64("word", F.lit(1)).alias("lo"), F.lit(1).cast("long").alias("q"))
+
+
 def fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hi, lo): the SimHash of each row's array `window` of words; each word counts as often as it occurs."""
-    words = windows.select(*keys, F.explode("window").alias("word"))
-    return simhash(words.select(*keys, F.xxhash64("word").alias("hi"), F.xxhash64("word", F.lit(1)).alias("lo"), F.lit(1).cast("long").alias("q")), keys)
+    """(keys, hi, lo): the SimHash of each row's array `window` of words."""
+    return simhash(_word_votes(windows.select(*keys, F.explode("window").alias("word")), keys), keys)
 
 
 def _share(w: Column, m: Column, k: Column) -> Column:
@@ -96,10 +104,15 @@ def blocks(hi: Column, lo: Column) -> Column:
     return F.array(*[block(hi, lo, i) for i in range(BLOCKS)])
 
 
+def near_by_block(hi: Column, lo: Column) -> Column:
+    """(nth, near) a block: its number, and its value with those up to FLIPS bits away."""
+    flips = F.array(*[F.lit(x) for x in range(256) if x.bit_count() <= FLIPS])
+    return F.transform(blocks(hi, lo), lambda b: F.struct(F.shiftright(b, 8).alias("nth"), F.transform(flips, lambda f: b.bitwiseXOR(f)).alias("near")))
+
+
 def near_blocks(hi: Column, lo: Column) -> Column:
     """Every block value and those up to FLIPS bits away."""
-    flips = F.array(*[F.lit(x) for x in range(256) if x.bit_count() <= FLIPS])
-    return F.flatten(F.transform(blocks(hi, lo), lambda b: F.transform(flips, lambda f: b.bitwiseXOR(f))))
+    return F.flatten(near_by_block(hi, lo)["near"])
 
 
 def hamming(hi: Column, lo: Column, other_hi: Column, other_lo: Column) -> Column:
@@ -133,15 +146,18 @@ def prepared_items(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Items with words, repeated rows once: item_id, item (its key), m words, k words a shingle, its weighted shingles, their weight in all (in UNITs), lead and least of them, fingerprints of words (hi, lo) and shingles (shi, slo). A shingle's weight is 1 over the items that hold it."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), lower_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     rows = rows.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
-    rows = rows.withColumn("m", F.size("words")).withColumn("k", F.least(F.col("m"), F.lit(SHINGLE)))
+    # each table stands before the next reads it several times, else the plan repeats all that is below it
+    rows = materialize(rows.withColumn("m", F.size("words")).withColumn("k", F.least(F.col("m"), F.lit(SHINGLE))), "item-words", light=True)
     by_shingle = rows.select("item", "m", "k", F.explode(F.array_distinct(_sized(F.col("words"), F.col("k")))).alias("h"))
     weights = by_shingle.groupBy("h").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
-    by_shingle = by_shingle.join(weights, "h").withColumn("units", F.round(F.col("w") * UNIT).cast("long"))
+    by_shingle = materialize(by_shingle.join(weights, "h").withColumn("units", F.round(F.col("w") * UNIT).cast("long")), "item-shingles", light=True)
     weighted = by_shingle.groupBy("item").agg(F.reverse(F.array_sort(F.collect_list(F.struct("w", "h", "units")))).alias("weighted"), F.sum("units").alias("weight"))
-    prints = fingerprints(rows.select("item", F.col("words").alias("window")), ["item"])
-    elements = by_shingle.select("item", F.col("h").alias("hi"), F.xxhash64("h").alias("lo"), _share(F.col("w"), F.col("m"), F.col("k")).alias("q"))
-    others = simhash(elements, ["item"]).toDF("item", "shi", "slo")
-    rows = rows.drop("words").join(weighted, "item").join(prints, "item").join(others, "item").withColumn("reach", _reach(F.col("weighted"), percent))
+    elements = by_shingle.select("item", F.lit(SHINGLES).alias("kind"), F.col("h").alias("hi"), F.xxhash64("h").alias("lo"), _share(F.col("w"), F.col("m"), F.col("k")).alias("q"))
+    words = rows.select("item", F.lit(WORDS).alias("kind"), F.explode("words").alias("word"))
+    elements = elements.unionByName(_word_votes(words, ["item", "kind"]))
+    prints = materialize(simhash(elements, ["item", "kind"]), "item-prints", light=True)
+    of = lambda kind, hi, lo: prints.where(F.col("kind") == kind).select("item", F.col("hi").alias(hi), F.col("lo").alias(lo))
+    rows = rows.drop("words").join(weighted, "item").join(of(WORDS, "hi", "lo"), "item").join(of(SHINGLES, "shi", "slo"), "item").withColumn("reach", _reach(F.col("weighted"), percent))
     return materialize(rows.select("item_id", "item", "m", "k", "weighted", "weight", "reach.lead", "reach.least", "hi", "lo", "shi", "slo"), "items")
 
 
@@ -249,10 +265,11 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, carr
 
     place = [*text, "item", "start"]
     kinds = F.array(F.struct(F.lit(WORDS).alias("kind"), F.col("hi").alias("ihi"), F.col("lo").alias("ilo")), F.struct(F.lit(SHINGLES).alias("kind"), F.col("shi").alias("ihi"), F.col("slo").alias("ilo")))
-    index = items.select("item", F.explode(kinds).alias("p")).select("item", "p.*").withColumn("block", F.explode(near_blocks(F.col("ihi"), F.col("ilo"))))
-    probes = windows.select(*place, "kind", "hi", "lo", F.explode(blocks(F.col("hi"), F.col("lo"))).alias("block"))
+    index = items.select("item", F.explode(kinds).alias("p")).select("item", "p.*").select("*", F.explode(near_by_block(F.col("ihi"), F.col("ilo"))).alias("b")).select("item", "kind", "ihi", "ilo", "b.*")
+    probes = windows.select(*place, "kind", "hi", "lo", F.explode(blocks(F.col("hi"), F.col("lo"))).alias("block")).withColumn("nth", F.shiftright("block", 8))
     apart = hamming(F.col("hi"), F.col("lo"), F.col("ihi"), F.col("ilo"))
-    close = probes.join(broadcast_if_small(index, 48), ["item", "kind", "block"]).where(apart <= RADIUS).groupBy(*place).agg(F.min(apart).alias("hamming"))
+    side = broadcast_if_small(index, F.lit(64) + 8 * F.size("near"))
+    close = probes.join(side, ["item", "kind", "nth"]).where(F.array_contains("near", F.col("block")) & (apart <= RADIUS)).groupBy(*place).agg(F.min(apart).alias("hamming"))
 
     both = windows.where(F.col("kind") == SHINGLES).join(close, place).join(broadcast_if_small(items.select("item", "item_id", "weight"), 48), "item")
     similarity = F.round(F.col("units") / (F.col("weight") + (F.col("own") - F.col("common")) * UNIT), 9)

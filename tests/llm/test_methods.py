@@ -637,6 +637,29 @@ def test_blocks_guarantee_the_radius(spark):
     assert df.where(met).count() == 200
 
 
+def test_benchmark_is_prepared_and_indexed_once(spark, small, monkeypatch):
+    """No plan repeats the steps below it for each of its readers, and the index has a row a block: the driver holds both."""
+    from tessel.llm import decontamination
+
+    seen, sides, materialize, checked = {}, [], decontamination.materialize, decontamination.broadcast_if_small
+
+    def counted(df, tag, light=False):
+        seen[tag] = df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+        return materialize(df, tag, light)
+
+    def kept(df, *size):
+        sides.append(df)
+        return checked(df, *size)
+
+    monkeypatch.setattr(decontamination, "materialize", counted)
+    monkeypatch.setattr(decontamination, "broadcast_if_small", kept)
+    op7_simhash_windows(spark, small).collect()
+    items = spark.read.parquet(f"{small}/benchmark.parquet").where("trim(text) <> ''").distinct().count()
+    (index,) = [x for x in sides if "ihi" in x.columns]
+    assert max(seen.values()) <= 3
+    assert index.count() <= items * 2 * decontamination.BLOCKS
+
+
 def test_fingerprints_count_every_bit(spark):
     from tessel.llm.decontamination import fingerprints
 
