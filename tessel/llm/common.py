@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -164,13 +164,26 @@ def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
 
 
 def _hash_runs(words: list[bytes], size: int) -> np.ndarray:
+    return _hash_sizes(words, [size])[0]
+
+
+def _hash_sizes(words: list[bytes], sizes: Sequence[int]) -> list[np.ndarray]:
+    """Hashes of the words' runs, by the size of the runs; the words' bytes are summed once."""
     flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     sums = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(flat)), out=sums[1:])
-    first, last = starts[: len(words) - size + 1], ends[size - 1 :]
-    return mix64((sums[last] - sums[first]) * _powers("down", _INV, len(flat))[first])
+    before, after, down = sums[starts], sums[ends], _powers("down", _INV, len(flat))[starts]
+    return [mix64((after[k - 1 :] - before[: len(words) - k + 1]) * down[: len(words) - k + 1]) for k in sizes]
+
+
+def shingles_of_words(words: list[bytes], sizes: Sequence[int]) -> list[np.ndarray]:
+    """`shingle_hashes` of lower-cased words in each of the sizes."""
+    if len(words) > _PART or max(map(len, words), default=0) >= _LONG_WORD:
+        text = b" ".join(words).decode("utf-8", "surrogatepass")
+        return [shingle_hashes(text, k) for k in sizes]
+    return _hash_sizes(words, [min(k, len(words)) for k in sizes]) if words else [np.empty(0, np.uint64) for _ in sizes]
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:

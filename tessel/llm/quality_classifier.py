@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import broadcast_if_small, materialize, shingle_hashes, table
+from tessel.llm.common import broadcast_if_small, materialize, shingles_of_words, table
 
 LABELLERS = ("length", "symbols", "lines", "windows", "capitals", "word_size", "function_words", "endings", "variety")
 #: Hash buckets of words, word pairs and word shapes.
@@ -23,21 +23,48 @@ _SYMBOLS = b"#*$%&|<>^~{}[]\\@=+_"
 _ASCII = bytes(range(128))
 
 
+#: What a byte adds to the shape of its word: capitals in the low half of a count, small letters in the high one.
+_CASES = np.array([1 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 1 << 32 if chr(b) in "abcdefghijklmnopqrstuvwxyz" else 0 for b in range(256)], np.int64)
+_ENDS = np.array([4 * (chr(b) in ".,;:!?") + 8 * (chr(b) in "%*$#&|") for b in range(256)], np.int64)
+
+
+class Reading:
+    """A text's bytes and words, split and hashed once for votes (runs of five words) and features (one and two). Null counts as empty."""
+
+    def __init__(self, text: str | None, sizes: tuple[int, ...] = (1, 2, 5)) -> None:
+        self.raw = (text or "").encode("utf-8", "replace")
+        self.words, self.low = self.raw.split(), self.raw.lower().split()
+        hashed = self.low
+        if b"?" in self.raw and not text.isascii() and any("\ud800" <= c <= "\udfff" for c in text):
+            hashed = text.encode("utf-8", "surrogatepass").lower().split()  # lone surrogates are told apart
+        self.runs = dict(zip(sizes, shingles_of_words(hashed, sizes), strict=True))
+
+    def shapes(self) -> np.ndarray:
+        """A number for each word: led by a capital, capitals alone, ends in a stop, ends in a symbol, over 12 bytes, under 3."""
+        flat = np.frombuffer(b" ".join(self.words) + b" ", np.uint8)
+        ends = np.flatnonzero(flat == 32)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        cases, size = np.add.reduceat(_CASES[flat], starts), ends - starts
+        capitals = (cases > 0) & (cases < 1 << 32)
+        return (_CASES[flat[starts]] == 1) + 2 * capitals + _ENDS[flat[ends - 1]] + 16 * (size > 12) + 32 * (size < 3)
+
+
 def votes(text: str | None) -> str:
     """One sign a labeller: + for good, - for bad, 0 for no opinion. Null and empty texts are bad by length."""
-    raw = (text or "").encode("utf-8", "replace")
-    words = raw.split()
+    return votes_of(Reading(text, (5,)))
+
+
+def votes_of(read: Reading) -> str:
+    raw, words, low = read.raw, read.words, read.low
     n = len(words)
     if n < 10:  # too little to test
         return ("0" if n else "-") + "0" * (len(LABELLERS) - 1)
     chars = sum(map(len, words))
-    low = raw.lower().split()
     bare = [w.strip(b".,;:!?\"'()") for w in low]
     symbols = (len(raw) - len(raw.translate(None, _SYMBOLS))) / chars
     lines = [x for x in raw.split(b"\n") if x.strip()]
     copied = 1 - len(set(lines)) / len(lines)
-    runs = shingle_hashes(text)
-    repeated = 1 - len(np.unique(runs)) / len(runs)
+    repeated = 1 - len(np.unique(read.runs[5])) / len(read.runs[5])
     upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) + sum(map(str.isupper, raw.translate(None, _ASCII).decode("utf-8")))
     upper /= chars
     size = chars / n
@@ -85,15 +112,16 @@ def label_model(patterns: list[str], counts: np.ndarray, rounds: int = 100) -> t
 
 def hashed_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of a text's words, word pairs and word shapes, of unit length."""
-    raw = (text or "").encode("utf-8", "replace")
-    words = raw.split()
+    return features_of(Reading(text, (1, 2)))
+
+
+def features_of(read: Reading) -> tuple[np.ndarray, np.ndarray]:
+    words = read.words
     if not words:
         return np.zeros(1, np.int64), np.ones(1)
-    one = shingle_hashes(text, 1)
-    two = shingle_hashes(text, 2) if len(words) > 1 else one[:0]
-    shapes = np.array([(w[:1].isupper(), w.isupper(), w[-1:] in b".,;:!?", w[-1:] in b"%*$#&|", len(w) > 12, len(w) < 3) for w in words], bool)
+    one, two = read.runs[1], read.runs[2] if len(words) > 1 else read.runs[2][:0]
     # shapes fill the first 64 buckets, words and pairs the others
-    at = np.concatenate((shapes @ (1 << np.arange(6)), 64 + (one % np.uint64(BUCKETS - 64)).astype(np.int64), 64 + (two % np.uint64(BUCKETS - 64)).astype(np.int64)))
+    at = np.concatenate((read.shapes(), 64 + (one % np.uint64(BUCKETS - 64)).astype(np.int64), 64 + (two % np.uint64(BUCKETS - 64)).astype(np.int64)))
     counts = np.bincount(at, minlength=BUCKETS)
     idx = np.flatnonzero(counts)
     weight = np.log1p(counts[idx])
@@ -141,8 +169,12 @@ def quality(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     def featurise(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            both = [hashed_features(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t) for t in texts], pa.string()), pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in both], pa.list_(pa.float32()))], names=["h", "votes", "at", "weight"])
+            both, voted = [], []
+            for text in texts:
+                read = Reading(text)
+                both.append(features_of(read))
+                voted.append(votes_of(read))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(voted, pa.string()), pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in both], pa.list_(pa.float32()))], names=["h", "votes", "at", "weight"])
 
     train = sample.mapInArrow(featurise, "h long, votes string, at array<int>, weight array<float>").toArrow().sort_by("h")
     at, weight, voted = train.column("at"), train.column("weight"), train.column("votes").to_pylist()
@@ -152,9 +184,13 @@ def quality(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     def score(batches):
         posterior, beta = state.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            voted = [votes(t) for t in texts]
-            logit = np.array([beta[i] @ w + beta[-1] for i, w in map(hashed_features, texts)])
+            voted, logit = [], []
+            for text in batch.column(1).to_pylist():
+                read = Reading(text)
+                i, w = features_of(read)
+                voted.append(votes_of(read))
+                logit.append(beta[i] @ w + beta[-1])
+            logit = np.array(logit, float)
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(voted, pa.string()), pa.array([posterior.get(v, 0.5) for v in voted], pa.float64()), pa.array(p, pa.float64()), pa.array(p >= keep)], names=["doc_id", "votes", "weak_label", "score", "kept"])
 

@@ -841,3 +841,20 @@ def test_word_ids_are_the_tokenizers():
     hard = ["it's. don't! É. é. ก กข, x　y,z 12.5 “q”. A\x1cB \x85. ÷. ß!", "a<|ENDOFTEXT|>b <|endoftext|> x", "ABC…. d:; İstanbul. Σας,", "", None, "é ́"]
     for t, got in zip(hard, ids(hard), strict=True):
         assert got == np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), json.dumps(t)
+
+
+def test_a_reading_hashes_and_shapes_as_its_words_do(monkeypatch):
+    """Votes and features of a text share one splitting and one pass of hashes, with the results of separate ones."""
+    from tessel.llm import quality_classifier as q
+
+    passes, hashed = [], common._hash_sizes
+    monkeypatch.setattr(common, "_hash_sizes", lambda words, sizes: passes.append(sizes) or hashed(words, sizes))
+    for text in ("One TWO, three% x extraordinarily-long ä É. " * 3, "a", "A\x0bb\x1cC \ud800?", "w" * 5000 + " b c", "Ab " * 40000):
+        passes.clear()
+        read = q.Reading(text)
+        assert len(passes) == 1 or len(text) > 4096
+        words = read.words
+        for size in (1, 2, 5):
+            assert read.runs[size].tolist() == common.shingle_hashes(text, size).tolist()
+        shape = lambda w: (w[:1].isupper(), w.isupper(), w[-1:] in b".,;:!?", w[-1:] in b"%*$#&|", len(w) > 12, len(w) < 3)
+        assert read.shapes().tolist() == [sum(x << i for i, x in enumerate(shape(w))) for w in words]
