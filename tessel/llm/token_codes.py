@@ -18,6 +18,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ from tessel.llm.packing import tokenizer_path
 SEGMENT, PART = 1 << 18, 1 << 18
 #: Bits between two entries of a directory of ones.
 BLOCK = 512
-#: Pieces of text whose ids a worker remembers (about 180 MB); past it new ones are not kept, or, where most are new, it starts anew. Longer pieces are never kept.
-CACHE, LONG_PIECE = 900_000, 64
+#: Pieces of text whose ids a worker remembers (about 240 MB); past it new ones are not kept, or, where most are new, it starts anew. Longer pieces are never kept.
+CACHE, LONG_PIECE = 1_200_000, 64
 
 
 # --- the code ---
@@ -42,9 +44,8 @@ CACHE, LONG_PIECE = 900_000, 64
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths, lowest chunk first, that need the fewest bits for these ids."""
-    sizes = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1))).astype(np.int64) if len(ids) else np.ones(1, np.int64)
-    longer = len(ids) - np.concatenate(([0], np.cumsum(np.bincount(sizes, minlength=33)[1:])))  # ids of more than t bits
-    top = int(sizes.max())
+    top = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    longer = [np.count_nonzero(ids >> np.uint32(t)) if t else len(ids) for t in range(top)]  # ids of more than t bits
     best: list[tuple[int, list[int]]] = [(0, [])] * (top + 1)
     for t in range(top - 1, -1, -1):
         best[t] = min((int(longer[t]) * (w + (t + w < top)) + best[t + w][0], [w, *best[t + w][1]]) for w in range(1, top - t + 1))
@@ -53,9 +54,11 @@ def best_widths(ids: np.ndarray) -> list[int]:
 
 def _packed(values: np.ndarray, width: int) -> bytes:
     """Values of `width` bits each, one after the other; coded in parts of a multiple of eight values."""
-    out = []
+    if width in (8, 16, 32):
+        return values.astype(f">u{width // 8}").tobytes()
+    out, size = [], 8 if width < 8 else 16 if width < 16 else 32
     for i in range(0, len(values), PART):
-        bits = np.unpackbits(values[i : i + PART].astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - width :]
+        bits = np.unpackbits(values[i : i + PART].astype(f">u{size // 8}").view(np.uint8)).reshape(-1, size)[:, size - width :]
         out.append(np.packbits(bits).tobytes())
     return b"".join(out)
 
@@ -144,6 +147,7 @@ class PieceIds:
     _ODD = re.compile(r"\s\s")
     _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
     _LEADS = ("", "\0", "\n")
+    _MARKS = ".,;:!?"
     _workers: dict[str, PieceIds] = {}
 
     def __init__(self, path: str) -> None:
@@ -151,7 +155,8 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # tokens that begin with a space
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
         self.held: dict[str, bytes] = worker_cache({})
 
     @classmethod
@@ -171,39 +176,53 @@ class PieceIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, keys: list[str]) -> dict[str, bytes]:
-        """The ids of pieces. Words led by a space are encoded many at a time, a line end between them: it ends a token before that space."""
-        learned, words, others = {}, [], []
+        """The ids of pieces, and of the stems of those that end in marks.
+
+        Words led by a space are encoded many at a time: only their first token begins with a
+        space. Between a letter and a mark no tokens are joined either, so a stem serves all
+        the marks behind it.
+        """
+        learned, words, others, ends = {}, [], [], []
         for k in keys:
+            stem = k.rstrip(self._MARKS)
+            if stem != k and stem[-1:].isalpha() and stem[-1] < "\u0250":
+                ends.append((k, stem, "\0" + k[len(stem) :]))
+        parts = {part for end in ends for part in end[1:]}
+        whole = parts.union(keys).difference(k for k, _, _ in ends)
+        learned.update((k, self.held[k]) for k in parts if k in self.held)
+        for k in whole:
+            if k in learned:
+                continue
             (words if k[:1] not in self._LEADS and k.split() == [k] else others).append(k)
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
-            flat = self._encoded(["\n".join([" " + w for w in some])])[0]
-            cuts, at = (np.flatnonzero(np.frombuffer(flat, "<u4") == self.line_end) * 4).tolist(), 0
-            for w, cut in zip(some, [*cuts, len(flat)], strict=True):
-                learned[w] = flat[at:cut]
-                at = cut + 4
+            flat = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.spaced[flat]) * 4).tolist()
+            if len(cuts) != len(some) or cuts[0]:
+                others += some
+                continue
+            raw = flat.tobytes()
+            learned.update(zip(some, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
         for i in range(0, len(others), 500):
             some = others[i : i + 500]
             learned.update(zip(some, self._encoded([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else " " + k for k in some]), strict=True))
+        learned.update((k, learned[stem] + learned[marks]) for k, stem, marks in ends)
         return learned
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         keys = [self._keys(t) if t else [] for t in texts]
-        words = set().union(*keys)
-        new = words.difference(self.held)
-        learned = self._learn(list(new))
-        if len(self.held) + len(new) > CACHE and len(new) > len(words) // 3:
+        ids = [list(map(self.held.get, k)) for k in keys]
+        # no piece is without ids, so what is false is not held
+        learned = self._learn(list(set().union(*(compress(k, map(not_, x)) for k, x in zip(keys, ids, strict=True)))))
+        for k, x in zip(keys, ids, strict=True):
+            if not all(x):
+                for i in [i for i, one in enumerate(x) if one is None]:
+                    x[i] = learned[k[i]]
+        if len(self.held) + len(learned) > CACHE and 3 * len(learned) > len(set().union(*keys)):
             self.held.clear()  # the texts have changed
-        if len(self.held) + len(new) <= CACHE:
+        if len(self.held) + len(learned) <= CACHE:
             self.held.update((k, v) for k, v in learned.items() if len(k) <= LONG_PIECE)
-            learned = {k: v for k, v in learned.items() if len(k) > LONG_PIECE}
-        held = self.held
-        if words <= held.keys():
-            get = held.__getitem__
-        else:
-            learned.update((k, held[k]) for k in words if k in held)
-            get = learned.__getitem__
-        return [b"".join(map(get, k)) for k in keys]
+        return list(map(b"".join, ids))
 
 
 # --- the stored corpus ---

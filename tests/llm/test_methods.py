@@ -858,3 +858,24 @@ def test_a_reading_hashes_and_shapes_as_its_words_do(monkeypatch):
             assert read.runs[size].tolist() == common.shingle_hashes(text, size).tolist()
         shape = lambda w: (w[:1].isupper(), w.isupper(), w[-1:] in b".,;:!?", w[-1:] in b"%*$#&|", len(w) > 12, len(w) < 3)
         assert read.shapes().tolist() == [sum(x << i for i, x in enumerate(shape(w))) for w in words]
+
+
+def test_new_words_share_stems_and_need_no_separators(monkeypatch):
+    """Words that differ by the marks behind them are encoded once, and the ids are those of whole texts."""
+    from tessel.llm.token_codes import PieceIds
+
+    ids_of = PieceIds(tokenizer_path("byte_bpe_50k.json"))
+    tok, asked = ids_of.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    texts = ["so zqxw zqxw, zqxw. (zqxw! 's zqxw's. zqxw.) zqxw...", "\u0663 x\u0663, \u0120a b\u0120. e\u0301, \u200bx, <|endoftext|>. zqxw\n\nzqxw:\tzqxw; \x1cy z!"]
+    ids_of.tokenizer = Counted()
+    got = ids_of(texts[:1])
+    assert sum(len(re.findall(r"(?<![(\w])zqxw(?![\w.')])", t)) for t in asked) == 1
+    for t in texts:
+        assert ids_of([t])[0] == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert got == ids_of(texts[:1])
