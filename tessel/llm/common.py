@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +102,14 @@ def worker_cache(cache: dict) -> dict:
     return cache
 
 
-def free_caches() -> None:
-    """Empty the caches of earlier tasks in this worker and give unused Arrow memory back."""
+def free_caches(keep: dict | None = None) -> None:
+    """Empty the caches of earlier tasks in this worker, but for `keep`, and give unused memory back."""
     for cache in _CACHES:
-        cache.clear()
+        if cache is not keep:
+            cache.clear()
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

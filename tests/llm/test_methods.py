@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -879,3 +880,46 @@ def test_new_words_share_stems_and_need_no_separators(monkeypatch):
     for t in texts:
         assert ids_of([t])[0] == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
     assert got == ids_of(texts[:1])
+
+
+
+def _one_task(monkeypatch, module, run, *texts):
+    """The batches that a task of `run` makes from these texts."""
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(module, "TaskContext", Context)
+    return list(run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": list(texts)})])))
+
+
+
+def test_a_worker_encodes_a_piece_once_in_all_its_tasks(monkeypatch):
+    """What a task has learned serves the worker's next task; other operators' memories are freed."""
+    from tessel.llm import token_codes
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids_of, other, learned = token_codes.PieceIds.at(path), common.worker_cache({"a": 1}), []
+    learn = ids_of._learn
+    monkeypatch.setattr(ids_of, "_learn", lambda keys: learned.append(sorted(keys)) or learn(keys))
+    first = _one_task(monkeypatch, token_codes, token_codes._write(path, 0, 100), "qzxa qzxb qzxa")
+    assert _one_task(monkeypatch, token_codes, token_codes._write(path, 0, 100), "qzxa qzxb qzxa") == first
+    assert learned[0] and learned[1:] == [[]] and not other
+
+
+def test_stems_serve_all_marks_behind_them():
+    from tessel.llm.token_codes import PieceIds
+
+    ids_of = PieceIds(tokenizer_path("byte_bpe_50k.json"))
+    tok, asked = ids_of.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    ids_of.tokenizer = Counted()
+    for t in ("so zqxw zqxw*** zqxw### zqxw,$$$ zqxw.%%% zqxw&&& zqxw", "x &a b& $%c d$e$ <|endoftext|>*** f<|endoftext|># g*<|endoftext|> 5%** \u0663# \u00e9*** e\u0301%"):
+        assert ids_of([t])[0] == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert sum(t.split().count("zqxw") + t.count("zqxw*") + t.count("zqxw#") + t.count("zqxw,") for t in asked) == 1
