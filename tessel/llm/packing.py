@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm.common import broadcast_if_small, materialize, worker_cache
+from tessel.llm.common import broadcast_if_small, free_caches, materialize, worker_cache
 
 LIMIT = 4096
-#: Words whose ids a worker remembers (about 120 MB); past it the cache starts anew.
-CACHE = 600_000
+#: Words whose ids a worker remembers (about 50 MB); past it new ones are not kept, or, where most are new, it starts anew.
+CACHE = 300_000
 
 _END = np.array([1], "<u4").tobytes()
 
@@ -81,20 +81,28 @@ class WordIds:
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         # strings of special tokens are matched before lower-casing
         words = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        if len(self.held) > CACHE:
-            self.held.clear()
-        self._learn(list(set().union(*words).difference(self.held)))
+        every = set().union(*words)
+        new = every.difference(self.held)
+        self._learn(list(new))
         ids = self.held.__getitem__
-        return [b"".join(map(ids, w)) for w in words]
+        out = [b"".join(map(ids, w)) for w in words]
+        if len(self.held) > CACHE:
+            if 3 * len(new) > 2 * len(every):
+                self.held.clear()  # the texts have changed
+            else:
+                for w in new:
+                    del self.held[w]
+        return out
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 
 
-def _cut(path: str, limit: int, batch_chars: int = 4_000_000):
+def _cut(path: str, limit: int, batch_chars: int = 2_000_000):
     def run(batches):
         part, nth = TaskContext.get().partitionId(), Counter()
         ids_of = WordIds.at(path)
+        free_caches(keep=ids_of.held)
         for batch in batches:
             rows, held, texts = [], 0, batch.column(1).to_pylist()
             at = 0

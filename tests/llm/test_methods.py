@@ -882,6 +882,23 @@ def test_new_words_share_stems_and_need_no_separators(monkeypatch):
     assert got == ids_of(texts[:1])
 
 
+def test_packing_remembers_words_within_its_bound(monkeypatch):
+    """A worker's memory of words stays within its bound after every call, keeps what it has, and changes no ids."""
+    from tokenizers import Tokenizer
+
+    from tessel.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE", 30)
+    tok, ids = Tokenizer.from_file(tokenizer_path()), WordIds(tokenizer_path())
+    often = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    for k in range(12):
+        text = f"{often} " + " ".join(f"rare{chr(97 + k)}{chr(97 + i)}" for i in range(8))
+        assert ids([text])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(ids.held) <= 30 and set(often.encode().split()) <= set(ids.held)
+    fresh = " ".join(f"new{chr(97 + i)}" for i in range(26))
+    assert ids([fresh])[0] == np.array(tok.encode(fresh, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not ids.held
+
 
 def _one_task(monkeypatch, module, run, *texts):
     """The batches that a task of `run` makes from these texts."""
@@ -894,6 +911,13 @@ def _one_task(monkeypatch, module, run, *texts):
     return list(run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": list(texts)})])))
 
 
+def test_tasks_free_the_memories_of_other_steps(monkeypatch):
+    from tessel.llm import packing
+
+    other = common.worker_cache({"a": 1})
+    _one_task(monkeypatch, packing, packing._cut(tokenizer_path(), 4096), "some words here")
+    assert not other and WordIds.at(tokenizer_path()).held
+
 
 def test_a_worker_encodes_a_piece_once_in_all_its_tasks(monkeypatch):
     """What a task has learned serves the worker's next task; other operators' memories are freed."""
