@@ -18,8 +18,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -144,10 +142,13 @@ class PieceIds:
     white space after it, so a text's ids are those of its pieces, cut there, in turn.
     """
 
-    _ODD = re.compile(r"\s\s")
     _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
     _LEADS = ("", "\0", "\n")
     _MARKS = ".,;:!?*#$%&"
+    _LAST = frozenset(_MARKS)
+    #: White space but the space and the line end, and a NUL.
+    _OTHER = [c for c in map(chr, range(1 << 16)) if c == "\0" or c.isspace() and c not in " \n"]
+    _OTHER_ASCII = [c for c in _OTHER if c.isascii()]
     _workers: dict[str, PieceIds] = {}
 
     def __init__(self, path: str) -> None:
@@ -157,6 +158,7 @@ class PieceIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # tokens that begin with a space
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.held: dict[str, bytes] = worker_cache({})
 
     @classmethod
@@ -167,42 +169,56 @@ class PieceIds:
 
     def _keys(self, text: str) -> list[str]:
         """The text's pieces. One led by a space is held without it, one led by a line end as it is, any other with a NUL ahead."""
-        if self._ODD.search(text) or text[0].isspace() or "\0" in text:
+        spaced = text.replace("\n", " \n")
+        if "  " in spaced or "\n " in spaced or spaced[0] == " " or any(map(text.__contains__, self._OTHER_ASCII if text.isascii() else self._OTHER)):
             pieces = self._CUT.split(text)
             return [p[1:] if p[0] == " " and p[1:2] not in self._LEADS else p if p[0] == "\n" else "\0" + p for p in pieces if p]
-        return ("\0" + text.replace("\n", " \n")).split(" ")
+        return ("\0" + spaced).split(" ")
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, keys: list[str]) -> dict[str, bytes]:
-        """The ids of pieces, and of the stems of those that end in marks.
+    def _learn_words(self, keys: list[str], lead: str, learned: dict[str, bytes]) -> list[str]:
+        """Learn words from one text of them all, each behind `lead`; those whose ids can't be told apart in it are returned."""
+        left = []
+        for i in range(0, len(keys), 500):
+            some = keys[i : i + 500]
+            words = some if lead == " " else [k[1:] for k in some]
+            text = lead + lead.join(words)
+            if text.split() != words:
+                left += some
+                continue
+            flat = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.spaced[flat] if lead == " " else flat == self.line) * 4).tolist()
+            if len(cuts) != len(some) or cuts[0]:
+                left += some
+                continue
+            raw, ends = flat.tobytes(), [*cuts[1:], len(flat) * 4]
+            if lead != " ":
+                cuts = [at if k[0] == lead else at + 4 for k, at in zip(some, cuts, strict=True)]
+            learned.update(zip(some, map(raw.__getitem__, map(slice, cuts, ends)), strict=True))
+        return left
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not held, and of the stems of those that end in marks.
 
         Words led by a space are encoded many at a time: only their first token begins with a
-        space. Between a letter and a mark no tokens are joined either, so a stem serves all
-        the marks behind it.
+        space. So are those led by a line end, which is a token by itself, or by nothing.
+        Between a letter and a mark no tokens are joined either, so a stem serves all the
+        marks behind it.
         """
-        learned, words, others, ends = {}, [], [], []
+        ends = []
         for k in keys:
-            stem = k.rstrip(self._MARKS)
-            if stem != k and stem[-1:].isalpha() and stem[-1] < "\u0250":
-                ends.append((k, stem, "\0" + k[len(stem) :]))
+            if k[-1:] in self._LAST:
+                stem = k.rstrip(self._MARKS)
+                if stem[-1:].isalpha() and stem[-1] < "\u0250":
+                    ends.append((k, stem, "\0" + k[len(stem) :]))
         parts = {part for end in ends for part in end[1:]}
-        whole = parts.union(keys).difference(k for k, _, _ in ends)
-        learned.update((k, self.held[k]) for k in parts if k in self.held)
-        for k in whole:
-            if k in learned:
-                continue
-            (words if k[:1] not in self._LEADS and k.split() == [k] else others).append(k)
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
-            flat = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(self.spaced[flat]) * 4).tolist()
-            if len(cuts) != len(some) or cuts[0]:
-                others += some
-                continue
-            raw = flat.tobytes()
-            learned.update(zip(some, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
+        learned = {k: self.held[k] for k in parts if k in self.held}
+        whole = (keys | parts).difference((k for k, _, _ in ends), learned)
+        others = self._learn_words([k for k in whole if k[:1] > "\n"], " ", learned)
+        others += self._learn_words([k for k in whole if k[:1] in ("\0", "\n")], "\n", learned)
+        others += [k for k in whole if k[:1] <= "\n" and k[:1] not in ("\0", "\n")]
         for i in range(0, len(others), 500):
             some = others[i : i + 500]
             learned.update(zip(some, self._encoded([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else " " + k for k in some]), strict=True))
@@ -213,12 +229,12 @@ class PieceIds:
         keys = [self._keys(t) if t else [] for t in texts]
         ids = [list(map(self.held.get, k)) for k in keys]
         # no piece is without ids, so what is false is not held
-        learned = self._learn(list(set().union(*(compress(k, map(not_, x)) for k, x in zip(keys, ids, strict=True)))))
-        for k, x in zip(keys, ids, strict=True):
-            if not all(x):
-                for i in [i for i, one in enumerate(x) if one is None]:
-                    x[i] = learned[k[i]]
-        if len(self.held) + len(learned) > CACHE and 3 * len(learned) > len(set().union(*keys)):
+        gaps = [[i for i, one in enumerate(x) if not one] for x in ids]
+        learned = self._learn({k[i] for k, at in zip(keys, gaps, strict=True) for i in at})
+        for k, x, at in zip(keys, ids, gaps, strict=True):
+            for i in at:
+                x[i] = learned[k[i]]
+        if len(self.held) + len(learned) > CACHE and 3 * sum(map(len, gaps)) > sum(map(len, keys)):
             self.held.clear()  # the texts have changed
         if len(self.held) + len(learned) <= CACHE:
             self.held.update((k, v) for k, v in learned.items() if len(k) <= LONG_PIECE)

@@ -947,3 +947,24 @@ def test_stems_serve_all_marks_behind_them():
     for t in ("so zqxw zqxw*** zqxw### zqxw,$$$ zqxw.%%% zqxw&&& zqxw", "x &a b& $%c d$e$ <|endoftext|>*** f<|endoftext|># g*<|endoftext|> 5%** \u0663# \u00e9*** e\u0301%"):
         assert ids_of([t])[0] == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
     assert sum(t.split().count("zqxw") + t.count("zqxw*") + t.count("zqxw#") + t.count("zqxw,") for t in asked) == 1
+
+
+def test_words_that_begin_lines_and_texts_are_encoded_together():
+    """One text holds them all, not one text each; a tab among them hides none, and their ids are the tokenizer's."""
+    from tessel.llm.token_codes import PieceIds
+
+    ids_of = PieceIds(tokenizer_path("byte_bpe_50k.json"))
+    tok, asked = ids_of.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    ids_of.tokenizer = Counted()
+    words = [f"qz{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    texts = ["\n".join(words[i : i + 20]) for i in range(0, 200, 20)]
+    plain = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert ids_of(texts) == list(map(plain, texts)) and len(asked) == 1
+    odd = ["\n\tqzq\nqzr", "qzs\n\nqzt \nqzu", "\n", "qzv \nqzw \t", "一\nĊ\nĠ <|endoftext|>\nqzx"]
+    assert ids_of(odd) == list(map(plain, odd))
