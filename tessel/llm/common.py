@@ -87,8 +87,8 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.set(key, before)
 
 
-def arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20):
-    """Bound the Arrow batches of jobs run inside, so long texts don't gather in a Python worker."""
+def arrow_batches(spark: SparkSession, max_bytes: int = 2 << 20):
+    """Bound the Arrow batches of jobs run inside, so texts gather neither in a Python worker nor in the buffers that feed it."""
     return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
 
@@ -107,6 +107,11 @@ def free_caches(keep: dict | None = None) -> None:
     for cache in _CACHES:
         if cache is not keep:
             cache.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Give this worker's unused memory back."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # glibc alone has it
         ctypes.CDLL(None).malloc_trim(0)

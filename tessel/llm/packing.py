@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm.common import broadcast_if_small, free_caches, materialize, worker_cache
+from tessel.llm.common import broadcast_if_small, free_caches, give_back, materialize, worker_cache
 
 LIMIT = 4096
 #: Words whose ids a worker remembers (about 50 MB); past it new ones are not kept, or, where most are new, it starts anew.
@@ -78,9 +78,8 @@ class WordIds:
                 at = cut + 4
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
         # strings of special tokens are matched before lower-casing
-        words = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        words = [(r if b"<|" in r else r.lower()).split() for r in ((t or "").encode("utf-8", "replace") for t in texts)]
         every = set().union(*words)
         new = every.difference(self.held)
         self._learn(list(new))
@@ -120,6 +119,7 @@ def _cut(path: str, limit: int, batch_chars: int = 2_000_000):
                         nth[n] += 1
                 at, held = end, 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_PIECES), _PIECES, strict=True)], schema=_PIECES)
+        give_back()
 
     return run
 
@@ -197,6 +197,23 @@ def _plan(counts: dict[int, int], limit: int) -> np.ndarray:
     return np.array(sorted(rows) or np.empty((0, 5)), np.int64).reshape(-1, 5)
 
 
+def _place(plan):
+    """Arrow batches (doc_id, piece, start, length, ids_crc32, rank) -> those without rank, with sequence_id and offset from the broadcast plan."""
+
+    def run(batches):
+        free_caches()  # all pieces are cut, so no words are needed any more
+        rows = plan.value
+        keys = (rows[:, 0] << 44) | rows[:, 1]
+        for batch in batches:
+            length, rank = (batch.column(i).to_numpy() for i in (3, 5))
+            seg = rows[np.searchsorted(keys, (length << 44) | rank, "right") - 1]
+            turn, inside = np.divmod(rank - seg[:, 1], seg[:, 2])
+            extra = [pa.array(seg[:, 3] + turn), pa.array(seg[:, 4] + inside * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *extra], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return run
+
+
 def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per piece of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -210,18 +227,7 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = materialize(by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "ahead")
     ranked = cut.join(broadcast_if_small(ahead, 24), ["part", "length"]).withColumn("rank", F.col("ahead") + F.col("nth"))
-
-    def place(batches):
-        rows = plan.value
-        keys = (rows[:, 0] << 44) | rows[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy() for i in (3, 5))
-            seg = rows[np.searchsorted(keys, (length << 44) | rank, "right") - 1]
-            turn, inside = np.divmod(rank - seg[:, 1], seg[:, 2])
-            extra = [pa.array(seg[:, 3] + turn), pa.array(seg[:, 4] + inside * length)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *extra], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_best_two_fit(spark, sf_dir: str) -> DataFrame:

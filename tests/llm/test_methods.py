@@ -968,3 +968,25 @@ def test_words_that_begin_lines_and_texts_are_encoded_together():
     assert ids_of(texts) == list(map(plain, texts)) and len(asked) == 1
     odd = ["\n\tqzq\nqzr", "qzs\n\nqzt \nqzu", "\n", "qzv \nqzw \t", "一\nĊ\nĠ <|endoftext|>\nqzx"]
     assert ids_of(odd) == list(map(plain, odd))
+
+
+def test_placing_frees_the_words_and_batches_are_small(spark, monkeypatch):
+    """Once pieces are cut, no worker keeps words; texts reach Python in batches of about 2 MB."""
+    from tessel.llm import packing
+
+    words = common.worker_cache({"a": 1})
+
+    class Plan:
+        value = packing._plan({3: 1}, 10)
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "piece": 0, "start": 0, "length": 3, "ids_crc32": 7, "rank": 0}])
+    assert [b.to_pylist() for b in packing._place(Plan)(iter([batch]))] == [[{"doc_id": 1, "piece": 0, "start": 0, "length": 3, "ids_crc32": 7, "sequence_id": 0, "offset": 0}]]
+    assert not words
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    rows = spark.range(0, 120, 1, 1).selectExpr("repeat('x', 100000) text")
+    got = [r["n"] for r in common.materialize(rows.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(got) >= 12_000_000 and max(got) < 2_500_000
